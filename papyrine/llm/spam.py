@@ -15,6 +15,7 @@ Defined results
 * null texts, empty texts and texts without words are no cases
 * a language label that is null or unknown leaves the page out of the language models, not out of the result
 * rows given twice are judged twice; extra columns are ignored
+* shares of sentences and numbers are null for pages that cannot be flagged
 * with no labelled page there is no prose to compare with, and only the curve itself can flag
 """
 
@@ -49,7 +50,7 @@ _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->|&[a-zA-Z]{2,8};|&#\d+;|\\[a-zA-Z]+", re.S)
 _NUMBER = re.compile(r"[-+]?\d[\d.,:/–-]*")
 _WORD = re.compile("[" + _NO_SPACES + "]+|[^\\W\\d_" + _NO_SPACES + "]+(?:['’̀-ًͯ-ٟऀ-෴][^\\W\\d_" + _NO_SPACES + "]*)*|" + _LINK)
-_SENTENCE = re.compile("(?:[^.!?。！？।؟…\n]|[.!?…](?=\\w))+(?:[。！？।؟]|[.!?…]+(?!\\w))+")
+_END = re.compile("[。！？।؟]+|[.!?…]+(?!\\w)|\n")
 _TABLE = re.compile(r"^(?:\{\||\|[-}]).*$", re.M)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -83,14 +84,14 @@ def number_share(text: str) -> float:
 def sentence_share(text: str) -> float:
     """Share of a text's letters that stand in sentences with a closing mark."""
     t = _TABLE.sub("", _MARKUP.sub(" ", _URL.sub(_LINK, text)))
-    every = sum(map(len, _LETTERS.findall(t)))
-    own = 0
-    for s in _SENTENCE.findall(t):
-        if _LINK in s:
-            continue
+    every = own = at = 0
+    for m in [*_END.finditer(t), None]:
+        s = t[at : m.start()] if m else t[at:]
+        at = m.end() if m else at
         w = _LETTERS.findall(s)
         size = sum(map(len, w))
-        if len(w) >= 4 or (size >= 5 and w and w[0][0] >= "฀"):
+        every += size
+        if m and m.group() != "\n" and _LINK not in s and (len(w) >= 4 or (size >= 5 and w[0][0] >= "\u0e00")):
             own += size
     return own / every if every else 0.0
 
@@ -155,9 +156,12 @@ def curves(df: DataFrame, key: str, text: str, model: dict[str, dict[str, float]
                 lang.append(g)
                 n_words.append(n)
                 common.append(o)
-                head.append(max(k / n - (model[w].get(g, 0.0) if w in model else 0.0) for w, k in c.items()))
-                sent.append(sentence_share(t))
-                num.append(number_share(t))
+                h = max(k / n - (model[w].get(g, 0.0) if w in model else 0.0) for w, k in c.items())
+                head.append(h)
+                # No page is flagged beyond these bounds, whatever the references turn out to be.
+                needed = o < COMMON or h > LEAST_HEAD
+                sent.append(sentence_share(t) if needed else None)
+                num.append(number_share(t) if needed else None)
                 freqs.append([x for x, _ in spectrum])
                 counts.append([x for _, x in spectrum])
             yield pa.RecordBatch.from_arrays(
@@ -199,10 +203,10 @@ def judged(pages: DataFrame) -> DataFrame:
     common, head = F.coalesce("r_common", "w_common"), F.coalesce("r_head", "w_head")
     far = F.col("common") < COMMON * common
     stuffed = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > F.greatest(HEAD * head, F.lit(LEAST_HEAD)))
-    steep = (F.col("n_words") >= LEAST_WORDS) & (F.col("slope") > SLOPE * F.col("r_slope")) & (F.col("residual") > RESIDUAL * F.col("r_residual"))
+    steep = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > LEAST_HEAD) & (F.col("slope") > SLOPE * F.col("r_slope")) & (F.col("residual") > RESIDUAL * F.col("r_residual"))
     listed = F.col("numbers") >= 0.5
     case = ((far & (F.col("sentences") <= 0.5)) | stuffed | (steep & (F.col("sentences") <= 0.5))) & ~listed
-    return x.select("key", "lang", "n_words", "common", "head", "slope", "residual", "sentences", "numbers", far.alias("far"), stuffed.alias("stuffed"), steep.alias("steep"), case.alias("spam"))
+    return x.select("key", "lang", "n_words", "common", "head", "slope", "residual", "sentences", "numbers", far.alias("far"), stuffed.alias("stuffed"), steep.alias("steep"), F.coalesce(case, F.lit(False)).alias("spam"))
 
 
 def spam(df: DataFrame, key: str, text: str, label: str, codes: DataFrame) -> DataFrame:
