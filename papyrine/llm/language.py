@@ -127,11 +127,11 @@ def train(lines: list[str], labels: list[str], seed: int = 7) -> Classifier:
     y = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     bags = []
-    for i in range(0, len(lines), 512):
-        bucket, line, _ = features(lines[i : i + 512])
+    for i in range(0, len(lines), 256):
+        bucket, line, _ = features(lines[i : i + 256])
         order = np.argsort(line, kind="stable")
-        cuts = np.searchsorted(line[order], np.arange(1, min(512, len(lines) - i)))
-        bags += np.split(bucket[order], cuts)
+        cuts = np.searchsorted(line[order], np.arange(1, min(256, len(lines) - i)))
+        bags += [x.astype(np.int32) for x in np.split(bucket[order], cuts)]
     held = rng.random(len(lines)) < 0.15
     clean = np.ones(len(lines), bool)
     for epochs in FIRST_EPOCHS:
@@ -158,7 +158,8 @@ def train(lines: list[str], labels: list[str], seed: int = 7) -> Classifier:
                 w -= np.outer(v, p)
                 e[b] -= g * (4.0 / len(b))
         c.table = e @ w
-        z, count = c.logits(lines)
+        parts = [c.logits(lines[i : i + 256]) for i in range(0, len(lines), 256)]  # blocks, for the sake of memory
+        z, count = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
         clean = z.argmax(1) == y
     # Temperatures by length, on held-out lines whose labels stand.
     size = np.minimum(7, np.log2(count + 1).astype(int))
