@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from papyrine.plans import p1, p2, p3
+from papyrine.plans import p1, p2, p3, text_queries
 
-MODULES = [p1, p2, p3]
+MODULES = [p1, p2, p3, text_queries]
 
 
 def queries() -> dict:
