@@ -60,7 +60,7 @@ def cycles(nodes: DataFrame) -> DataFrame:
         open_nodes = state.where("ptr is not null")
         n = open_nodes.count()
         if n == 0:
-            return state.select("tree", "id", F.col("id").alias("cycle_root"))
+            return state.where("false").select("tree", "id", F.col("id").alias("cycle_root"))
         if n == waiting:
             break
         waiting = n
