@@ -41,6 +41,8 @@ LEAST_PAGES = 20
 COMMON, HEAD, SLOPE, RESIDUAL = 0.45, 3.0, 1.8, 1.8
 #: Below this, a head is not extreme in a language of which nothing is known.
 LEAST_HEAD = 0.15
+#: One word that makes up so much of a page beyond its share in prose is extreme whatever other pages are like.
+MOST_HEAD = 0.5
 #: Words a page needs for head and slope to mean something.
 LEAST_WORDS = 30
 
@@ -197,12 +199,16 @@ def judged(pages: DataFrame) -> DataFrame:
     up = Window.partitionBy("lang").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     # What is in common grows with length and the head shrinks, so a class takes over the better value of shorter ones.
     by = by.select("lang", "size", F.max("r_common").over(up).alias("r_common"), F.min("r_head").over(up).alias("r_head"), F.max("r_slope").over(up).alias("r_slope"), F.max("r_residual").over(up).alias("r_residual"))
-    whole = pages.groupBy("size").agg(F.percentile_approx("common", 0.75).alias("w_common"), F.percentile_approx("head", 0.5).alias("w_head"))
+    whole = pages.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("common", 0.75).alias("w_common"), F.percentile_approx("head", 0.5).alias("w_head"))
+    over = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)  # one row for each power of two
+    known = F.col("n") >= LEAST_PAGES
+    whole = whole.select("size", F.max(F.when(known, F.col("w_common"))).over(over).alias("w_common"), F.min(F.when(known, F.col("w_head"))).over(over).alias("w_head"))
     # Both tables hold at most one row for each language of the models and power of two.
     x = pages.join(F.broadcast(by), ["lang", "size"]).join(F.broadcast(whole), "size")
     common, head = F.coalesce("r_common", "w_common"), F.coalesce("r_head", "w_head")
     far = F.col("common") < COMMON * common
-    stuffed = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > F.greatest(HEAD * head, F.lit(LEAST_HEAD)))
+    stuffed = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > F.least(F.greatest(HEAD * F.coalesce(head, F.lit(0.0)), F.lit(LEAST_HEAD)), F.lit(MOST_HEAD)))
+    stuffed = stuffed | ((F.col("n_words") >= LEAST_WORDS // 3) & (F.col("head") > MOST_HEAD) & (F.col("sentences") <= 0.5))
     steep = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > LEAST_HEAD) & (F.col("slope") > SLOPE * F.col("r_slope")) & (F.col("residual") > RESIDUAL * F.col("r_residual"))
     listed = F.col("numbers") >= 0.5
     case = ((far & (F.col("sentences") <= 0.5)) | stuffed | (steep & (F.col("sentences") <= 0.5))) & ~listed
