@@ -85,7 +85,7 @@ def capped_edges(edges: DataFrame, by: str, order: list[str], cap: int, schema:
             keep.append(ok)
             if ok:
                 used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return p[keep]
+        return p[pd.Series(keep, index=p.index, dtype=bool)]
 
     return edges.groupBy(by).applyInPandas(lambda p: take(p.sort_values(order)), schema)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from papyrine.plans import graph_queries, p1, p2, p3, text_queries
+from papyrine.plans import formula_queries, graph_queries, p1, p2, p3, text_queries
 
-MODULES = [p1, p2, p3, text_queries, graph_queries]
+MODULES = [p1, p2, p3, text_queries, graph_queries, formula_queries]
 
 
 def queries() -> dict:
