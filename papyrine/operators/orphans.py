@@ -10,7 +10,8 @@ Defined results
 * rows delivered again change nothing: two live rows of a key answer as one does
 * a parent without loaded_at is never live; one deleted at or before its arrival is never live
 * a record without loaded_at probes before anything arrived, so each of its references is an orphan
-* null document or record ids are keys like any other; a reference in a record without document matches nothing
+* a null document id is a key like any other, and a reference in a record without document matches nothing; rows
+  without a record id are one record for each content, so that no group of all of them is gathered
 * empty tables give an empty result; further columns of the inputs are ignored
 """
 
@@ -44,11 +45,10 @@ def references(df: DataFrame, ref_table: str, record: str, targets: str, space:
     values = F.col(targets)
     if not df.schema[targets].dataType.typeName().startswith("array"):
         values = F.array(values)
-    per_record = (
-        df.select("document_id", F.col(record).alias("record_id"), F.coalesce(values, F.array().cast("array<string>")).alias("v"), "loaded_at")
-        .groupBy("document_id", "record_id")
-        .agg(F.min("loaded_at").alias("at"), F.collect_set("v").alias("v"))
-    )
+    own = df.select("document_id", F.col(record).alias("record_id"), F.coalesce(values, F.array().cast("array<string>")).alias("v"), "loaded_at")
+    # Deliveries of a record have one content, so its set is small; rows without an id are told apart by their content.
+    apart = F.when(F.col("record_id").isNull(), F.xxhash64("v")).otherwise(F.lit(0))
+    per_record = own.groupBy("document_id", "record_id", apart.alias("apart")).agg(F.min("loaded_at").alias("at"), F.collect_set("v").alias("v"))
     refs = (
         per_record.select("document_id", "record_id", "at", F.explode(F.array_distinct(F.transform(F.flatten("v"), trimmed))).alias("ref_key"))
         .where("ref_key is not null and ref_key <> ''")
@@ -76,14 +76,16 @@ def _deltas(parent_rows: DataFrame) -> DataFrame:
     return live.select(*KEY, F.explode(both).alias("e")).select(*KEY, "e.at", "e.delta").where("at is not null")
 
 
-def replay(refs: DataFrame, parent_rows: DataFrame, period: str = "month", snapshot: DataFrame | None = None) -> DataFrame:
+def replay(refs: DataFrame, parent_rows: DataFrame, period: str = "month") -> DataFrame:
     """Every reference with the number of live parent rows when it probed (``live``) and the time at which a waiting
-    orphan was next resolved within its period (``resolved_at``).
+    orphan was next resolved within its period (``resolved_at``)."""
+    return _replayed(refs, _deltas(parent_rows), period, None)
 
-    snapshot (KEY, live) carries in the state before the first event.
-    """
+
+def _replayed(refs: DataFrame, changes: DataFrame, period: str, snapshot: DataFrame | None) -> DataFrame:
+    """The replay over changes (KEY, at, delta); snapshot (KEY, live) carries in the state before the first event."""
     part = lambda c: F.date_trunc(period, c)
-    deltas = _deltas(parent_rows).withColumn("period", part("at"))
+    deltas = changes.withColumn("period", part("at"))
     probes = refs.withColumn("period", part("at"))
     if snapshot is not None:
         start = snapshot.where("live <> 0").select(*KEY, F.lit(None).cast("timestamp").alias("period"), F.col("live").cast("long").alias("delta"))
@@ -119,35 +121,54 @@ def replay(refs: DataFrame, parent_rows: DataFrame, period: str = "month", snaps
 
 @dataclass
 class OrphanState:
-    """What has to be kept between batches: live rows per key, and the references still waiting."""
+    """What has to be kept between batches: live rows of each key, deletions that are still to come, and the references
+    that wait for a target."""
 
     live: DataFrame
+    due: DataFrame
     waiting: DataFrame
 
     @staticmethod
     def empty(spark: SparkSession) -> "OrphanState":
         return OrphanState(
             spark.createDataFrame([], "space string, target_document string, target_key string, live long"),
+            spark.createDataFrame([], "space string, target_document string, target_key string, at timestamp"),
             spark.createDataFrame([], REF_SCHEMA),
         )
 
 
-def advance(state: OrphanState, refs: DataFrame, parent_rows: DataFrame, upto: str) -> tuple[OrphanState, DataFrame]:
-    """One batch of the incremental operator: events with ``at`` below ``upto`` that were not in an earlier batch.
+@dataclass
+class OrphanBatch:
+    """What a batch changed: orphans among its new references, waiting references that a target arrived for, and
+    references whose last live target was deleted."""
+
+    found: DataFrame
+    resolved: DataFrame
+    reopened: DataFrame
+
+
+def advance(state: OrphanState, answered: DataFrame, refs: DataFrame, arrivals: DataFrame, upto: str) -> tuple[OrphanState, OrphanBatch]:
+    """One batch of the incremental operator: new references and parent rows that arrived since the last batch, all
+    before ``upto``.
 
     New references probe the index, arriving parents resolve waiting orphans, deletions (also of parents of earlier
-    batches, handed in again with the batch in which they fall due) reopen references. Returns the new state and the orphans found among the new
-    references. The reference table kept in ``waiting`` holds every reference whose key has no live row at ``upto``.
+    batches, kept in the state until they fall due) reopen references. ``answered`` are the references of earlier
+    batches that had a live target after the last one (as the caller keeps them); only keys that changed are looked up.
     """
     end = F.lit(upto).cast("timestamp")
-    # Only what happens before `upto` counts; a deletion after it belongs to a later batch.
-    now = parent_rows.where(F.col("loaded_at") < end)
-    known = now.withColumn("deleted_at", F.when(F.col("deleted_at") < end, F.col("deleted_at")))
-    found = replay(refs, known, snapshot=state.live)
-    change = _deltas(known).groupBy(*KEY).agg(F.sum("delta").alias("live"))
-    live = state.live.unionByName(change).groupBy(*KEY).agg(F.sum("live").alias("live")).where("live <> 0")
-    waiting = state.waiting.unionByName(refs).join(live.where("live > 0"), list(KEY), "left_anti").select(*refs.columns)
-    return OrphanState(live, waiting), found.where("live = 0")
+    changes = _deltas(arrivals)
+    later = changes.where((F.col("delta") < 0) & (F.col("at") >= end)).select(*KEY, "at")
+    now = changes.where(F.col("at") < end).unionByName(state.due.where(F.col("at") < end).select(*KEY, "at", F.lit(-1).alias("delta")))
+    found = _replayed(refs, now, "month", state.live).where("live = 0")
+    live = state.live.unionByName(now.groupBy(*KEY).agg(F.sum("delta").alias("live"))).groupBy(*KEY).agg(F.sum("live").alias("live")).where("live > 0")
+    before, after = state.live.select(*KEY), live.select(*KEY)
+    key = list(KEY)
+    columns = state.waiting.columns
+    resolved = state.waiting.join(after, key, "left_semi").select(*columns)
+    reopened = answered.join(before.join(after, key, "left_anti"), key, "left_semi").select(*columns)
+    waiting = state.waiting.unionByName(refs.select(*columns)).unionByName(reopened).join(after, key, "left_anti").select(*columns)
+    due = state.due.where(F.col("at") >= end).unionByName(later)
+    return OrphanState(live, due, waiting), OrphanBatch(found, resolved, reopened)
 
 
 def orphans(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def all_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return op.orphans(all_references(spark, d), all_parents(spark, d)).select(*op.REF)
+    return op.orphans(all_references(spark, d), all_parents(spark, d)).select(*op.REF).distinct()
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:

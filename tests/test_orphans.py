@@ -9,20 +9,17 @@ PARENTS = "document_id string, node_id string, loaded_at timestamp, deleted_at t
 
 
 def brute(refs, parents):
+    record = lambda d, e, x: (d, e, x if e is None else "")  # noqa: E731  rows without an id: one record for each content
     first = {}
-    for d, e, _, t, _ in refs:
-        key = (d, e)
-        if key not in first or t is None or first[key] is not None and t < first[key]:
-            first[key] = t if t is not None or key not in first else first[key]
-    for key in list(first):  # min ignores nulls
-        ts = [t for d, e, _, t, _ in refs if (d, e) == key and t is not None]
-        first[key] = min(ts) if ts else None
+    for d, e, x, t, _ in refs:
+        first.setdefault(record(d, e, x), []).append(t)
+    first = {k: min((t for t in v if t is not None), default=None) for k, v in first.items()}
     out = set()
     for d, e, x, _, _ in refs:
+        t = first[record(d, e, x)]
         x = (x or "").strip()
         if not x:
             continue
-        t = first[(d, e)]
         doc, key = x.split("::", 1) if "::" in x else (d, x)
         live = t is not None and doc is not None and any(pd == doc and pk == key and a is not None and a <= t and (b is None or b > t) for pd, pk, a, b, _ in parents)
         if not live:
@@ -52,18 +49,31 @@ def test_batches_give_the_same_as_one_run(spark):
     p = op.parents(spark.createDataFrame(parents, PARENTS), "node_id").where("loaded_at is not null").cache()
     key = lambda df: sorted((str(x.document_id), str(x.record_id), x.ref_key) for x in df.collect())
     whole = key(op.orphans(r, p))
-    state, got = op.OrphanState.empty(spark), []
+    state, got, kept = op.OrphanState.empty(spark), [], r.where("false")
     bounds = [T(0), T(40), T(80), T(400)]
     for lo, hi in zip(bounds, bounds[1:]):
-        lo, hi = str(lo), str(hi)
-        arrived = p.where(f"loaded_at >= '{lo}' and loaded_at < '{hi}'")
-        state, found = op.advance(state, r.where(f"at >= '{lo}' and at < '{hi}'"), arrived, hi)
-        # deletions that fall due later of parents that are already in the index
-        due = p.where(f"loaded_at < '{lo}'")
-        got += key(found) if due.where(f"deleted_at >= '{lo}' and deleted_at < '{hi}'").isEmpty() else key(op.orphans(r.where(f"at >= '{lo}' and at < '{hi}'"), p))
+        own = f" >= '{lo}' and {{0}} < '{hi}'"
+        new = r.where("at" + own.format("at"))
+        state, batch = op.advance(state, kept, new, p.where("loaded_at" + own.format("loaded_at")), str(hi))
+        state = op.OrphanState(state.live.cache(), state.due.cache(), state.waiting.cache())
+        got += key(batch.found)
+        waiting = state.waiting
+        kept = kept.unionByName(new).join(waiting, list(op.REF), "left_anti").select(*r.columns).cache() if waiting.count() else kept.unionByName(new)
     assert sorted(got) == whole
 
 
+def test_arrivals_resolve_and_deletions_reopen(spark):
+    r = op.references(spark.createDataFrame([("a", "e", "x", T(1), "")], REFS), "t", "edge_id", "target_id").cache()
+    p = op.parents(spark.createDataFrame([("a", "x", T(5), T(15), "")], PARENTS), "node_id")
+    none = r.where("false")
+    state, one = op.advance(op.OrphanState.empty(spark), none, r, p.where("false"), str(T(3)))
+    assert one.found.count() == 1 and state.waiting.count() == 1
+    state, two = op.advance(state, none, none, p, str(T(10)))
+    assert two.resolved.count() == 1 and state.waiting.count() == 0 and state.due.count() == 1
+    state, three = op.advance(state, r, none, p.where("false"), str(T(20)))
+    assert three.reopened.count() == 1 and state.waiting.count() == 1 and state.live.count() == 0
+
+
 def test_tokens_ignore_brackets_and_zeros(spark):
     rows = [("d", "b1", ["[FORMULA_001]", "FORMULA_7", None, " [FORMULA_0010] ", "[FORMULA_9]"], T(5))]
     refs = op.references(spark.createDataFrame(rows, "document_id string, block_id string, formula_tokens array<string>, loaded_at timestamp"), "b", "block_id", "formula_tokens", "token")
