@@ -62,6 +62,29 @@ def letters() -> np.ndarray:
     return _classes[0]
 
 
+def _groups() -> np.ndarray:
+    """Alphabet of each block of 256 code points: Latin 0, Greek 3, Cyrillic 4, Arabic 6, Chinese and Japanese 48, else its own."""
+    if len(_classes) < 2:
+        g = np.minimum(np.arange(0x300), 255)
+        g[[1, 2, 0x1E]], g[5], g[[7, 8]] = 0, 4, 6
+        g[0x30:0xA0], g[0xF9:0xFB] = 0x30, 0x30
+        _classes.append(g)
+    return _classes[1]
+
+
+def alphabets(lines: list[str]) -> np.ndarray:
+    """The alphabet of most letters of each line (Greek ones, as in formulas, aside); -1 without letters."""
+    letters()
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    cp = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    own = letters()[np.minimum(cp, 0x2FFFF)]
+    group = _groups()[np.minimum(cp, 0x2FFFF) >> 8]
+    own &= group != 3
+    line = np.repeat(np.arange(len(lines)), sizes)
+    count = np.bincount(line[own] * 256 + group[own], minlength=256 * len(lines)).reshape(len(lines), 256)
+    return np.where(count.any(1), count.argmax(1), -1)
+
+
 def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of lines laid end to end: buckets, the line of each, and letters per line."""
     sizes = np.fromiter((len(x) + 2 for x in lines), np.int64, len(lines))
@@ -96,6 +119,8 @@ class Classifier:
         self.languages = languages
         self.table = np.zeros((BUCKETS, len(languages)), np.float32)
         self.heat = np.ones(8)
+        #: Which alphabets (columns) the training lines of each language are written in.
+        self.written = np.ones((len(languages), 256), bool)
 
     def logits(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Average scores of each line, and its letters."""
@@ -112,6 +137,10 @@ class Classifier:
     def judge(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, confidence and letters of each line."""
         z, count = self.logits(lines)
+        # A language that is not written in the line's alphabet is no candidate, if any other is.
+        own = alphabets(lines)
+        can = self.written[:, np.maximum(own, 0)].T
+        z = np.where(can | ~can.any(1, keepdims=True) | (own < 0)[:, None], z, z.min() - 100)
         z = z * self.heat[np.minimum(7, np.log2(count + 1).astype(int))][:, None]
         z = np.exp(z - z.max(1, keepdims=True))
         p = z / z.sum(1, keepdims=True)
@@ -161,6 +190,11 @@ def train(lines: list[str], labels: list[str], seed: int = 7) -> Classifier:
         parts = [c.logits(lines[i : i + 256]) for i in range(0, len(lines), 256)]  # blocks, for the sake of memory
         z, count = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
         clean = z.argmax(1) == y
+    own = np.concatenate([alphabets(lines[i : i + 256]) for i in range(0, len(lines), 256)])
+    for k in range(len(names)):
+        mine = own[clean & (y == k) & (own >= 0)]
+        if len(mine):
+            c.written[k] = np.bincount(mine, minlength=256) >= 0.1 * len(mine)
     # Temperatures by length, on held-out lines whose labels stand.
     size = np.minimum(7, np.log2(count + 1).astype(int))
     for k in range(8):
@@ -248,13 +282,15 @@ def judged(df: DataFrame, keys: list[str], text: str, classifier: Classifier, se
 
 
 def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, segments: bool) -> list[tuple]:
-    lines, owner, number = [], [], []
+    lines, owner, number, starts = [], [], [], []
     for i, t in enumerate(texts):
         if not t:
             continue
         short = []
+        ended = True  # whether the line before leaves no sentence open
         for n, x in enumerate(t.split("\n"), 1):
             if not x or x.isspace():
+                ended = True
                 continue
             m = masked(x) if segments or "\\" in x or "http" in x or "<" in x or "[" in x else x
             if len(m) < SHORT + 5:
@@ -263,10 +299,13 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
                 lines.append(m)
                 owner.append(i)
                 number.append(n)
+                starts.append(ended)
+            ended = not segments or bool(_ENDED.search(x)) or _thai(x)
         if short:  # short lines together, as line 0
             lines.append(" ".join(short))
             owner.append(i)
             number.append(0)
+            starts.append(False)
     if not lines:
         return []
     best, sure, count = c.judge(lines)
@@ -288,7 +327,7 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
             foreign = []
             if segments:
                 for j in range(start, end):
-                    if number[j] and best[j] != main and sure[j] >= SURE and count[j] >= FOREIGN and _whole(lines[j]):
+                    if number[j] and starts[j] and best[j] != main and sure[j] >= SURE and count[j] >= FOREIGN and _whole(lines[j]):
                         foreign.append({"segment_no": number[j], "language": c.languages[best[j]], "confidence": float(sure[j])})
             by = [(c.languages[x], int(score[i, x])) for x in np.flatnonzero(score[i]).tolist()]
             name = c.languages[main] if confidence >= REJECT or len(by) > 1 else "und"
@@ -299,5 +338,8 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
 
 def _whole(line: str) -> bool:
     """Whether a line can be whole sentences: it ends like one, or is of a script that marks no ends."""
-    s = line.strip()
-    return bool(_ENDED.search(s)) or sum("\u0e00" <= x <= "\u0eff" for x in s) > 0.6 * len(s)
+    return bool(_ENDED.search(line.strip())) or _thai(line)
+
+
+def _thai(line: str) -> bool:
+    return sum("\u0e00" <= x <= "\u0eff" for x in line) > 0.6 * len(line.strip())
