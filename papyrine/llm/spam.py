@@ -43,6 +43,8 @@ COMMON, HEAD, SLOPE, RESIDUAL = 0.45, 3.0, 1.8, 1.8
 LEAST_HEAD = 0.15
 #: One word that makes up so much of a page beyond its share in prose is extreme whatever other pages are like.
 MOST_HEAD = 0.5
+#: Long pages need no check of their sentences if their share in common is below this part, but not below that share.
+LONG, VERY_FAR, UNKNOWN = 100, 0.35, 0.08
 #: Words a page needs for head and slope to mean something.
 LEAST_WORDS = 30
 
@@ -207,11 +209,14 @@ def judged(pages: DataFrame) -> DataFrame:
     x = pages.join(F.broadcast(by), ["lang", "size"]).join(F.broadcast(whole), "size")
     common, head = F.coalesce("r_common", "w_common"), F.coalesce("r_head", "w_head")
     far = F.col("common") < COMMON * common
+    # Long pages of known words that are this far from prose are no sentences, whatever marks stand between the words;
+    # with next to nothing in common the language may just be an unknown one.
+    strange = (F.col("n_words") >= LONG) & (F.col("common") >= UNKNOWN) & (F.col("common") < VERY_FAR * common)
     stuffed = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > F.least(F.greatest(HEAD * F.coalesce(head, F.lit(0.0)), F.lit(LEAST_HEAD)), F.lit(MOST_HEAD)))
     stuffed = stuffed | ((F.col("n_words") >= LEAST_WORDS // 3) & (F.col("head") > MOST_HEAD) & (F.col("sentences") <= 0.5))
     steep = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > LEAST_HEAD) & (F.col("slope") > SLOPE * F.col("r_slope")) & (F.col("residual") > RESIDUAL * F.col("r_residual"))
     listed = F.col("numbers") >= 0.5
-    case = ((far & (F.col("sentences") <= 0.5)) | stuffed | (steep & (F.col("sentences") <= 0.5))) & ~listed
+    case = ((far & (F.col("sentences") <= 0.5)) | strange | stuffed | (steep & (F.col("sentences") <= 0.5))) & ~listed
     return x.select("key", "lang", "n_words", "common", "head", "slope", "residual", "sentences", "numbers", far.alias("far"), stuffed.alias("stuffed"), steep.alias("steep"), F.coalesce(case, F.lit(False)).alias("spam"))
 
 
