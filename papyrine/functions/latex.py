@@ -115,3 +115,26 @@ def quality(confidence: Column, sanity: Column, warnings: Column) -> Column:
 
 def rank(n_symbols: Column, n_operators: Column, definition: Column, equality: Column, confidence: Column) -> Column:
     return 2 * n_symbols + n_operators + 3 * definition.cast("int") + 2 * equality.cast("int") + F.coalesce(confidence, F.lit(0.0))
+
+
+#: Names that recognisers set apart letter by letter, and how they are written; fixed values.
+SPACED_NAMES = {"lim": "\\lim", "sin": "\\sin", "cos": "\\cos", "log": "\\log", "max": "\\max", "min": "\\min"}
+
+
+def repaired(c: Column) -> Column:
+    """Function names set apart are closed up, doubled backslashes before letters halved, runs of dots and blanks shortened."""
+    for name, command in SPACED_NAMES.items():
+        c = F.regexp_replace(c, r"(^|[^A-Za-z\\])" + r"\s+".join(name) + r"([^A-Za-z]|$)", "$1\\\\" + command.lstrip("\\") + "$2")
+    c = F.regexp_replace(c, r"\\\\([A-Za-z])", r"\\$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\.{4,}", "..."), r"[ \t]+", " "))
+
+
+def rows(c: Column) -> Column:
+    """Rows of a recognised formula, empty ones dropped."""
+    return F.filter(F.transform(F.split(c, r"\\\\(?![A-Za-z])"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def prose_like(c: Column) -> Column:
+    """Three words of four letters or more outside commands, and fewer than five marks of mathematics."""
+    plain = F.regexp_replace(c, r"\\[A-Za-z]+", " ")
+    return (F.regexp_count(plain, F.lit(r"\p{L}{4,}")) >= 3) & (F.regexp_count(c, F.lit(r"[=<>+^_\\]")) < 5)

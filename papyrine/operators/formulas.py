@@ -242,3 +242,33 @@ def proximity_groups(items: DataFrame, schema: str) -> DataFrame:
 
     flat = items.where("bbox is not null").select("document_id", "page_number", "block_id", *[F.col(f"bbox.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
     return flat.groupBy("document_id", "page_number").applyInPandas(page, schema)
+
+
+def macros(tex: str) -> dict[str, str]:
+    r"""Macros without arguments that a source defines: \newcommand, \renewcommand, \def."""
+    out = {}
+    for m in re.finditer(r"\\(?:re)?newcommand\*?\{?(\\[A-Za-z]+)\}?\{((?:[^{}]|\{[^{}]*\})*)\}|\\def(\\[A-Za-z]+)\{((?:[^{}]|\{[^{}]*\})*)\}", tex):
+        out[m.group(1) or m.group(3)] = m.group(2) if m.group(1) else m.group(4)
+    return out
+
+
+def expanded(tex: str, known: dict[str, str], rounds: int = 5) -> str:
+    """Macros put in, longest names first, a few rounds deep."""
+    for _ in range(rounds):
+        new = tex
+        for name in sorted(known, key=len, reverse=True):
+            new = re.sub(re.escape(name) + r"(?![A-Za-z])", lambda m, name=name: known[name], new)
+        if new == tex:
+            break
+        tex = new
+    return tex
+
+
+def stays_in_text(latex: str) -> bool:
+    """Tiny inline mathematics that reads as text: up to 24 characters, no relation, no command."""
+    return len(latex) <= 24 and not re.search(r"[=<>]|\\[A-Za-z]", latex)
+
+
+def inlined(text: str) -> str:
+    """Text with its tiny inline mathematics as plain characters."""
+    return _INLINE.sub(lambda m: re.sub(r"[{}^_]", "", m.group(1) or m.group(2)) if stays_in_text(m.group(1) or m.group(2)) else m.group(), text)

@@ -41,3 +41,22 @@ def test_page_clusters(spark, build, column):
     df = spark.createDataFrame(rows, "document_id string, page_number int, block_id string, bbox struct<x0: double, y0: double, x1: double, y1: double>")
     got = {r.block_id: r[column] for r in build(df, f"document_id string, page_number int, block_id string, {column} int").collect()}
     assert got["a"] == got["b"] != got["c"] and "n" not in got
+
+
+def test_macros_and_tiny_mathematics():
+    known = op.macros(r"\newcommand{\R}{\mathbb{R}} \def\eps{\varepsilon} \renewcommand\RR{\R^2}")
+    assert known == {"\\R": "\\mathbb{R}", "\\eps": "\\varepsilon", "\\RR": "\\R^2"}
+    assert op.expanded(r"\RR + \eps + \Rx", known) == r"\mathbb{R}^2 + \varepsilon + \Rx"
+    assert op.expanded("\\a", {"\\a": "\\a x"}, 3).count("x") == 3
+    assert op.inlined("the $x_1$ and $a = b$ of \\(n\\)") == "the x1 and $a = b$ of n"
+
+
+def test_repairs(spark):
+    from pyspark.sql import functions as F
+
+    from papyrine.functions import latex
+
+    rows = [("l i m x",), ("s  i n(x) ....... y",), ("\\\\alpha",), (None,), ("a \\\\ b = c",)]
+    got = [r.x for r in spark.createDataFrame(rows, "latex string").select(latex.repaired(F.col("latex")).alias("x")).collect()]
+    assert got == ["\\lim x", "\\sin(x) ... y", "\\alpha", None, "a \\\\ b = c"]
+    assert [list(r.x) for r in spark.createDataFrame(rows[-1:], "latex string").select(latex.rows(F.col("latex")).alias("x")).collect()] == [["a", "b = c"]]
