@@ -6,7 +6,10 @@ Hot keys: pairs are ordered by rank and bounded where the operator says so; whol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +50,41 @@ def degrees(edges: DataFrame, by: list[str], source: str = "source_id", target:
     return ends.groupBy(*by, "node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a batch of edges with the smallest node it hangs together with inside the batch."""
+    for b in batches:
+        root: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            top = x
+            while root[top] != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = find(root.setdefault(x, x)), find(root.setdefault(y, y))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        pairs = [(x, find(x)) for x in list(root)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.string())], names=["a", "b"])
+
+
 def components(nodes: DataFrame, edges: DataFrame, by: str, node: str) -> DataFrame:
     """(by, node, component): smallest node id that can be reached, edges taken both ways.
 
-    Labels are spread along edges and then along themselves (a label's own label), so that the rounds grow with the
-    logarithm of a component's diameter in practice; each round is cut.
+    Edges are first contracted to stars inside Arrow batches, as they lie and once more by group, so that little is left
+    to do between batches; then labels are spread along the stars and along themselves, a few rounds, each cut.
     """
     key = F.concat_ws("\x01", by, node)
     both = edges.select(F.concat_ws("\x01", by, "source_id").alias("a"), F.concat_ws("\x01", by, "target_id").alias("b"))
     known = nodes.select(key.alias("k"))
-    both = both.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi").where("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = both.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi").where("a <> b").select("a", "b")
+    stars = both.mapInArrow(_forest, "a string, b string").where("a <> b")
+    stars = stars.repartition(F.split("a", "\x01")[0]).sortWithinPartitions("a").mapInArrow(_forest, "a string, b string").where("a <> b")
+    stars = cut(stars)
+    both = cut(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(nodes.select(key.alias("k"), key.alias("l")))
     while True:
         near = both.join(label.select(F.col("k").alias("b"), F.col("l").alias("nl")), "b").groupBy(F.col("a").alias("k")).agg(F.min("nl").alias("nl"))
