@@ -205,6 +205,64 @@ def flat_json(df: DataFrame, keys: list[str], column: str, outer: str, inner: st
     return df.select(*keys, column).where(F.col(column).isNotNull()).mapInPandas(rows, full)
 
 
+def flat_tables(df: DataFrame, keys: list[str], column: str, root: str, tables: list[str]) -> DataFrame:
+    """Rows of ``root`` members, wherever they stand, and of every member below them that is one of ``tables``.
+
+    (keys, member, positions, columns): member is the path of names from root, positions the place at each table on that
+    path, columns (name, value) what is inlined, as text. Nothing is dropped: what has no table of its own is inlined
+    under its dotted path, arrays of plain values as JSON; an element that is no object has its value as column ``$``.
+    """
+    own = frozenset(tables) | {root}
+    text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths, places, inlined = [], [], [], []
+            for i, j in enumerate(b.column(column).to_pylist()):
+                if root not in j:
+                    continue
+                todo, o = [], 0
+                for member in members(parsed(j), root):
+                    found = elements(member)
+                    todo += [(root, (o + k,), x) for k, x in enumerate(found)]
+                    o += len(found)
+                todo.reverse()
+                while todo:
+                    path, pos, e = todo.pop()
+                    e = opened(e)
+                    if e is None:
+                        continue
+                    columns, inner = [], []
+                    stack = [("", e)]
+                    while stack:
+                        name, v = stack.pop()
+                        v = opened(v)
+                        last = name.rsplit(".", 1)[-1]
+                        if name and last in own and (isinstance(v, dict) or isinstance(v, list) and any(isinstance(opened(x), dict | list) for x in v)):
+                            inner += [(f"{path}.{name}", (*pos, k), x) for k, x in enumerate(elements(v))]
+                        elif isinstance(v, dict):
+                            stack += reversed([(f"{name}.{k}" if name else k, x) for k, x in v.items()])
+                        elif v is not None:
+                            columns.append((name or "$", text(v)))
+                    todo += reversed(inner)
+                    at.append(i)
+                    paths.append(path)
+                    places.append(pos)
+                    inlined.append([{"name": n, "value": v} for n, v in columns])
+            kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+            own_rows = [b.column(k).take(pa.array(at, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*own_rows, pa.array(paths, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(inlined, kind)], names=[*keys, "member", "positions", "columns"])
+
+    types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
+    full = ", ".join([f"{k} {t}" for k, t in types.items()] + ["member string, positions array<int>, columns array<struct<name: string, value: string>>"])
+    return df.select(*keys, column).where(F.col(column).isNotNull()).mapInArrow(rows, full)
+
+
+def flat_lines(df: DataFrame, keys: list[str], lines: str) -> DataFrame:
+    """Lines with their positions, those without spans included; the line stays as a struct."""
+    return df.select(*keys, F.posexplode(lines).alias("line_pos", "line")).where("line is not null")
+
+
 def flat_spans(df: DataFrame, keys: list[str], lines: str, spans: str) -> DataFrame:
     """Spans below lines with the positions of both, from typed arrays; line and span stay as structs."""
     a = df.select(*keys, F.posexplode(lines).alias("outer_pos", "line")).where("line is not null")

@@ -40,3 +40,31 @@ def test_schema_graph_and_mapping(spark):
     s.add("$", "one", False, True)
     assert s.tables() == ["tree"]
     assert op.mapping(op.cut_schema(spark.createDataFrame([], "j string"), "j")).count() == 0
+
+
+def test_lines_without_spans(spark):
+    from papyrine.plans import p3
+
+    schema = "document_id string, block_id string, text_lines array<struct<text: string, bbox: struct<x0: double>, spans: array<struct<text: string>>>>"
+    rows = [("d", "b", [{"text": "l0", "bbox": {"x0": 1.0}, "spans": None}, None, {"text": " ", "bbox": None, "spans": []}, {"text": None, "bbox": None, "spans": [None]}]), ("d", "c", None), ("d", "e", [])]
+    got = op.flat_lines(spark.createDataFrame(rows, schema), ["document_id", "block_id"], "text_lines").collect()
+    assert sorted((x.block_id, x.line_pos) for x in got) == [("b", 0), ("b", 2), ("b", 3)]
+    assert {"p3_lines", "p3_evidence", "p3_members"} <= set(p3.QUERIES)
+
+
+def test_tables_below_evidence_lose_nothing(spark):
+    texts = [
+        json.dumps({"evidence": [{"block_id": "t1", "marker": "where"}, None, "plain", {"definitions": {"symbol": "a", "scope": {"section": {"id": "s"}, "page": 3}, "rules": [{"rule": "r", "confidence": 0.5}, None, {"rule": "q"}]}}]}),
+        json.dumps({"p": json.dumps({"evidence": {"definitions": [None, {"symbol": "b", "rules": "one", "roles": ["x", "y"]}]}})}),
+        "broken evidence{", None, json.dumps({"evidence": None}),
+    ]
+    df = spark.createDataFrame([("d", str(i), t) for i, t in enumerate(texts)], "document_id string, record_id string, attributes string")
+    tables = [x.member for x in op.mapping(op.cut_schema(df, "attributes")).where("place = 'table'").collect()]
+    assert set(tables) >= {"evidence", "definitions", "rules"}
+    got = {(x.record_id, x.member, tuple(x.positions)): {c.name: c.value for c in x.columns} for x in op.flat_tables(df, ["document_id", "record_id"], "attributes", "evidence", tables).collect()}
+    d = "evidence.definitions"
+    assert got == {
+        ("0", "evidence", (0,)): {"block_id": "t1", "marker": "where"}, ("0", "evidence", (2,)): {"$": "plain"}, ("0", "evidence", (3,)): {},
+        ("0", d, (3, 0)): {"symbol": "a", "scope.section.id": "s", "scope.page": "3"}, ("0", f"{d}.rules", (3, 0, 0)): {"rule": "r", "confidence": "0.5"}, ("0", f"{d}.rules", (3, 0, 2)): {"rule": "q"},
+        ("1", "evidence", (0,)): {}, ("1", d, (0, 1)): {"symbol": "b", "rules": "one", "roles": '["x", "y"]'},
+    }
