@@ -30,6 +30,16 @@ def co_members(links: DataFrame, by: list[str], node: str, order: str, most: int
     return a.join(b, by).where("ra > rb").select(*by, "source_id", "target_id")
 
 
+def member_classes(links: DataFrame, by: list[str], node: str, order: str) -> DataFrame:
+    """All pairs of nodes that share a member, as class and count: (by, node, place, earlier, n).
+
+    A node links to each of the ``earlier`` nodes of smaller place; the n nodes of a class make n * (n - 1) / 2 pairs.
+    """
+    of = Window.partitionBy(*by)
+    place = F.row_number().over(of.orderBy(order, node))
+    return links.select(*by, node, place.cast("long").alias("place"), (place - 1).cast("long").alias("earlier"), F.count(F.lit(1)).over(of).alias("n"))
+
+
 def nearest_earlier(links: DataFrame, by: list[str], node: str, order: str, most: int) -> DataFrame:
     """For each node its ``most`` nearest earlier nodes that share a member, found member by member.
 

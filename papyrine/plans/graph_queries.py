@@ -194,7 +194,7 @@ def _(s, d):
 @query("rel_same_symbols", _FSQ + """, r as (select *, row_number() over (partition by document_id, symbol order by ord, formula_id) as r from fs)
 select a.document_id, a.formula_id as source_id, b.formula_id as target_id, min(a.symbol) as symbol from r a join r b on a.document_id = b.document_id and a.symbol = b.symbol and a.r > b.r where a.r <= 12 and b.r <= 12 group by 1, 2, 3""")
 def _(s, d):
-    """Later to earlier formula of a document with a symbol in common; first twelve formulas of a symbol, as the operator's budget says."""
+    """Later to earlier formula of a document with a symbol in common; only the first twelve formulas of a symbol, as in its SQL; rel_symbol_classes has all of them."""
     p = graph.co_members(fs(s, d), ["document_id", "symbol"], "formula_id", "ord", 12)
     return p.groupBy("document_id", "source_id", "target_id").agg(F.min("symbol").alias("symbol"))
 
