@@ -1,4 +1,7 @@
+import pytest
+
 from papyrine.operators import graph
+from papyrine.plans import relation_queries as rel
 
 
 def test_classes_keep_every_pair(spark):
@@ -6,3 +9,36 @@ def test_classes_keep_every_pair(spark):
     got = graph.member_classes(links, ["document_id", "symbol"], "formula_id", "ord").collect()
     assert len(got) == 62 and sum(x.earlier for x in got) == 60 * 59 // 2
     assert {(x.place, x.n) for x in got if x.formula_id == "f59"} == {(60, 60)}
+
+
+SAID = {
+    "ru_where_dash": ("Где N — остаток энергии.", "N", "остаток энергии"),
+    "ru_where_is": ("где x_1 является мерой", "x_1", "мерой"),
+    "ru_denotes": ("α обозначает поток", "α", "поток"),
+    "ru_named": ("T называется порогом", "T", "порогом"),
+    "ru_defined_as": ("q определяется как сумма", "q", "сумма"),
+    "ru_let": ("Пусть z есть корень", "z", "корень"),
+    "ru_denote_by": ("через V обозначим объём", "V", "объём"),
+    "ru_is": ("β – это шаг", "β", "шаг"),
+    "en_where_is": ("where w_{2} is the weight", "w_2", "the weight"),
+    "en_denotes": ("N denotes " + "a long tail " * 10, "N", ("a long tail " * 10).strip()),
+    "en_defined_as": ("q is defined as the sum", "q", "the sum"),
+    "en_let_be": ("Let k be an index;", "k", "an index"),
+    "en_represents": ("θ represents an angle", "θ", "an angle"),
+    "en_denote_by": ("we denote by R the radius", "R", "the radius"),
+}
+
+
+@pytest.fixture(scope="module")
+def defined(spark):
+    df = spark.createDataFrame([(k, v[0]) for k, v in SAID.items()] + [("null", None), ("twice", "N denotes first. N denotes FIRST.")], "id string, t string")
+    return {(x.id, x.rule, x.symbol, x.definition) for x in rel.rule_definitions(df, ["id"], "t").collect()}
+
+
+@pytest.mark.parametrize("rule", SAID)
+def test_every_rule_of_the_survey(defined, rule):
+    assert (rule, rule, *SAID[rule][1:]) in defined
+
+
+def test_definitions_once(defined):
+    assert {x for x in defined if x[0] in ("null", "twice")} == {("twice", "en_denotes", "N", "first")}
