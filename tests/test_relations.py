@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from papyrine.operators import graph
 from papyrine.plans import relation_queries as rel
@@ -42,3 +43,12 @@ def test_every_rule_of_the_survey(defined, rule):
 
 def test_definitions_once(defined):
     assert {x for x in defined if x[0] in ("null", "twice")} == {("twice", "en_denotes", "N", "first")}
+
+
+def test_missing_relations_come_out(spark, data):
+    x = {r.relation: r.n for r in rel.QUERIES["rel_of_contexts"](spark, data).groupBy("relation").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert x["variable_defined_in_context"] > 0
+    shared = rel.QUERIES["sem_shared_variable"](spark, data)
+    pairs = shared.alias("a").join(shared.alias("b"), ["document_id", "symbol"]).where("a.place < b.place").count()
+    assert shared.agg(F.sum("later")).head()[0] == pairs > 0
+    assert 0 < shared.where("defines").agg(F.sum("later")).head()[0] < pairs
