@@ -16,7 +16,7 @@ Defined results
 * null and blank texts have no sentences; a line without any mark is one sentence
 * the end of a sentence is a number of characters (code points) from the start of the text, closing marks included
 * rows delivered again give the same rows once; texts of any length are read whole
-* the model keeps the most frequent contexts (a parameter); rarer ones are judged by the shape of their words
+* the model counts every context of all texts, those seen once too, whatever the size of the input
 """
 
 from __future__ import annotations
@@ -30,10 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.operators.common import cut
-
-#: Contexts that the model is fitted to, the most frequent ones of all texts.
-MODEL_CONTEXTS = 150_000
 ROUNDS = 4
 DISCOUNT = 2.0
 #: Candidates this close share context words and are decided together.
@@ -353,19 +349,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def fit(texts: DataFrame, most: int = MODEL_CONTEXTS) -> Model:
-    """The model of all texts (one string column)."""
+def fit(texts: DataFrame) -> Model:
+    """The model of all contexts of all texts (one string column)."""
     counts = texts.mapInArrow(_contexts, "kind int, l string, m string, r string, s string, n long").groupBy("kind", "l", "m", "r", "s").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    # The least count that leaves at most so many contexts, from the (short) table of how many have each count.
-    spectrum = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    least, left = 1, most
-    for n, k in spectrum:
-        left -= k
-        if left < 0:
-            least = n + 1
-            break
-    rows = counts.where(F.col("n") >= least).toArrow().sort_by([(c, "ascending") for c in ("kind", "l", "m", "r", "s")]).to_pydict()
+    rows = counts.toArrow().sort_by([(c, "ascending") for c in ("kind", "l", "m", "r", "s")]).to_pydict()
     return Model(list(zip(rows["kind"], rows["l"], rows["m"], rows["r"], rows["s"], rows["n"], strict=True)))
 
 
@@ -384,7 +371,7 @@ class _Shipped:
 
 def sentence_ends(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
     """(keys, ends) with the ends of all sentences of each row's text."""
-    shipped = df.sparkSession.sparkContext.broadcast(_Shipped(model))  # bounded by MODEL_CONTEXTS
+    shipped = df.sparkSession.sparkContext.broadcast(_Shipped(model))  # grows with the different contexts of the texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value.open()

@@ -150,6 +150,15 @@ def test_language_segments_and_tables(spark, model):
     assert language.fit(df.where("false"), "doc_id", "text", "language", codes).languages == []
 
 
+def test_contexts_seen_once_count_whatever_their_number(spark):
+    from string import ascii_lowercase as abc
+
+    word = lambda i: "".join(abc[i // 26**k % 26] for k in range(4))
+    rows = [("\n".join(f"Q{word(i)} holds." for i in range(a, a + 2000)),) for a in range(0, 170_000, 2000)]
+    m = sentences.fit(spark.createDataFrame(rows, "text string"))
+    assert m.event[".", "mark"][1] == 170_000 and sum(m.after["S", "", 1].values()) == 170_000
+
+
 # ---- scans --------------------------------------------------------------------------------------------------------
 
 BODY = ["the", "smooth", "density", "of", "every", "measured", "sample", "remains", "constant", "under", "these", "conditions", "because", "the", "control", "law", "is", "linear"]
