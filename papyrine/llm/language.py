@@ -8,7 +8,8 @@ scores per bucket. Confidence is the softmax at a temperature fitted on held-out
 language is rejected as ``und``.
 
 A text's language is the one of most of its letters, counted over its lines (short lines are judged together). A line is
-foreign if it is whole sentences and surely of another language.
+foreign if it is whole sentences and surely of another language; for that, each line that ends like a sentence is judged
+by itself, however short.
 
 Defined results
 * null texts and texts without words (blank, only links, numbers or formulas) have no language and are no cases
@@ -34,8 +35,9 @@ SAMPLE, LINES, ROW_LINES = 4000, 12_000, 5
 BUCKETS, DIM, RATE = 1 << 16, 16, 0.6
 #: Passes of each fit: the first ones are short, lest they learn the wrong labels by heart, and clean the sample.
 FIRST_EPOCHS = (3, 4, 4)
-#: Letters that a line needs to be judged by itself, and to be foreign.
+#: Letters that a line needs to be judged by itself, and to be foreign; a Chinese, Japanese or Korean letter says more.
 SHORT, FOREIGN = 15, 18
+FOREIGN_BY_SCRIPT = (("\u3040", "\u9fff", 6), ("\uac00", "\ud7a3", 8))
 #: Confidence below which no language is given, and above which a line is foreign.
 REJECT, SURE = 0.4, 0.8
 BLOCK = 1 << 17
@@ -282,7 +284,7 @@ def judged(df: DataFrame, keys: list[str], text: str, classifier: Classifier, se
 
 
 def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, segments: bool) -> list[tuple]:
-    lines, owner, number, starts = [], [], [], []
+    lines, owner, number, starts, weight = [], [], [], [], []
     for i, t in enumerate(texts):
         if not t:
             continue
@@ -295,25 +297,27 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
             m = masked(x) if segments or "\\" in x or "http" in x or "<" in x or "[" in x else x
             if len(m) < SHORT + 5:
                 short.append(m)
-            else:
+            if len(m) >= SHORT + 5 or segments and ended and _whole(m):
                 lines.append(m)
                 owner.append(i)
                 number.append(n)
                 starts.append(ended)
+                weight.append(len(m) >= SHORT + 5)  # letters of short lines count with line 0
             ended = not segments or bool(_ENDED.search(x)) or _thai(x)
         if short:  # short lines together, as line 0
             lines.append(" ".join(short))
             owner.append(i)
             number.append(0)
             starts.append(False)
+            weight.append(True)
     if not lines:
         return []
     best, sure, count = c.judge(lines)
-    own = np.array(owner)
+    own, counted = np.array(owner), count * np.array(weight)
     score = np.zeros((len(texts), k))
-    np.add.at(score, (own, best), count)
+    np.add.at(score, (own, best), counted)
     trust = np.zeros((len(texts), k))
-    np.add.at(trust, (own, best), count * sure)
+    np.add.at(trust, (own, best), counted * sure)
     out = []
     start = 0
     for i in np.unique(own).tolist():
@@ -327,7 +331,7 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
             foreign = []
             if segments:
                 for j in range(start, end):
-                    if number[j] and starts[j] and best[j] != main and sure[j] >= SURE and count[j] >= FOREIGN and _whole(lines[j]):
+                    if number[j] and starts[j] and best[j] != main and sure[j] >= SURE and count[j] >= _least(lines[j]) and _whole(lines[j]):
                         foreign.append({"segment_no": number[j], "language": c.languages[best[j]], "confidence": float(sure[j])})
             by = [(c.languages[x], int(score[i, x])) for x in np.flatnonzero(score[i]).tolist()]
             name = c.languages[main] if confidence >= REJECT or len(by) > 1 else "und"
@@ -336,6 +340,12 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
     return out
 
 
+def _least(line: str) -> int:
+    """Letters that a line needs to be foreign, by the script of most of its words' letters."""
+    own = [c for w in _WORDS.findall(line) for c in w]
+    return next((n for a, b, n in FOREIGN_BY_SCRIPT if 2 * sum(a <= c <= b for c in own) > len(own)), FOREIGN)
+
+
 def _whole(line: str) -> bool:
     """Whether a line can be whole sentences: it ends like one, or is of a script that marks no ends."""
     return bool(_ENDED.search(line.strip())) or _thai(line)

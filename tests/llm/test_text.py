@@ -159,6 +159,15 @@ def test_contexts_seen_once_count_whatever_their_number(spark):
     assert m.event[".", "mark"][1] == 170_000 and sum(m.after["S", "", 1].values()) == 170_000
 
 
+def test_short_foreign_sentences(spark, model):
+    r = random.Random(8)
+    zh = line("zh", r)[:9].rstrip("。") + "。"
+    text = "\n".join([line("en", r), zh, line("en", r), zh[:4] + "。", zh[:-1], "", "Fig. 2.", line("en", r)])
+    got = language.judged(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], "text", model, True).head()
+    assert got.language == "en" and [(s.segment_no, s.language) for s in got.foreign] == [(2, "zh")]
+    assert got.n_letters == language.judged(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], "text", model, False).head().n_letters
+
+
 # ---- scans --------------------------------------------------------------------------------------------------------
 
 BODY = ["the", "smooth", "density", "of", "every", "measured", "sample", "remains", "constant", "under", "these", "conditions", "because", "the", "control", "law", "is", "linear"]
