@@ -1,8 +1,10 @@
-"""Relations whole where the older queries of their family keep to a budget: nothing is capped, pairs come as class and count."""
+"""Relations and letters whole where the older queries of their family keep to a budget: nothing is capped, pairs come as class and count."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions import latex
@@ -117,3 +119,13 @@ def _(s, d):
     refs = c.join(f.select(*key), key, "left_semi").select("document_id", F.col("formula_id").alias("source_id"), named)
     b = refs.join(f.select("document_id", F.col("formula_id").alias("target_id"), F.col("ord").cast("string").alias("ref")), ["document_id", "ref"]).where("source_id <> target_id").distinct()
     return a.unionByName(b.select(F.lit("formula_references_formula").alias("relation"), "document_id", "source_id", "target_id", F.lit(0.62).alias("confidence")).distinct())
+
+
+def greek_commands(c: Column) -> Column:
+    return reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), latex.GREEK.items(), c)
+
+
+@query("latex_greek_all_to_commands", sql("formulas") + "select document_id, formula_id, " + reduce(lambda a, kv: f"replace({a}, '{kv[0]}', '{kv[1]}')", latex.GREEK.items(), "array_to_string(symbols, ' ')") + " as commands from formulas where symbols is not null")
+def _(s, d):
+    """The whole table of Greek letters; latex_greek_to_commands has the first eight of it, as its SQL does."""
+    return current(s, d, "formulas", "symbols").where("symbols is not null").select("document_id", "formula_id", greek_commands(F.array_join("symbols", " ")).alias("commands"))

@@ -52,3 +52,8 @@ def test_missing_relations_come_out(spark, data):
     pairs = shared.alias("a").join(shared.alias("b"), ["document_id", "symbol"]).where("a.place < b.place").count()
     assert shared.agg(F.sum("later")).head()[0] == pairs > 0
     assert 0 < shared.where("defines").agg(F.sum("later")).head()[0] < pairs
+
+
+def test_every_greek_letter_of_the_table(spark):
+    got = spark.createDataFrame([("α π φ ω τ μ ζ x",)], "c string").select(rel.greek_commands(F.col("c"))).head()[0]
+    assert got == r"\alpha \pi \phi \omega \tau \mu \zeta x"
