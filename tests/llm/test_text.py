@@ -36,11 +36,33 @@ def test_plain_text_is_unchanged_and_structure_kept():
 
 def test_markup_tables(spark):
     df = spark.createDataFrame([("d", "r", "**x**", None, 1), ("d", "s", None, "<b>", 2), ("d", "t", "", "plain", 3)], "document_id string, record_id string, a string, b string, found int")
-    assert sorted(r.record_id for r in markup.scanned(df, ["document_id", "record_id"], ["a", "b"]).where("found").collect()) == ["r", "s"]
-    assert markup.scanned(df.where("false"), ["document_id"], ["a"]).count() == 0
-    assert markup.cleaned(df, ["record_id"], "a").count() == 3
-    pages = spark.createDataFrame([("h", i, f"<div><p>{i}</p></div> \\emph{{x}}") for i in range(4)] + [("h", 9, "plain")], "host string, page int, text string")
-    assert [sorted(r.tokens) for r in markup.templates(pages, "host", "page", "text").collect()] == [sorted(["</div>", "</p>", "<div>", "<p>", "\\emph"])]
+    keys = ["document_id", "record_id"]
+    pages = markup.page_signs(df, keys, "document_id", ["a", "b"])
+    found = markup.verified(pages, markup.classes(pages, least=1), keys)
+    assert sorted(r.record_id for r in found.collect()) == ["r", "s"]
+    none = markup.page_signs(df.where("false"), keys, "document_id", ["a"])
+    assert none.count() == 0 and markup.verified(none, markup.classes(none), keys).count() == 0
+    assert {r.record_id: r.clean_text for r in markup.cleaned(df, ["record_id"], "a", found.select("record_id")).collect()} == {"r": "x", "s": None, "t": ""}
+
+
+def test_templates_are_classes_of_one_occurrence_vector(spark):
+    rows = [("h", i, f"<div><p>{i} (note)</p></div> \\emph{{x{i}}}") for i in range(4)] + [("h", 9, "plain (text)"), ("h", 10, "<div>")]
+    df = spark.createDataFrame(rows, "host string, page_id int, text string")
+    pages = markup.page_signs(df, ["page_id"], "host", ["text"])
+    valid = markup.classes(pages, least=3).where("host = 'h'")
+    got = {tuple(r.tokens): r for r in markup.templates(pages, valid, ["page_id"]).collect()}
+    assert any({"</p", "<p", "\\emph{", "}\\emph{"} <= set(t) and r.pages == 4 and r.slots == len(t) - 1 for t, r in got.items())
+    held = markup.slots(df, pages, valid, ["page_id"], "text").collect()
+    assert {r.page_id for r in held if "(note)" in r.slot} == {0, 1, 2, 3}
+    # The page with a single tag of its own kind is found by the class of that tag; parentheses are a class, but no markup.
+    assert sorted(r.page_id for r in markup.verified(pages, markup.classes(pages), ["page_id"]).collect()) == [0, 1, 2, 3, 10]
+
+
+def test_markup_of_any_length_and_depth():
+    assert all(markup.holds(t) for t in ("$" + "x + " * 400 + "y$", "\\[" + "x + " * 4000 + "y\\]", "\\(" + "x + " * 4000 + "y\\)", "an *" + "long " * 200 + "word* here", "an _" + "long " * 200 + "word_ here"))
+    assert markup.clean("\\emph{" * 40 + "x" + "}" * 40 + " y") == "x y"
+    assert markup.clean("a {{b {{c {{d}} e}} f}} g") == "a g"
+    assert markup.clean("\\section{The \\emph{big} one}\nrest \\{a\\}") == "# The big one\nrest {a}"
 
 
 # ---- sentences ----------------------------------------------------------------------------------------------------
