@@ -1,19 +1,22 @@
 """Repair of text from scanned pages.
 
-A text is read as a stream of lines. Each line is body, running header or page number by its form; dynamic programming
-over the body lines chooses where paragraphs end, so that words and sentences run on across what stands in between.
-The body's words are read without line ends under a unigram model of all texts: a word as it stands is weighed against
-readings with confused characters put right, with its neighbour joined (added spaces, letters set apart), and with its
-two halves joined across a hyphen at a line end; the cheaper reading wins. These readings are weighed one by one, with
-the same costs, not as one joint path through a lattice: a word that is both split and misread is found by one of the
-two, but repaired only in that respect. In scripts without spaces the same is done per character, with the two
-neighbours as context. A text without findings comes out as it is.
-
-The unigram model counts the words of all texts; the most frequent ``LEXICON`` words of it go to the workers.
+A text is read as a stream of lines. Each line is body, running header or page number, by its form and by how it is
+repeated; dynamic programming over the body lines chooses where paragraphs end, so that words and sentences run on across
+what stands in between. The body's characters, line ends taken out, are then decoded under a unigram model of all texts:
+a lattice of words spans the characters, in which a word may cover a space (added inside it), a hyphen at a line end, any
+number of confused characters, or end without a space (words run together), in any combination; each of these costs, and
+the cheapest path is the reading. Words are followed through the lattice letter by letter along prefixes of known words,
+and a path is given up only when it costs more than the characters as they stand, so nothing is lost by the search.
+Stretches in which every word is known and right by itself and no line ends with a hyphen are their own reading and are
+not decoded. In scripts without spaces characters are weighed in the context of their two neighbours. A text without
+findings comes out as it is.
+
+The unigram model counts the words of all texts. What goes to the workers are the words that make up at least
+``LEAST_SHARE`` of all words (and are there three times); a rarer word counts as one that has just this share.
 
 Defined results
 * null and blank texts have no findings; null stays null
-* plain line breaks are no findings, nor are compounds and suspended hyphens at line ends
+* plain line breaks are no findings, nor are compounds and suspended hyphens at line ends, nor words run together
 * tables of numbers (most lines are numbers) have no page numbers
 * rows delivered again give the same case once; texts of any length are read whole
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +35,13 @@ from pyspark.sql import functions as F
 
 from papyrine.operators.common import cut
 
-#: Words of the model that are sent to the workers, at most.
-LEXICON = 300_000
+#: Words that are less than this share of all words (one in 10^9) are no readings, and count as if they were just this.
+LEAST_SHARE = 1e-9
+#: A word with a space added is right if it costs so much less than its parts; so is one that was broken at a hyphen; so
+#: much is added for words run together, and for parts that stand apart at a hyphen.
+SPACE, HYPHEN, RUN, APART = 4.0, 0.5, 14.0, 2.0
+#: A confused character must make the reading so much cheaper, besides its penalty.
+MARGIN = 0.7
 #: A confused character must make a word so many times as frequent.
 RATIO = 25.0
 
@@ -59,14 +68,13 @@ _PICTURE = re.compile("(?s)([㐀-鿿぀-ヿ。，、；：？！“”0-9A-Za-z
 _EVERY_PICTURE = sorted(set(PICTURES) | set(PICTURES.values()))
 _SPACED = re.compile(rf"(?<![^\s(«„“\"'])({_LETTER}(?:[ \n]{_LETTER}){{3,}})(?![^\s.,;:!?)»”“\"'])")
 
-#: Words that journals, proceedings and authors' lines of page margins are made of; fixed values.
-_JOURNAL = r"annals|transactions|proceedings|proc|letters|journal|bulletin|review|reviews|acta|archiv|annalen|zeitschrift|revue|annales|revista|anales|вестник|журнал|известия|вісник|труды|записки|workshop|symposium|conference|lecture notes"
+#: Forms of journal, proceedings and authors' lines of page margins, by the words they are made of.
 _HEADER = re.compile(
     rf"(?ix)^(?:\d{{1,4}}\s*(?:\||\s)\s*)?(?:(?:annals|annales|anales|journal|bulletin|transactions|proceedings|review|reviews|revue|revista|archives)\s+(?:of|on|de|des|der|für|for|in)\s+\S.{{0,60}}?"
-    r"|proc\.?\s+\S.{0,50}?(?:workshop|conf\.?|symposium|congress)(?:\s+\d+)?"
-    r"|(?:вестник|вісник|журнал|известия)\s+«[^»\n]{1,50}»(?:,?\s*№?\s*\d+)?"
-    r"|\S.{0,40}?\s(?-i:Letters|LETTERS|Journal|JOURNAL|Bulletin|BULLETIN|Proceedings|PROCEEDINGS|Transactions|TRANSACTIONS)"
-    r"|[^\W\d_]\.(?:\s?[^\W\d_]\.)?\s*\S{2,30}(?:\s+(?:et\s+al\.|и\s+др\.|та\s+ін\.|et\s+coll\.|y\s+cols\.|u\.\s*a\.))?\s*/\s*\S.{0,40}?)"
+    r"|proc\.?\s+\S.*?(?:workshop|conf\.?|symposium|congress)(?:\s+\d+)?"
+    r"|(?:вестник|вісник|журнал|известия)\s+«[^»\n]+»(?:,?\s*№?\s*\d+)?"
+    r"|\S.*?\s(?-i:Letters|LETTERS|Journal|JOURNAL|Bulletin|BULLETIN|Proceedings|PROCEEDINGS|Transactions|TRANSACTIONS)"
+    r"|[^\W\d_]\.(?:\s?[^\W\d_]\.)?\s*\S{2,}(?:\s+(?:et\s+al\.|и\s+др\.|та\s+ін\.|et\s+coll\.|y\s+cols\.|u\.\s*a\.))?\s*/\s*\S.*?)"
     r"(?:,?\s*(?:vol|no|bd|t|том|№)\.?\s*\d+)?(?:\s*\||\s)?(?:\s*\d{1,4})?\s*$"
 )
 _PAGE = re.compile(
@@ -109,12 +117,16 @@ def compounds(low: str) -> list[str]:
 
 
 def counted(text: str) -> list[str]:
-    """What the model counts of a text: words, compounds, and characters with their context."""
+    """What the model counts of a text: words, compounds, characters with their context, and running titles."""
     out = tokens(text)
     if "-" in text or "‐" in text or "‑" in text:
         out += compounds(text.lower())
     if any(c in text for c in _EVERY_PICTURE):
         out += [f"\x01{m[0]}{m[1]}{m[2]}" for m in _PICTURE.findall(text.replace("\n", ""))]
+    for x in text.split("\n"):
+        x = x.strip()
+        if x and (x[0].isdigit() or x[-1].isdigit()) and (form := titled(x)):
+            out.append(f"\x02{form}")
     return out
 
 
@@ -135,89 +147,260 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Costs of words under the unigram model, and the memory of what is known to be right."""
+    """Costs of words under the unigram model, and the lattice of readings."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: float | None = None):
         self.counts = counts
-        self.total = float(sum(n for w, n in counts.items() if w[0] != "\x01") or 1)
+        self.total = float(total or sum(n for w, n in counts.items() if w[0] > "\x02") or 1)
         self.penalty = math.log(RATIO)
-        self.memo: dict[str, tuple[str, float]] = {}
-        self.fine = {w for w, n in counts.items() if w[0] != "\x01" and n >= 3 and (n >= self.total / 2e4 or self.best(w)[0] == w)}
+        self.floor = max(1.0, self.total * LEAST_SHARE)
+        #: Words that can be readings, in order, so that whether a prefix leads anywhere is a binary search.
+        self.words = sorted(w for w, n in counts.items() if n >= 5 and w[0] > "\x02" and "-" not in w)
+        self.prefixes: dict[str, bool] = {}
+        self.memo: dict[str, list[tuple[int, int, str, frozenset[str]]]] = {}
+        self.known: dict[str, bool] = {}
 
     def cost(self, w: str) -> float:
+        """Cost of a word that stands in a text."""
+        return -math.log(max(self.counts.get(w, 0), self.floor) / self.total)
+
+    def made(self, w: str) -> float:
+        """Cost of a word that is put together: one never seen costs by its length as well."""
         n = self.counts.get(w)
-        if n:
-            return -math.log(n / self.total)
-        return max(12.0, math.log(self.total)) + 0.7 * len(w)
-
-    def best(self, w: str) -> tuple[str, float]:
-        """The word that w most likely stands for, and its cost with the penalties of what was put right."""
-        known = self.memo.get(w)
-        if known is not None:
-            return known
-        own = self.cost(w)
-        best = (w, own)
-        if len(w) >= 2 and not w.isdigit() and not (len(w) == 2 and any("0" <= x <= "9" for x in w)):
-            seen = {w}
-            level = [(w, 0.0, 0)]
-            for _ in range(3):  # three confusions in one word at most
-                found = []
-                for x, p, at in level:
-                    for i in range(at, len(x)):
-                        for size in (1, 2):
-                            for r in _WRONG.get(x[i : i + size], ()):
-                                if len(x[i : i + size]) != size:
-                                    continue
-                                y = x[:i] + r + x[i + size :]
-                                if y in seen:
-                                    continue
-                                seen.add(y)
-                                # Signs that no word holds by itself cost little to put right.
-                                q = p + (self.penalty if x[i].isalpha() and x[i] != "ɑ" and not _foreign(x, i) else 0.5)
-                                found.append((y, q, i + len(r)))
-                                n = self.counts.get(y)
-                                if n and n >= 5 and -math.log(n / self.total) + q < best[1] - 0.7:
-                                    best = (y, -math.log(n / self.total) + q)
-                if len(found) > 400:
-                    break
-                level = found
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        self.memo[w] = best
-        return best
-
-
-def _foreign(w: str, i: int) -> bool:
-    """Whether the letter is of another alphabet than the rest of the word."""
-    c = w[i]
-    cyrillic = "Ѐ" <= c <= "ӿ"
-    rest = [x for k, x in enumerate(w) if k != i and x.isalpha()]
-    return bool(rest) and sum(("Ѐ" <= x <= "ӿ") != cyrillic for x in rest) * 2 > len(rest)
-
-
-def lines_of(text: str) -> list[tuple[str, str]]:
+        return -math.log(n / self.total) if n else max(12.0, math.log(self.total)) + 0.7 * len(w)
+
+    def leads(self, prefix: str) -> bool:
+        """Whether any word begins so."""
+        x = self.prefixes.get(prefix)
+        if x is None:
+            i = bisect_left(self.words, prefix)
+            x = i < len(self.words) and self.words[i].startswith(prefix)
+            if len(self.prefixes) > 500_000:
+                self.prefixes.clear()
+            self.prefixes[prefix] = x
+        return x
+
+    def fine(self, w: str) -> bool:
+        """Whether a word is known and its own best reading."""
+        x = self.known.get(w)
+        if x is None:
+            n = self.counts.get(w, 0)
+            x = n >= 3 and (n >= self.total / 2e4 or self.best(w) == w)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[w] = x
+        return x
+
+    def could_join(self, a: str, b: str) -> bool:
+        """Whether two neighbours make a word far more frequent than one of them."""
+        n = min(self.counts.get(a, 0), self.counts.get(b, 0))
+        return n < self.total / 2e4 and self.counts.get(a + b, 0) >= max(5.0, RATIO * n)
+
+    def best(self, w: str) -> str:
+        """What a single word most likely stands for."""
+        read = self.decoded(w) if _can_be_wrong(w) else ()
+        return read[0][2] if len(read) == 1 else w
+
+    def decoded(self, s: str) -> list[tuple[int, int, str, frozenset[str]]]:
+        """What the cheapest reading of a stretch of words puts right: (start, end, reading, kinds) of each change.
+
+        s has spaces between words, ``\\n`` at line ends and ``HYPHENATED`` where a word may run on over a line end.
+        """
+        known = self.memo.get(s)
+        if known is None:
+            known = self._decode(s)
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            self.memo[s] = known
+        return known
+
+    def _decode(self, s: str) -> list[tuple[int, int, str, frozenset[str]]]:
+        n = len(s)
+        ends = [k for k, c in enumerate(s) if c in _BETWEEN] + [n]
+        starts = [0, *[k + 1 for k in ends[:-1]]]
+        # The characters as they stand: the path that every other has to beat, and what is left of it from each place.
+        alone = [self.cost(s[a:e]) + (APART if e < n and s[e] == HYPHENATED else 0.0) for a, e in zip(starts, ends, strict=True)]
+        rest = {n: 0.0, n + 1: 0.0}
+        for a, c, e in zip(reversed(starts), reversed(alone), reversed(ends), strict=True):
+            rest[a] = c + rest[e + 1 if e < n else n]
+        best: dict[int, tuple[float, int, str, frozenset[str]]] = {0: (0.0, -1, "", frozenset())}
+        bound = rest[0]
+        word_at = dict(zip(starts, ends, strict=True))
+        wrong = [x for a, e in zip(starts, ends, strict=True) for x in [_can_be_wrong(s[a:e])] * (e - a + 1)]  # by character
+
+        def reach(q: int, cost: float, a: int, text: str, kinds: frozenset[str]) -> None:
+            nonlocal bound
+            if cost < best.get(q, (math.inf,))[0] - 1e-9:
+                best[q] = (cost, a, text, kinds)
+                if q in rest:
+                    bound = min(bound, cost + rest[q])
+
+        for a in range(n):
+            if a not in best:
+                continue
+            base = best[a][0]
+            if a in word_at:
+                e = word_at[a]
+                sep = s[e] if e < n else ""
+                reach(e + 1 if e < n else n, base + self.cost(s[a:e]) + (APART if sep == HYPHENATED else 0.0), a, s[a:e] + ("-\n" if sep == HYPHENATED else sep), frozenset())
+                if sep == HYPHENATED:
+                    e2 = word_at[e + 1]
+                    pair, sep2 = (s[a:e], s[e + 1 : e2]), s[e2] if e2 < n else ""
+                    after = e2 + 1 if e2 < n else n
+                    tail = "-\n" if sep2 == HYPHENATED else sep2
+                    whole = self.counts.get("-".join(pair))
+                    if whole:
+                        reach(after, base - math.log(whole / self.total), a, "-\n".join(pair) + tail, frozenset())
+                    reach(after, base + self.made("".join(pair)) + HYPHEN, a, "".join(pair) + tail, _HYPHEN_ONLY)
+            # Words that the characters from here on may stand for, letter by letter.
+            token = s[a : next(e for e in ends if e >= a)]
+            todo = [("", a, 0.0, frozenset())]
+            while todo:
+                pre, q, pen, kinds = todo.pop()
+                if base + pen >= bound:
+                    continue
+                c = s[q] if q < n else ""
+                count = self.counts.get(pre, 0)
+                if not c or c in _BETWEEN:
+                    if kinds and count >= 5 and self._allowed(pre, s[a:q], kinds, count):
+                        reach(q + 1 if c else n, base + pen - math.log(count / self.total) + (MARGIN if "character" in kinds else 0.0), a, pre + ("-\n" if c == HYPHENATED else c), kinds)
+                    if c and pre:
+                        todo.append((pre, q + 1, pen + _ACROSS[c][0], kinds | _ACROSS[c][1]))
+                    continue
+                if count >= 5 and len(pre) >= 4 and len(token) >= 8:
+                    reach(q, base + pen - math.log(count / self.total) + RUN, a, pre + " ", kinds | _RUN_ONLY)
+                if self.leads(pre + c):
+                    todo.append((pre + c, q + 1, pen, kinds))
+                for size in (1, 2) if wrong[q] else ():
+                    for r in _WRONG.get(s[q : q + size], ()) if q + size <= n else ():
+                        if self.leads(pre + r):
+                            # Signs that no word holds by itself cost little to put right.
+                            todo.append((pre + r, q + size, pen + (self.penalty if c.isalpha() and c != "ɑ" and not _foreign(s, q) else 0.5), kinds | _CHARACTER_ONLY))
+                if wrong[q] and q + 2 < n and s[q + 1] in _BETWEEN:  # two characters for one, with a space or a line end between them
+                    over, own = _ACROSS[s[q + 1]]
+                    for r in _WRONG.get(c + s[q + 2], ()):
+                        if self.leads(pre + r):
+                            todo.append((pre + r, q + 3, pen + self.penalty + over, kinds | own | _CHARACTER_ONLY))
+        out, q = [], n
+        while q > 0:
+            _, a, text, own = best[q]
+            if own:
+                out.append((a, q, text, own))
+            q = a
+        return out[::-1]
+
+    def _allowed(self, word: str, parts: str, kinds: frozenset[str], count: int) -> bool:
+        """A word with a space added must be well known, and far more frequent than one of its parts."""
+        if "space" not in kinds:
+            return True
+        own = re.split("[ \n\x03]", parts)
+        return len(word) > 3 and count >= RATIO * min(self.counts.get(x, 0) for x in own) and (len(own) < 3 or max(map(len, own)) > 1) and self.fine(word)
+
+
+#: Marks a hyphen at a line end in a stretch of words.
+HYPHENATED = "\x03"
+_BETWEEN = frozenset((" ", "\n", HYPHENATED))
+_SPACE_ONLY, _HYPHEN_ONLY, _CHARACTER_ONLY, _RUN_ONLY = frozenset(("space",)), frozenset(("hyphen",)), frozenset(("character",)), frozenset(("run",))
+#: What it costs a word to go on across each, and what is then put right; a line end may stand where a space was added.
+_ACROSS = {" ": (SPACE, _SPACE_ONLY), "\n": (SPACE, _SPACE_ONLY), HYPHENATED: (HYPHEN, _HYPHEN_ONLY)}
+
+
+def _can_be_wrong(w: str) -> bool:
+    return len(w) >= 2 and not w.isdigit() and not (len(w) == 2 and any("0" <= x <= "9" for x in w))
+
+
+def _foreign(s: str, i: int) -> bool:
+    """Whether a letter is of another alphabet than the rest of its word."""
+    cyrillic = "Ѐ" <= s[i] <= "ӿ"
+    own = other = 0
+    for step in (-1, 1):
+        k = i + step
+        while 0 <= k < len(s) and s[k] not in _BETWEEN:
+            if s[k].isalpha():
+                own += 1
+                other += ("Ѐ" <= s[k] <= "ӿ") != cyrillic
+            k += step
+    return other * 2 > own > 0
+
+
+def lines_of(text: str, lexicon: Lexicon | None = None) -> list[tuple[str, str]]:
     """(kind, line) of each line, kind one of body, header, page and blank.
 
-    A line is a header if it has the form of a journal, proceedings or authors' line, a page number if it has the form of
-    one; a lone number is a page number unless most lines are numbers.
+    A line is a header if it, or what it most likely reads, has the form of a journal, proceedings or authors' line, or
+    if it is a title with a number, repeated in the texts with other numbers, that stands at the edge of the text or
+    interrupts a sentence. A line that has the form of a page number is one; a lone number is, unless most lines are
+    numbers.
     """
     lines = text.split("\n")
-    numbers = sum(bool(re.fullmatch(r"[\s\d.,|;:+-]+", x)) for x in lines if x.strip())
-    filled = sum(bool(x.strip()) for x in lines)
+    numbers = sum(bool(_NUMBERS.fullmatch(x)) for x in lines if x.strip())
+    filled = [k for k, x in enumerate(lines) if x.strip()]
     out = []
-    for x in lines:
+    for k, x in enumerate(lines):
         s = x.strip()
         if not s:
             out.append(("blank", x))
-        elif len(s) <= 30 and _PAGE.match(s) and (numbers * 2 <= filled or filled <= 2):
+        elif _PAGE.match(s) and (numbers * 2 <= len(filled) or len(filled) <= 2):
             out.append(("page", x))
-        elif len(s) <= 110 and (_HEADER.match(s) or (_ODD.search(s) and _HEADER.match(_ODD_WORD.sub(lambda m: m.group().translate(_DIGITS), s)))):
+        elif _headed(s, lexicon):
+            out.append(("header", x))
+        elif lexicon is not None and (form := titled(s)) and lexicon.counts.get("\x02" + form, 0) >= 3 and (k in (filled[0], filled[-1]) and len(filled) > 1 or _interrupts(lines, k)):
             out.append(("header", x))
         else:
             out.append(("body", x))
     return out
 
 
+_NUMBERS = re.compile(r"[\s\d.,|;:+-]+")
+_EDGE_NUMBER = re.compile(r"^\d{1,4}\b(?![.,)]\d)|(?<![\d.,])\b\d{1,4}$")
+_PLAIN = frozenset("=/:?&#@_\\")
+_LONG_WORD = re.compile(r"[^\W\d_]{4,}")
+
+
+def _headed(s: str, lexicon: Lexicon | None) -> bool:
+    """Whether a line has a header's form; a line that closes a sentence has none, whatever it begins with."""
+    if s[-1] in _SENTENCE_MARKS:
+        return False
+    if _formed(s):
+        return True
+    if not _ODD.search(s):
+        return False
+    if _formed(_ODD_WORD.sub(lambda m: m.group().translate(_DIGITS), s)):
+        return True
+    if lexicon is None or not s[0].isupper() and not s[0].isdigit():
+        return False
+    read = _TOKEN.sub(lambda m: _cased(m.group(), lexicon), s)
+    return read != s and (_formed(read) or _formed(_ODD_WORD.sub(lambda m: m.group().translate(_DIGITS), read)))
+
+
+_SENTENCE_MARKS = frozenset(".!?。！？।؟…:;")
+_HEADER_WORDS = re.compile(r"(?i)annal|anales|journal|bulletin|transactions|proc|review|revue|revista|archives|вестник|вісник|журнал|известия|letters|/")
+
+
+def _formed(s: str) -> bool:
+    return bool(_HEADER_WORDS.search(s)) and bool(_HEADER.match(s)) and _title_like(s)
+
+
+def _title_like(s: str) -> bool:
+    """Whether most words of four letters and more are written with a capital, or there are few words at all."""
+    own = _LONG_WORD.findall(s)
+    return len(own) <= 4 or 2 * sum(w[0].isupper() for w in own) > len(own)
+
+
+def titled(s: str) -> str:
+    """What is the same in a running title on all pages: a title with a number at its edge, without the number; else ''."""
+    own = _LONG_WORD.findall(s)
+    if len(own) < 2 or not _EDGE_NUMBER.search(s) or _CLOSED.search(s) or not _PLAIN.isdisjoint(s) or 2 * sum(w[0].isupper() for w in own) <= len(own) or not s[-1].isalnum():
+        return ""
+    return re.sub(r"\d+", "0", s.lower())
+
+
+def _interrupts(lines: list[str], k: int) -> bool:
+    """Whether the line before leaves a sentence open and the line after goes on with it."""
+    before = next((x for x in reversed(lines[:k]) if x.strip()), "")
+    after = next((x for x in lines[k + 1 :] if x.strip()), "")
+    return bool(before and after) and not _CLOSED.search(before) and after.lstrip()[:1].islower()
+
+
 def paragraphs(lines: list[tuple[str, str]]) -> list[list[str]]:
     """Body lines by paragraph: dynamic programming over break or no break after each line.
 
@@ -243,19 +426,15 @@ def paragraphs(lines: list[tuple[str, str]]) -> list[list[str]]:
     kept = [0.0]
     for k in range(len(body) - 1):
         kept.append(kept[-1] + (6.0 if gap[k] else 2.5 if closes[k] else 0.0))
+    # best[i] is the least of best[j] + 1 + kept[i - 1] - kept[j] + edge(j) over all j < i, so one running minimum does.
     best, cut_before = [0.0], [0]
+    least = (math.inf, 0)
     for i in range(1, len(body) + 1):
-        choice = (math.inf, 0)
-        for j in range(i - 1, max(-1, i - 200), -1):
-            inner = kept[i - 1] - kept[j]
-            if inner > choice[0]:
-                break
-            edge = 0.0 if j == 0 or gap[j - 1] else 1.0 if closes[j - 1] else 8.0
-            c = best[j] + 1.0 + inner + edge
-            if c < choice[0]:
-                choice = (c, j)
-        best.append(choice[0])
-        cut_before.append(choice[1])
+        j = i - 1
+        edge = 0.0 if j == 0 or gap[j - 1] else 1.0 if closes[j - 1] else 8.0
+        least = min(least, (best[j] - kept[j] + edge, j))
+        best.append(least[0] + 1.0 + kept[i - 1])
+        cut_before.append(least[1])
     out, i = [], len(body)
     while i:
         j = cut_before[i]
@@ -264,75 +443,96 @@ def paragraphs(lines: list[tuple[str, str]]) -> list[list[str]]:
     return out[::-1]
 
 
+def _stretches(text: str, lexicon: Lexicon) -> Iterator[tuple[list[re.Match], str]]:
+    """The parts of a text that have to be decoded, with their words: what is not fine, with two words around."""
+    tokens = list(_TOKEN.finditer(text))
+    seps: list[str] = []
+    doubt: list[int] = []
+    for k, m in enumerate(tokens):
+        sep = ""
+        if k + 1 < len(tokens):
+            between = text[m.end() : tokens[k + 1].start()]
+            if between == " ":
+                sep = " "
+            elif between and between.isspace():
+                sep = "\n" if between.count("\n") < 2 else ""
+            elif between[0] in _HYPHEN and (x := _BREAK.match(text, m.start())) and x.end(1) == m.end() and x.start(2) == tokens[k + 1].start() and _may_be_broken(x, text, lexicon):
+                sep = HYPHENATED
+                doubt.append(k)
+        seps.append(sep)
+        w = m.group().lower()
+        if len(w) > 1 and not lexicon.fine(w) or sep in (" ", "\n") and lexicon.could_join(w, tokens[k + 1].group().lower()):
+            doubt.append(k)
+    done = -1
+    at = 0
+    doubt.sort()
+    while at < len(doubt):
+        k = doubt[at]
+        a = e = k
+        while a > 0 and k - a < 2 and seps[a - 1]:
+            a -= 1
+        until = k
+        while True:
+            while at < len(doubt) and doubt[at] <= e:
+                until = max(until, doubt[at] + 2)
+                at += 1
+            near = at < len(doubt) and doubt[at] - 2 <= e  # the next stretch would overlap
+            if e + 1 >= len(tokens) or not seps[e] or e >= until and not near:
+                break
+            e += 1
+        a = max(a, done + 1)
+        done = e
+        yield tokens[a : e + 1], "".join(tokens[i].group().lower() + (seps[i] if i < e else "") for i in range(a, e + 1))
+
+
 def findings(text: str | None, lexicon: Lexicon) -> list[str]:
     """Kinds of noise in a text: header, page, hyphen, space, character."""
     if not text:
         return []
     out: dict[str, None] = {}
     body = text
-    if "\n" in text or len(text) < 120:
-        kinds = lines_of(text)
-        for k, _ in kinds:
-            if k in ("header", "page"):
-                out[k] = None
-        if out:
-            body = "\n".join(x for k, x in kinds if k in ("body", "blank"))
-    if _hyphenated(body):
-        for m in _BREAK.finditer(body):
-            if _broken(m, body, lexicon):
-                out["hyphen"] = None
-                break
+    kinds = lines_of(text, lexicon)
+    for k, _ in kinds:
+        if k in ("header", "page"):
+            out[k] = None
+    if out:
+        body = "\n".join(x for k, x in kinds if k in ("body", "blank"))
+    if _hyphenated(body) and any(_sure_break(m) for m in _BREAK.finditer(body)):
+        out["hyphen"] = None
     for m in _SPACED.finditer(body):
         w = re.sub(r"[ \n]", "", m.group(1)).lower()
-        if w.isalpha() and (w in lexicon.fine or len(w) >= 6):
+        if w.isalpha() and (lexicon.fine(w) or len(w) >= 6):
             out["space"] = None
             break
-    rest = set(tokens(body)) - lexicon.fine
-    for w in rest:
-        if len(w) > 1 and lexicon.best(w)[0] != w:
-            out["character"] = None
-            break
+    for _, s in _stretches(body, lexicon):
+        for *_, own in lexicon.decoded(s):
+            out.update(dict.fromkeys(sorted(own - _RUN_ONLY)))
     if "character" not in out and any(c in body for c in PICTURES):
         for m in _PICTURE.finditer(body.replace("\n", "")):
             if _picture(m, lexicon) != m.group(2):
                 out["character"] = None
                 break
-    if "space" not in out and rest:
-        rare = {w for w in rest if w.isalpha() and len(w) > 1}
-        if rare:
-            found = _TOKEN.findall(body.lower())
-            for a, b in zip(found, found[1:], strict=False):
-                if (a in rare or b in rare) and _split(a, b, lexicon) and re.search(rf"(?<!\w){re.escape(a)} {re.escape(b)}(?!\w)", body.lower()):
-                    out["space"] = None
-                    break
     return list(out)
 
 
-def _split(a: str, b: str, lexicon: Lexicon) -> bool:
-    """Whether two neighbours are one word with a space added."""
-    n = lexicon.counts.get(a + b, 0)
-    return n >= 5 and a + b in lexicon.fine and lexicon.cost(a + b) + 4.0 < lexicon.cost(a) + lexicon.cost(b) and n >= RATIO * min(lexicon.counts.get(a, 0), lexicon.counts.get(b, 0)) and len(a + b) > 3
+def _sure_break(m: re.Match) -> bool:
+    """Whether the sign at a line end does nothing but break a word."""
+    return m.string[m.end(1)] in "­¬"
 
 
-def _broken(m: re.Match, text: str, lexicon: Lexicon) -> bool:
-    """Whether a hyphen at a line end breaks a word (and is no compound, and not suspended)."""
+def _may_be_broken(m: re.Match, text: str, lexicon: Lexicon) -> bool:
+    """Whether a hyphen at a line end can break a word: it is no part of a name, a chain of hyphens, and not suspended."""
     a, b = m.group(1).lower(), m.group(2).lower()
-    hyphen = text[m.end(1)]
-    if hyphen in "­¬":
+    if _sure_break(m):
         return True
     if m.group(2)[0].isupper() and not m.group(1).isupper():
         return False
-    # The whole of what is joined: earlier and later parts of a chain of hyphens make it a compound.
+    # Earlier and later parts of a chain of hyphens make it a compound.
     before = text[m.start(1) - 1] if m.start(1) else " "
     after = text[m.end(2)] if m.end(2) < len(text) else " "
-    joined = min(lexicon.cost(a + b), lexicon.best(a + b)[1])
-    whole = lexicon.cost(f"{a}-{b}") if f"{a}-{b}" in lexicon.counts else math.inf
-    apart = min(lexicon.best(a)[1], lexicon.cost(a)) + min(lexicon.best(b)[1], lexicon.cost(b)) + 2.0
     if before in "-‐" or after in "-‐":
-        return a + b in lexicon.fine and not (a in lexicon.fine and b in lexicon.fine)
-    if b in ("und", "oder", "y", "e", "et", "ou", "and", "or", "и", "или", "та") and a + b not in lexicon.fine:
-        return False
-    return joined + 0.5 < min(whole, apart)
+        return lexicon.fine(a + b) and not (lexicon.fine(a) and lexicon.fine(b))
+    return not (b in ("und", "oder", "y", "e", "et", "ou", "and", "or", "и", "или", "та") and not lexicon.fine(a + b))
 
 
 def _picture(m: re.Match, lexicon: Lexicon) -> str:
@@ -349,62 +549,59 @@ def repaired(text: str | None, lexicon: Lexicon) -> str | None:
     if not findings(text, lexicon):
         return text
     out = []
-    for own in paragraphs(lines_of(text or "")):
+    for own in paragraphs(lines_of(text or "", lexicon)):
         t = "\n".join(x.strip() for x in own)
-        t = re.sub(_BREAK, lambda m, t=t: m.group(1) + m.group(2) if _broken(m, t, lexicon) else m.group(), t)
+        t = _BREAK.sub(lambda m: m.group(1) + m.group(2) if _sure_break(m) else m.group(), t)
+        t = _reread(t, lexicon)
         glue = "" if len(re.findall(f"[{_NO_SPACES}]", t)) * 2 > len(t) else " "
         t = re.sub(r"(?<=[-‐])\n", "", t).replace("\n", glue)
         t = _SPACED.sub(lambda m: re.sub(r"[ \n]", "", m.group(1)), t)
-        t = _joined(t, lexicon)
-        t = _TOKEN.sub(lambda m: _cased(m.group(), lexicon), t)
         t = _PICTURE.sub(lambda m: m.group(1) + _picture(m, lexicon), t)
         out.append(t)
     return "\n\n".join(out)
 
 
-def _joined(t: str, lexicon: Lexicon) -> str:
-    """Words with a space added inside are joined: the cheaper of the two readings of each pair, from left to right."""
-    parts = re.split(r"( )", t)
-    i = 0
-    while i + 2 < len(parts):
-        a, b = parts[i], parts[i + 2]
-        if parts[i + 1] == " " and a.isalpha() and (m := _TOKEN.match(b)) and (a.lower() not in lexicon.fine or m.group().lower() not in lexicon.fine) and _split(a.lower(), m.group().lower(), lexicon):
-            parts[i : i + 3] = [a + b]
-        else:
-            i += 2
-    return "".join(parts)
+def _reread(t: str, lexicon: Lexicon) -> str:
+    """Every stretch in doubt replaced by its best reading, words that stay as they are written."""
+    out, at = [], 0
+    for words, s in _stretches(t, lexicon):
+        places = []  # of each character of the stretch in the text
+        for m in words:
+            places += range(m.start(), m.end())
+            places.append(m.end())
+        if len(places) != len(s) + 1:  # letters whose small form has another length
+            continue
+        for a, q, read, _ in lexicon.decoded(s):
+            start, end = places[a], places[q] if q == len(s) else places[q - 1] if s[q - 1] in _BETWEEN else places[q]
+            old, new = t[start:end], read.rstrip(" \n" + HYPHENATED)
+            out.append(t[at:start])
+            out.append(new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[0].isupper() else new)
+            at = end
+    return "".join([*out, t[at:]])
 
 
 def _cased(w: str, lexicon: Lexicon) -> str:
     low = w.lower()
-    if low in lexicon.fine or len(low) < 2:
+    if len(low) < 2 or lexicon.fine(low):
         return w
-    x = lexicon.best(low)[0]
+    x = lexicon.best(low)
     return w if x == low else x.upper() if w.isupper() and len(w) > 1 else x.capitalize() if w[0].isupper() else x
 
 
-def model(texts: DataFrame, most: int = LEXICON) -> Lexicon:
-    """The unigram model of all texts (one string column), bounded to its most frequent entries."""
+def model(texts: DataFrame) -> Lexicon:
+    """The unigram model of all texts (one string column)."""
     counts = cut(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    spectrum = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    least, left = 1, most
-    for n, k in spectrum:
-        left -= k
-        if left < 0:
-            least = n + 1
-            break
-    rows = counts.where(F.col("n") >= least).toArrow().to_pydict()
-    return Lexicon(dict(zip(rows["word"], rows["n"], strict=True)))
+    total = counts.where(F.col("word") >= "\x03").agg(F.sum("n")).head()[0] or 1
+    rows = counts.where(F.col("n") >= max(3, total * LEAST_SHARE)).toArrow().to_pydict()  # at most 1 / LEAST_SHARE words
+    return Lexicon(dict(zip(rows["word"], rows["n"], strict=True)), total)
 
 
 def examined(df: DataFrame, keys: list[str], text: str, lexicon: Lexicon, repair: bool = False) -> DataFrame:
     """(keys, findings, repaired) of each row; repaired is null unless asked for."""
-    shipped = df.sparkSession.sparkContext.broadcast((lexicon.counts, lexicon.fine))  # LEXICON words at most
+    shipped = df.sparkSession.sparkContext.broadcast((lexicon.counts, lexicon.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon.__new__(Lexicon)
-        own.counts, own.fine = shipped.value
-        own.total, own.penalty, own.memo = float(sum(n for w, n in own.counts.items() if w[0] != "\x01") or 1), math.log(RATIO), {}
+        own = Lexicon(*shipped.value)
         for b in batches:
             col = b.column(len(keys)).to_pylist()
             found = [findings(t, own) for t in col]

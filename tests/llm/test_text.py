@@ -228,6 +228,45 @@ def test_repair_gives_continuous_paragraphs(lexicon):
     assert "sample" in scans.repaired("sarnple " * 20_000, lexicon)
 
 
+def test_faults_of_one_word_are_decoded_together(lexicon):
+    assert set(scans.findings("the den slty of every", lexicon)) == {"character", "space"}
+    assert scans.repaired("the den slty of every", lexicon) == "the density of every"
+    assert scans.repaired("The sarn ple remains", lexicon) == "The sample remains"
+    assert scans.repaired("the dens-\nlty of every", lexicon) == "the density of every"
+    assert scans.repaired("every rneasu-\nred sample", lexicon) == "every measured sample"
+    assert scans.repaired("the con ditlons", lexicon) == "the conditions"
+    assert scans.findings("the smoothdensity of every", lexicon) == []  # words run together are no noise of a scan
+
+
+def test_random_faults_are_repaired(lexicon):
+    r = random.Random(11)
+    wrong = [(x, y) for y, own in scans.CONFUSIONS.items() for x in own if y.isascii() and x.isascii() and x.isalnum()]
+    good = every = 0
+    for _ in range(300):
+        words = [r.choice(BODY) for _ in range(9)]
+        k = r.choice([i for i in range(9) if len(words[i]) > 5])
+        x, y = r.choice([p for p in wrong if p[1] in words[k]])
+        bad = words[k].replace(y, x, 1)
+        if r.random() < 0.5:
+            cut = r.randint(2, len(bad) - 2)
+            bad = bad[:cut] + r.choice([" ", "-\n"]) + bad[cut:]
+        every += 1
+        good += scans.repaired(" ".join([*words[:k], bad, *words[k + 1 :]]), lexicon) == " ".join(words)
+    assert good > 0.9 * every
+
+
+def test_running_titles_are_told_by_repetition():
+    from collections import Counter
+
+    c = Counter()
+    for k in range(9):
+        c.update(scans.counted(f"Studia Mathematica {30 + k}\nthe smooth density of every sample"))
+    lex = scans.Lexicon(dict(c))
+    assert scans.lines_of("the smooth density\nStudia Mathematica 77\nof every sample", lex)[1][0] == "header"
+    assert scans.lines_of("the smooth density\nStudia Botanica 77\nof every sample", lex)[1][0] == "body"  # not repeated
+    assert scans.paragraphs([("body", f"line {k} of a very long paragraph") for k in range(5000)]) != []
+
+
 def test_scans_tables(spark, lexicon):
     df = spark.createDataFrame([("d", "a", "the den-\nsity", 1), ("d", "b", None, 1), ("d", "c", "", 1)], "document_id string, record_id string, text string, findings int")
     got = {r.record_id: r.findings for r in scans.examined(df, ["document_id", "record_id"], "text", lexicon).collect()}
