@@ -2,20 +2,23 @@
 
 For each page the curve of rank and frequency of its words is fitted in SQL: words of one frequency are one point of the
 curve (frequency, number of words), a running sum over a window gives their ranks, and a weighted regression of the log
-frequency on the log rank gives slope and residual; the head is by how much the share of one word exceeds its share in prose. Divergence is what a
-page's word distribution has not in common with that of prose of the nearest language. Each figure is held against
-pages of that language of comparable length: the reference of a length class is what three quarters of its pages stay
-below (share in common) or half of them (head, slope), from all rows.
+frequency on the log rank gives slope and residual; the head is by how much the share of one word exceeds its share in
+prose. Divergence is what a page's word distribution has not in common with that of prose of the nearest language, over
+all words that make up at least ``LEAST_SHARE`` of it.
 
-A page is flagged if its share in common with prose, or its head, is extreme, or slope and residual both are. A flagged page
-is a case unless a check of its structure says otherwise: most of its words stand in sentences (for pages flagged by
-divergence), or its lines are mostly numbers, as in indexes and tables.
+Each of the four figures is held against pages of the same language and a comparable length: its distance from their
+median, in units of their spread (both from all rows; where pages of a language and length are few, they lean on pages of
+that length in all languages, and those on all pages, in proportion to their numbers). The distances add up to one score, standardised for every length. A page is
+flagged by a high score, or by sharing less than a part of what pages of its language have in common with prose. A
+flagged page is a case unless a check of its structure says otherwise: most of its words stand in sentences (unless its
+head or its divergence is extreme by itself), or its lines are mostly numbers, as in indexes and tables.
 
 Defined results
 * null texts, empty texts and texts without words are no cases
 * a language label that is null or unknown leaves the page out of the language models, not out of the result
+* a page without any word of a model has no language, and is held against pages of all languages
 * rows given twice are judged twice; extra columns are ignored
-* shares of sentences and numbers are null for pages that cannot be flagged
+* shares of sentences and numbers are null for pages close to prose, which cannot be flagged by what they lack
 * with no labelled page there is no prose to compare with, and only the curve itself can flag
 """
 
@@ -33,25 +36,25 @@ from pyspark.sql import functions as F
 
 from papyrine.operators.common import cut
 
-#: Words of each language's model, and languages at most, which bounds what is sent to the workers.
-MODEL_WORDS, MODEL_LANGUAGES = 400, 200
-#: Pages that a length class needs to count as a reference.
-LEAST_PAGES = 20
-#: Flags: share in common below, head above, these parts of the reference; slope and residual above these parts.
-COMMON, HEAD, SLOPE, RESIDUAL = 0.45, 3.0, 1.8, 1.8
-#: Below this, a head is not extreme in a language of which nothing is known.
-LEAST_HEAD = 0.15
-#: One word that makes up so much of a page beyond its share in prose is extreme whatever other pages are like.
-MOST_HEAD = 0.5
-#: Long pages need no check of their sentences if their share in common is below this part, but not below that share.
-LONG, VERY_FAR, UNKNOWN = 100, 0.35, 0.08
-#: Words a page needs for head and slope to mean something.
-LEAST_WORDS = 30
+#: Words of a language's model have at least this share of its words, so a language has at most one in LEAST_SHARE.
+LEAST_SHARE = 1e-5
+#: Pages of a language and length weigh as much as those of all languages if there are so many of them.
+WEIGHT = 20
+#: A page is far from prose if it shares less than this part of what pages of its language and length share.
+COMMON = 0.45
+#: Scores that flag; a head that is extreme by itself; divergence and score at which marks do not make sentences; head and
+#: divergence that are both high.
+SCORE, HEAD, FAR, FAR_SCORE = 6.0, 4.0, -6.0, 9.0
+BOTH_SCORE, BOTH_HEAD, BOTH_FAR = 5.5, 3.0, -1.9
+#: Spread that every figure has at least, and distance beyond which it counts no more.
+LEAST_SPREAD, MOST = 0.08, 12.0
+#: Shares of sentences and numbers are worked out for pages that share less, or have a higher head.
+NEEDED_COMMON, NEEDED_HEAD = 0.45, 0.15
 
 _NO_SPACES = "฀-໿぀-ヿ㐀-鿿"
 _LINK = ""
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->|&[a-zA-Z]{2,8};|&#\d+;|\\[a-zA-Z]+", re.S)
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->|&[a-zA-Z]{2,8};|&#\d+;|\\[a-zA-Z]+", re.S)
 _NUMBER = re.compile(r"[-+]?\d[\d.,:/–-]*")
 _WORD = re.compile("[" + _NO_SPACES + "]+|[^\\W\\d_" + _NO_SPACES + "]+(?:['’̀-ًͯ-ٟऀ-෴][^\\W\\d_" + _NO_SPACES + "]*)*|" + _LINK)
 _END = re.compile("[。！？।؟]+|[.!?…]+(?!\\w)|\n")
@@ -120,18 +123,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_models(df: DataFrame) -> dict[str, dict[str, float]]:
-    """word -> share by language, of the most frequent words; df has lang and text. Counted over all labelled rows."""
-    counts = df.where("lang is not null").select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # The total of a language is summed from the same counts, in the same pass, by a window over partial sums.
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    ranked = ranked.where(F.col("r") <= MODEL_WORDS)
+    """word -> share by language, of all words that make up LEAST_SHARE of it; df has lang and text, all labelled rows count."""
+    counts = cut(df.where("lang is not null").select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    shares = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").select("lang", "word", (F.col("n") / F.col("all")).alias("share"))  # one row a language
     model: dict[str, dict[str, float]] = defaultdict(dict)
-    rows = ranked.select("lang", "word", "n").limit(MODEL_WORDS * MODEL_LANGUAGES).collect()
-    total: Counter = Counter()
-    for r in rows:
-        total[r["lang"]] += r["n"]
-    for r in rows:
-        model[r["word"]][r["lang"]] = r["n"] / total[r["lang"]]
+    rows = shares.where(F.col("share") >= LEAST_SHARE).toArrow().to_pydict()
+    for g, w, x in zip(rows["lang"], rows["word"], rows["share"], strict=True):
+        model[w][g] = x
     return dict(model)
 
 
@@ -162,8 +160,7 @@ def curves(df: DataFrame, key: str, text: str, model: dict[str, dict[str, float]
                 common.append(o)
                 h = max(k / n - (model[w].get(g, 0.0) if w in model else 0.0) for w, k in c.items())
                 head.append(h)
-                # No page is flagged beyond these bounds, whatever the references turn out to be.
-                needed = o < COMMON or h > LEAST_HEAD
+                needed = o < NEEDED_COMMON or h > NEEDED_HEAD
                 sent.append(sentence_share(t) if needed else None)
                 num.append(number_share(t) if needed else None)
                 freqs.append([x for x, _ in spectrum])
@@ -193,31 +190,37 @@ def fitted(pages: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame) -> DataFrame:
-    """pages with the references of their language and length class, and whether they are cases."""
+    """pages with the distances of their figures from those of their language and length, the score, and whether they are cases."""
     size = F.floor(F.log2(F.col("n_words") + 1)).cast("int")
+    figures = {"c": F.log(F.col("common") + 0.02), "h": F.log(F.greatest("head", F.lit(1e-4))), "s": F.col("slope"), "r": F.col("residual")}
     pages = cut(pages.withColumn("size", size))
-    stats = [F.count(F.lit(1)).alias("n"), F.percentile_approx("common", 0.75).alias("r_common"), F.percentile_approx("head", 0.5).alias("r_head"), F.percentile_approx("slope", 0.5).alias("r_slope"), F.percentile_approx("residual", 0.5).alias("r_residual")]
-    by = pages.groupBy("lang", "size").agg(*stats).withColumn("r_common", F.when(F.col("n") >= LEAST_PAGES, F.col("r_common"))).withColumn("r_head", F.when(F.col("n") >= LEAST_PAGES, F.col("r_head")))
+    quarters = [F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(k) for k, v in figures.items()]
+    share = F.percentile_approx("common", 0.75, F.lit(1000))
+    by = pages.where("lang <> ''").groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), share.alias("l_common"), *[q.alias(f"l_{k}") for q, k in zip(quarters, figures, strict=True)])
+    whole = pages.groupBy("size").agg(F.count(F.lit(1)).alias("w"), share.alias("w_common"), *[q.alias(f"w_{k}") for q, k in zip(quarters, figures, strict=True)])
+    every = pages.agg(*quarters).head()  # one row
+    leaning = F.col("w") / (F.col("w") + WEIGHT)
+    lean = lambda c, x: F.when(c.isNull(), F.lit(x)).otherwise(leaning * c + (1 - leaning) * F.lit(x)) if x is not None else c
+    whole = whole.select("size", "w_common", *[F.array(*[lean(F.col(f"w_{k}")[i], every[k] and every[k][i]) for i in range(3)]).alias(f"w_{k}") for k in figures])
+    # One row for each language and power of two, and one for each power of two.
+    x = pages.join(F.broadcast(whole), "size").join(F.broadcast(by), ["lang", "size"], "left")
+    own = F.coalesce(F.col("n") / (F.col("n") + WEIGHT), F.lit(0.0))
+    mixed = lambda a, b: own * F.coalesce(a, F.lit(0.0)) + (1 - own) * b
+    x = x.withColumn("ref", mixed(F.col("l_common"), F.col("w_common")))
+    # What is in common grows with length, so a class takes over the better value of shorter ones of its language.
     up = Window.partitionBy("lang").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    # What is in common grows with length and the head shrinks, so a class takes over the better value of shorter ones.
-    by = by.select("lang", "size", F.max("r_common").over(up).alias("r_common"), F.min("r_head").over(up).alias("r_head"), F.max("r_slope").over(up).alias("r_slope"), F.max("r_residual").over(up).alias("r_residual"))
-    whole = pages.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("common", 0.75).alias("w_common"), F.percentile_approx("head", 0.5).alias("w_head"))
-    over = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)  # one row for each power of two
-    known = F.col("n") >= LEAST_PAGES
-    whole = whole.select("size", F.max(F.when(known, F.col("w_common"))).over(over).alias("w_common"), F.min(F.when(known, F.col("w_head"))).over(over).alias("w_head"))
-    # Both tables hold at most one row for each language of the models and power of two.
-    x = pages.join(F.broadcast(by), ["lang", "size"]).join(F.broadcast(whole), "size")
-    common, head = F.coalesce("r_common", "w_common"), F.coalesce("r_head", "w_head")
-    far = F.col("common") < COMMON * common
-    # Long pages of known words that are this far from prose are no sentences, whatever marks stand between the words;
-    # with next to nothing in common the language may just be an unknown one.
-    strange = (F.col("n_words") >= LONG) & (F.col("common") >= UNKNOWN) & (F.col("common") < VERY_FAR * common)
-    stuffed = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > F.least(F.greatest(HEAD * F.coalesce(head, F.lit(0.0)), F.lit(LEAST_HEAD)), F.lit(MOST_HEAD)))
-    stuffed = stuffed | ((F.col("n_words") >= LEAST_WORDS // 3) & (F.col("head") > MOST_HEAD) & (F.col("sentences") <= 0.5))
-    steep = (F.col("n_words") >= LEAST_WORDS) & (F.col("head") > LEAST_HEAD) & (F.col("slope") > SLOPE * F.col("r_slope")) & (F.col("residual") > RESIDUAL * F.col("r_residual"))
-    listed = F.col("numbers") >= 0.5
-    case = ((far & (F.col("sentences") <= 0.5)) | strange | stuffed | (steep & (F.col("sentences") <= 0.5))) & ~listed
-    return x.select("key", "lang", "n_words", "common", "head", "slope", "residual", "sentences", "numbers", far.alias("far"), stuffed.alias("stuffed"), steep.alias("steep"), F.coalesce(case, F.lit(False)).alias("spam"))
+    refs = x.groupBy("lang", "size").agg(F.max("ref").alias("ref")).select("lang", "size", F.max("ref").over(up).alias("reference"))
+    x = x.drop("ref").join(F.broadcast(refs), ["lang", "size"])
+    for k, v in figures.items():
+        spread = mixed(F.col(f"l_{k}")[2] - F.col(f"l_{k}")[0], F.col(f"w_{k}")[2] - F.col(f"w_{k}")[0]) / 1.349 + LEAST_SPREAD
+        x = x.withColumn(f"z_{k}", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), (v - mixed(F.col(f"l_{k}")[1], F.col(f"w_{k}")[1])) / spread)))
+    x = x.withColumn("score", F.col("z_h") - F.col("z_c") + (F.col("z_s") + F.col("z_r")) / 2)
+    far = F.col("common") < COMMON * F.col("reference")
+    plain = F.coalesce(F.col("sentences"), F.lit(1.0)) <= 0.5  # little of it stands in sentences
+    high = (F.col("score") > SCORE) & (plain | (F.col("z_h") > HEAD) | ((F.col("z_c") < FAR) & (F.col("score") > FAR_SCORE)))
+    both = (F.col("score") > BOTH_SCORE) & (F.col("z_h") > BOTH_HEAD) & (F.col("z_c") < BOTH_FAR)
+    case = ((far & plain) | high | both) & (F.coalesce(F.col("numbers"), F.lit(0.0)) < 0.5)
+    return x.select("key", "lang", "n_words", "common", "head", "slope", "residual", "sentences", "numbers", far.alias("far"), "z_c", "z_h", "z_s", "z_r", "score", case.alias("spam"))
 
 
 def spam(df: DataFrame, key: str, text: str, label: str, codes: DataFrame) -> DataFrame:
