@@ -1,9 +1,12 @@
 """References to records that do not exist.
 
-The operator replays, for every key of the parent index, what happens to it in the order of time: parents arrive and
-are deleted, references probe. State is kept per key and period: the number of live parent rows at the start of the
-period (the snapshot) is carried in, so that a key of any size is replayed in as many tasks as it has periods, and a
-new batch only needs the last snapshot and the pending orphans (``advance``).
+State is kept for every key of the parent index: how many parent rows are live, which deletions are still to come, and
+which references wait for a target. ``advance`` takes one batch: arrivals and deletions of the batch become, with the
+live rows carried in from the state, the times at which each key starts and ceases to be answered (its flips); new
+references look up the flips of their key, arriving parents resolve waiting orphans, deletions reopen them. ``fold``
+runs it over the periods of tables that hold a history. Changes are added up by key and instant before anything is
+shuffled, and references join the flips by key, one row for each key, so that a key with a third of all references is
+split by the join like any other skewed key.
 
 Defined results
 * null and blank references are no references; a reference is trimmed of white space, otherwise taken letter for letter
@@ -17,12 +20,13 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.operators.common import trimmed
+from papyrine.operators.common import cut, trimmed
 
 KEY = ("space", "target_document", "target_key")
 REF = ("ref_table", "document_id", "record_id", "ref_key")
@@ -65,7 +69,7 @@ def references(df: DataFrame, ref_table: str, record: str, targets: str, space:
 
 
 def parents(df: DataFrame, key: str, space: str = "graph") -> DataFrame:
-    """The parent rows of a table in the shape that ``replay`` takes."""
+    """The parent rows of a table in the shape that ``advance`` takes."""
     value = token_key(F.col(key)) if space == "token" else F.col(key)
     return df.select(F.lit(space).alias("space"), F.col("document_id").alias("target_document"), value.alias("target_key"), "loaded_at", "deleted_at")
 
@@ -76,47 +80,33 @@ def _deltas(parent_rows: DataFrame) -> DataFrame:
     return live.select(*KEY, F.explode(both).alias("e")).select(*KEY, "e.at", "e.delta").where("at is not null")
 
 
-def replay(refs: DataFrame, parent_rows: DataFrame, period: str = "month") -> DataFrame:
-    """Every reference with the number of live parent rows when it probed (``live``) and the time at which a waiting
-    orphan was next resolved within its period (``resolved_at``)."""
-    return _replayed(refs, _deltas(parent_rows), period, None)
+def flips(changes: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """(KEY, flips, live) of every key: the instants (at, live) at which it starts and ceases to be answered, in order,
+    and its live rows after the last one.
 
+    live (KEY, live) are the rows carried in; their flip has no time and comes first. Changes (KEY, at, delta) are added
+    up by instant, so what is sorted for one key are the instants at which it changed.
+    """
+    rows = changes.groupBy(*KEY, "at").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    if live is not None:
+        rows = rows.unionByName(live.select(*KEY, F.lit(None).cast("timestamp").alias("at"), F.col("live").alias("delta")))
+    over = Window.partitionBy(*KEY).orderBy(F.col("at").asc_nulls_first())
+    rows = rows.select(*KEY, "at", "delta", F.sum("delta").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    before = F.col("n") - F.col("delta")
+    flip = F.when((F.col("n") > 0) != (before > 0), F.struct("at", (F.col("n") > 0).alias("live")))
+    return rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(flip)).alias("flips"), F.sum("delta").alias("live"))
 
-def _replayed(refs: DataFrame, changes: DataFrame, period: str, snapshot: DataFrame | None) -> DataFrame:
-    """The replay over changes (KEY, at, delta); snapshot (KEY, live) carries in the state before the first event."""
-    part = lambda c: F.date_trunc(period, c)
-    deltas = changes.withColumn("period", part("at"))
-    probes = refs.withColumn("period", part("at"))
-    if snapshot is not None:
-        start = snapshot.where("live <> 0").select(*KEY, F.lit(None).cast("timestamp").alias("period"), F.col("live").cast("long").alias("delta"))
-    else:
-        start = None
-    # Level one: change per key and period, partially aggregated; carried over the periods of a key.
-    sums = deltas.select(*KEY, "period", F.col("delta").cast("long").alias("delta"))
-    sums = sums.unionByName(probes.select(*KEY, "period", F.lit(0).cast("long").alias("delta")))
-    if start is not None:
-        sums = sums.unionByName(start)
-    over = Window.partitionBy(*KEY).orderBy(F.col("period").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.groupBy(*KEY, "period").agg(F.sum("delta").alias("delta")).select(*KEY, "period", F.coalesce(F.sum("delta").over(over), F.lit(0)).alias("delta"))
-    # Level two: events of one key and period in the order of time; at one instant, parents go before probes.
-    none = {c: F.lit(None).cast("string") for c in REF}
-    events = (
-        carried.where("delta <> 0").select(*KEY, "period", F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("kind"), F.col("delta").cast("int"), *[v.alias(k) for k, v in none.items()])
-        .unionByName(deltas.select(*KEY, "period", "at", F.lit(1).alias("kind"), "delta", *[v.alias(k) for k, v in none.items()]))
-        .unionByName(probes.select(*KEY, "period", "at", F.lit(2).alias("kind"), F.lit(0).alias("delta"), *REF))
-    )
-    part_key = [*KEY, "period"]
-    order = [F.col("at").asc_nulls_first(), "kind"]
-    back = Window.partitionBy(*part_key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*part_key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    live = F.sum("delta").over(back)
-    arrival = F.first(F.when(F.col("delta") > 0, F.col("at")), ignorenulls=True).over(on)
-    # A record without a time probes before everything, so nothing is live for it.
-    return (
-        events.select(*part_key, *REF, "at", "kind", live.alias("live"), arrival.alias("arrival"))
-        .where("kind = 2")
-        .select(*REF, *KEY, "at", F.when(F.col("at").isNull(), 0).otherwise(F.greatest(F.col("live"), F.lit(0))).cast("long").alias("live"), F.when(F.col("live") <= 0, F.col("arrival")).alias("resolved_at"))
-    )
+
+def probed(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """Every reference (REF, KEY, at) with whether it was answered when it came, and when it was answered next if not.
+
+    A reference without a time came before everything. At one instant, parents go before references.
+    """
+    x = refs.join(known.select(*KEY, "flips"), list(KEY), "left")
+    upto = F.filter("flips", lambda f: f["at"].isNull() | (f["at"] <= F.col("at")))
+    after = F.filter("flips", lambda f: f["live"] & (F.col("at").isNull() & f["at"].isNotNull() | (f["at"] > F.col("at"))))
+    answered = F.coalesce(F.when(F.col("at").isNotNull(), F.get(upto, F.size(upto) - 1)["live"]), F.lit(False))
+    return x.select(*REF, *KEY, "at", answered.alias("answered"), F.when(~answered, F.get(after, F.lit(0))["at"]).alias("resolved_at"))
 
 
 @dataclass
@@ -159,23 +149,77 @@ def advance(state: OrphanState, answered: DataFrame, refs: DataFrame, arrivals:
     changes = _deltas(arrivals)
     later = changes.where((F.col("delta") < 0) & (F.col("at") >= end)).select(*KEY, "at")
     now = changes.where(F.col("at") < end).unionByName(state.due.where(F.col("at") < end).select(*KEY, "at", F.lit(-1).alias("delta")))
-    found = _replayed(refs, now, "month", state.live).where("live = 0")
-    live = state.live.unionByName(now.groupBy(*KEY).agg(F.sum("delta").alias("live"))).groupBy(*KEY).agg(F.sum("live").alias("live")).where("live > 0")
-    before, after = state.live.select(*KEY), live.select(*KEY)
+    known = cut(flips(now, state.live))
+    found = probed(refs, known).where("not answered").select(*REF, *KEY, "at", "resolved_at")
+    live = known.where("live > 0").select(*KEY, "live")
     key = list(KEY)
     columns = state.waiting.columns
-    resolved = state.waiting.join(after, key, "left_semi").select(*columns)
-    reopened = answered.join(before.join(after, key, "left_anti"), key, "left_semi").select(*columns)
-    waiting = state.waiting.unionByName(refs.select(*columns)).unionByName(reopened).join(after, key, "left_anti").select(*columns)
+    ended = known.where("live <= 0").select(*KEY)
+    resolved = state.waiting.join(live, key, "left_semi").select(*columns)
+    reopened = answered.join(ended, key, "left_semi").select(*columns)
+    waiting = state.waiting.unionByName(refs.select(*columns)).unionByName(reopened).join(live, key, "left_anti").select(*columns)
     due = state.due.where(F.col("at") >= end).unionByName(later)
     return OrphanState(live, due, waiting), OrphanBatch(found, resolved, reopened)
 
 
+def bounds(refs: DataFrame, arrivals: DataFrame, months: int) -> list[str]:
+    """Ends of the periods of so many months that the times of references and arrivals fall into."""
+    both = refs.select("at").unionByName(arrivals.select(F.col("loaded_at").alias("at")))
+    first, last = both.agg(F.date_trunc("month", F.min("at")), F.date_trunc("month", F.max("at"))).head()
+    out: list[str] = []
+    if first is not None:
+        at, end = first.year * 12 + first.month - 1, last.year * 12 + last.month - 1
+        while at <= end:
+            at += months
+            out.append(f"{at // 12:04d}-{at % 12 + 1:02d}-01 00:00:00")
+    return out
+
+
+def fold(refs: DataFrame, arrivals: DataFrame, months: int = 6) -> Iterator[tuple[str, OrphanState, OrphanBatch]]:
+    """``advance`` over the periods of a history: (end of the period, state after it, what the batch changed).
+
+    References without a time belong to the first batch. The state that the next batch reads is written at each
+    snapshot, so that a lost executor costs no more than one batch.
+    """
+    spark = refs.sparkSession
+    refs, arrivals = cut(refs), cut(arrivals.where("loaded_at is not null"))
+    state, kept, start = OrphanState.empty(spark), refs.where("false"), None
+    for end in bounds(refs, arrivals, months) or ["9999-01-01 00:00:00"]:
+        inside = lambda c, start=start, end=end: f"{c} < '{end}'" + (f" and {c} >= '{start}'" if start else "")
+        new = refs.where(inside("at") + ("" if start else " or at is null"))
+        state, batch = advance(state, kept, new, arrivals.where(inside("loaded_at")), end)
+        yield end, state, batch
+        kept, start = kept.unionByName(new).unionByName(batch.resolved), end
+
+
 def orphans(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
-    """References that no live parent row answered when they came (REF, at, resolved_at)."""
-    return replay(refs, parent_rows).where("live = 0").select(*REF, "at", "resolved_at")
+    """References that no live parent row answered when they came (REF, at, resolved_at), in one batch over everything."""
+    return probed(refs, flips(_deltas(parent_rows))).where("not answered").select(*REF, "at", "resolved_at")
+
+
+def pending(refs: DataFrame, parent_rows: DataFrame, period: str = "month") -> DataFrame:
+    """(ref_table, period, n_pending): references that wait for a target at the end of each period that brought any.
+
+    For each key and referring table, the number waiting changes only in periods with new references or flips; the
+    changes are added up over all keys, then over time. References without a time are in no period.
+    """
+    part = lambda c: F.date_trunc(period, c)
+    new = refs.where("at is not null").groupBy(*KEY, "ref_table", part("at").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    per = new.groupBy(*KEY, "ref_table").agg(F.collect_list(F.struct("period", "n")).alias("news"))
+    x = per.join(flips(_deltas(parent_rows)).select(*KEY, "flips"), list(KEY), "left").withColumn("flips", F.coalesce("flips", F.array().cast("array<struct<at: timestamp, live: boolean>>")))
+    periods = F.array_sort(F.array_distinct(F.concat(F.transform("news", lambda v: v["period"]), F.transform("flips", lambda f: part(f["at"])))))
+    upto = lambda m: F.filter("flips", lambda f: part(f["at"]) <= m)
+    answered = lambda m: F.coalesce(F.get(upto(m), F.size(upto(m)) - 1)["live"], F.lit(False))
+    arrived = lambda m: F.aggregate(F.filter("news", lambda v: v["period"] <= m), F.lit(0).cast("long"), lambda s, v: s + v["n"])
+    waiting = F.transform(periods, lambda m: F.struct(m.alias("period"), F.when(answered(m), F.lit(0).cast("long")).otherwise(arrived(m)).alias("n")))
+    steps = x.select("ref_table", waiting.alias("w")).select("ref_table", F.posexplode("w").alias("i", "v"), "w")
+    change = F.col("v.n") - F.coalesce(F.get("w", F.col("i") - 1)["n"], F.lit(0))
+    by = steps.select("ref_table", F.col("v.period").alias("period"), change.alias("n")).groupBy("ref_table", "period").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("ref_table").orderBy("period").rowsBetween(Window.unboundedPreceding, 0))  # one row a period
+    told = refs.where("at is not null").select("ref_table", part("at").alias("period")).distinct()
+    return by.select("ref_table", "period", total.alias("n_pending")).join(told, ["ref_table", "period"], "left_semi")
 
 
 def orphan_counts(found: DataFrame, period: str = "month") -> DataFrame:
-    """Orphans per referring table and period of arrival."""
-    return found.groupBy("ref_table", F.date_trunc(period, "at").alias("period")).agg(F.count(F.lit(1)).alias("n_orphans"), F.count("resolved_at").alias("n_resolved_in_period"))
+    """Orphans per referring table and period of arrival, and how many of them a later parent answered."""
+    return found.groupBy("ref_table", F.date_trunc(period, "at").alias("period")).agg(F.count(F.lit(1)).alias("n_orphans"), F.count("resolved_at").alias("n_resolved"))

@@ -30,11 +30,19 @@ def all_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return op.orphans(all_references(spark, d), all_parents(spark, d)).select(*op.REF).distinct()
+    """Orphans as the batches of the incremental operator found them."""
+    found = [batch.found.select(*op.REF) for _, _, batch in op.fold(all_references(spark, d), all_parents(spark, d))]
+    return reduce(DataFrame.union, found).distinct()
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    return op.orphan_counts(op.orphans(all_references(spark, d), all_parents(spark, d))).select("ref_table", "period", "n_orphans")
+    """Orphans by referring table and month, and how many of them were answered later, in whatever month."""
+    return op.orphan_counts(op.orphans(all_references(spark, d), all_parents(spark, d)).distinct())
+
+
+def p1_pending(spark: SparkSession, d: str) -> DataFrame:
+    """References that wait for a target at the end of each month."""
+    return op.pending(all_references(spark, d), all_parents(spark, d))
 
 
 _REFS_SQL = r"""
@@ -65,8 +73,15 @@ found as (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_pending": p1_pending}
 SQL = {
     "p1_found": f"with {_REFS_SQL} select distinct ref_table, document_id, record_id, ref_key from found",
-    "p1_counts": f"with {_REFS_SQL} select ref_table, cast(date_trunc('month', seen) as timestamp) as period, count(*) as n_orphans from (select distinct ref_table, document_id, record_id, ref_key, seen from found) group by 1, 2",
+    "p1_counts": f"""with {_REFS_SQL} select ref_table, cast(date_trunc('month', seen) as timestamp) as period, count(*) as n_orphans,
+count(*) filter (exists (select 1 from targets t where t.tdoc = f.tdoc and t.tkey = f.tkey and t.loaded_at > f.seen and (t.deleted_at is null or t.deleted_at > t.loaded_at))) as n_resolved
+from (select distinct ref_table, document_id, record_id, ref_key, seen, tdoc, tkey from found) f group by 1, 2""",
+    "p1_pending": f"""with {_REFS_SQL}, months as (select distinct ref_table, date_trunc('month', seen) as m from keyed)
+select ref_table, cast(m as timestamp) as period, count(*) filter (not exists (
+  select 1 from targets t where t.tdoc = k.tdoc and t.tkey = k.tkey and date_trunc('month', t.loaded_at) <= m
+  and (t.deleted_at is null or t.deleted_at > t.loaded_at and date_trunc('month', t.deleted_at) > m))) as n_pending
+from months join keyed k using (ref_table) where date_trunc('month', k.seen) <= m group by 1, 2""",
 }

@@ -32,17 +32,19 @@ _OUT = "target_document string, target_key string, ref_table string, document_id
 _STATE = "live long, waiting array<string>"
 
 
-def waiting_references(events: DataFrame) -> DataFrame:
+def waiting_references(events: DataFrame, buckets: int = 8) -> DataFrame:
     """Changes of references over a stream of events (target_document, target_key, kind, at, ref_table, document_id,
     record_id, ref_key) with kind ``arrive``, ``delete`` or ``probe``: ``orphan`` when a reference finds no live target,
     ``resolved`` when a target arrives for a waiting one, ``reopened`` when the last live target is deleted.
 
-    State is kept per target key: live targets and the references to it.
+    State is kept per target key and bucket of references: live targets and the references of the bucket. A key to which
+    most references point is split over ``buckets`` states; its arrivals and deletions go to each of them.
     """
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, refs = state.get if state.exists else (0, [])
-        refs = list(refs)
+    def step(group: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        key = group[:2]
+        live, known = state.get if state.exists else (0, [])
+        refs = dict.fromkeys(known)
         order = {"arrive": 0, "delete": 1, "probe": 2}
         rows = pd.concat(list(batches))
         rows = rows.assign(o=rows["kind"].map(order)).sort_values(["at", "o"])
@@ -65,10 +67,12 @@ def waiting_references(events: DataFrame) -> DataFrame:
             else:
                 ref = "\x01".join(str(x) for x in (r.ref_table, r.document_id, r.record_id, r.ref_key))
                 if ref not in refs:
-                    refs.append(ref)
+                    refs[ref] = None
                     if live == 0:
                         tell(ref, "orphan", r.at)
-        state.update((live, refs))
+        state.update((live, list(refs)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return events.groupBy("target_document", "target_key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    own = F.array(F.pmod(F.xxhash64("ref_table", "document_id", "record_id", "ref_key"), F.lit(buckets)))
+    split = events.withColumn("bucket", F.explode(F.when(F.col("kind") == "probe", own).otherwise(F.array(*[F.lit(i).cast("long") for i in range(buckets)]))))
+    return split.groupBy("target_document", "target_key", "bucket").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -62,6 +62,28 @@ def test_batches_give_the_same_as_one_run(spark):
     assert sorted(got) == whole
 
 
+def test_fold_over_periods_is_one_run(spark):
+    for seed in (5, 6):
+        refs, parents = case(seed)
+        r = op.references(spark.createDataFrame(refs, REFS), "t", "edge_id", "target_id")
+        p = op.parents(spark.createDataFrame(parents, PARENTS), "node_id")
+        got = set()
+        for _, state, batch in op.fold(r, p, months=1):
+            got |= {(x.document_id, x.record_id, x.ref_key) for x in batch.found.collect()}
+        assert got == brute(refs, parents)
+        live = {(x.target_document, x.target_key) for x in state.live.collect()}
+        assert {(x.target_document, x.target_key) for x in state.waiting.collect()}.isdisjoint(live)
+
+
+def test_pending_at_the_end_of_months(spark):
+    rows = [("a", "e1", "x", T(1), ""), ("a", "e2", "x", T(40), ""), ("a", "e3", "y", T(2), ""), ("a", "e4", "x", T(70), "")]
+    r = op.references(spark.createDataFrame(rows, REFS), "t", "edge_id", "target_id")
+    p = op.parents(spark.createDataFrame([("a", "x", T(5), T(50), "")], PARENTS), "node_id")
+    got = sorted((x.period.month, x.n_pending) for x in op.pending(r, p).collect())
+    # January: y waits; February: x was deleted on day 50, so its two references and y; March: one more.
+    assert got == [(1, 1), (2, 3), (3, 4)]
+
+
 def test_arrivals_resolve_and_deletions_reopen(spark):
     r = op.references(spark.createDataFrame([("a", "e", "x", T(1), "")], REFS), "t", "edge_id", "target_id").cache()
     p = op.parents(spark.createDataFrame([("a", "x", T(5), T(15), "")], PARENTS), "node_id")
