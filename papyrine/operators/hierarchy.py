@@ -8,7 +8,9 @@ Three steps, each a number of rounds that grows with the logarithm of the depth
 2. For the rooted rest, an Euler tour: each node has an entry and an exit arc, each arc one successor.
 3. List ranking of the tour: lists are first contracted inside blocks of nearby arcs (bounded numpy work), then the few
    arcs that other blocks point to are ranked by pointer doubling, then all arcs read off their rank. Entry and exit
-   give depth, root, ancestors and descendants: a node's descendants are those whose entry lies in its interval.
+   give depth, root, ancestors and descendants: a node's descendants are those whose entry lies in its interval. Pairs
+   are found by cutting intervals into blocks of powers of two, so that they are joined by equality; the ancestors of a
+   node in the order of their entries are its path.
 
 Defined results
 * a null, blank or unknown parent makes a root (depth 1); parents are compared letter for letter
@@ -24,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.operators.common import cut
 
 #: Siblings are ordered in blocks of so many values of `ord`, so that a parent of any number of children is split.
 SIBLING_BLOCK = 4096
+#: Nodes without ``ord`` are spread over so many blocks.
+NO_ORDER_BLOCKS = 64
 
 
 def latest(df: DataFrame, keys: list[str], when: str, values: list[str]) -> DataFrame:
@@ -84,12 +88,17 @@ def cycles(nodes: DataFrame) -> DataFrame:
     return _double(state, ring, "ptr", ["low"]).select("tree", "id", F.col("n_low").alias("cycle_root"))
 
 
+def _block(node: str) -> Column:
+    """The block of ``ord`` that a node is in; nodes without one are spread over blocks by their id."""
+    return F.coalesce(F.floor(F.col("ord") / SIBLING_BLOCK), -1 - F.pmod(F.xxhash64(node), F.lit(NO_ORDER_BLOCKS))).cast("int")
+
+
 def _tour(nodes: DataFrame) -> DataFrame:
     """Arcs of the Euler tour (tree, id, up, ord, next_id, next_up, d): d is +1 on entry and -1 on exit.
 
     Siblings are linked inside blocks of ``ord`` and then from block to block, so no parent is sorted in one task.
     """
-    block = F.coalesce(F.floor(F.col("ord") / SIBLING_BLOCK), F.lit(-1)).cast("int")
+    block = _block("id")
     kids = nodes.where("parent is not null").withColumn("block", block)
     w = Window.partitionBy("tree", "parent", "block").orderBy(F.col("ord").asc_nulls_first(), "id")
     kids = kids.withColumn("sib", F.lead("id").over(w)).withColumn("first", F.row_number().over(w) == 1)
@@ -114,7 +123,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follow each arc for as long as its successors lie in the same batch: steps and d summed up, last arc kept."""
     for b in batches:
         n = len(b)
-        tree = b["tree"].fillna("").to_numpy(object)
+        tree = b["tree"].where(b["tree"].notna(), None).to_numpy(object)  # null is a tree of its own
         index = {(t, i, u): k for k, (t, i, u) in enumerate(zip(tree, b["id"], b["up"], strict=True))}
         nxt = np.fromiter((index.get((t, i, u), n) if i is not None else n for t, i, u in zip(tree, b["next_id"], b["next_up"], strict=True)), np.int64, n)
         steps, d = np.ones(n + 1, np.int64), np.append(b["d"].to_numpy(np.int64), 0)
@@ -141,7 +150,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _ranked(arcs: DataFrame) -> DataFrame:
     """(tree, id, up, to_end, d_to_end, root): arcs from here to the end of the tour, and what d sums up to on the way."""
-    near = arcs.repartition("tree", F.coalesce(F.floor(F.col("ord") / SIBLING_BLOCK), F.lit(-1))).sortWithinPartitions("tree", "ord", "id")
+    near = arcs.repartition("tree", _block("id")).sortWithinPartitions("tree", "ord", "id")
     short = cut(near.mapInPandas(_contract, "tree string, id string, up boolean, steps long, sum_d long, last_id string, to_id string, to_up boolean"))
     key = lambda i, u: F.concat(F.when(u, F.lit("u")).otherwise(F.lit("d")), i)
     short = short.withColumn("arc", key(F.col("id"), F.col("up"))).withColumn("to", key(F.col("to_id"), F.col("to_up")))
@@ -181,28 +190,42 @@ def hierarchy(df: DataFrame, tree: str, node: str, parent: str, order: str | Non
     return every.join(p, F.col("tree").eqNullSafe(F.col("p_tree")) & F.col("id").eqNullSafe(F.col("p_id")), "left").select("tree", "id", "parent", "root", "depth", "entry", "exit", "n_descendants", "cyclic")
 
 
-def paths(h: DataFrame, separator: str = " / ") -> DataFrame:
-    """(tree, id, path): the ids from the root to each rooted node, put together in doubling steps.
+def descendants(h: DataFrame) -> DataFrame:
+    """(tree, ancestor, id, ancestor_entry) for every pair: the nodes whose entry lies in the ancestor's interval.
 
-    The result is as long as the sum of all depths, so it is made only where paths are asked for.
+    Both sides are cut into blocks of powers of two inside their root: an interval into the fewest that cover it, an entry
+    into the one of each level that holds it. A pair meets in exactly one block, so nothing is compared that is no pair.
     """
-    state = cut(h.where("not cyclic and id is not null").select("tree", "id", F.col("parent").alias("ptr"), F.col("id").alias("path")))
-    while not state.where("ptr is not null").isEmpty():
-        state = cut(_double(state, state, "ptr", ["ptr", "path"]).select("tree", "id", F.col("n_ptr").alias("ptr"), F.concat_ws(separator, "n_path", "path").alias("path")))
-    return state.select("tree", "id", "path")
+    rooted = h.where("not cyclic and id is not null").select("tree", "root", "id", (-F.col("entry")).alias("a"), (-F.col("exit")).alias("b"))
+    level = lambda c: F.floor(F.log2(c.cast("double"))).cast("int")
+    # Levels that any interval of a root can have: those of its own.
+    top = rooted.where("id = root").select(F.col("tree").alias("t_tree"), F.col("root").alias("t_root"), level(F.col("a")).alias("top"))
+    # Descendants have their entry between the exit and the entry of the ancestor: [b + 1, a - 1].
+    start = F.struct((F.col("b") + 1).alias("lo"), (F.col("a") - 1).alias("hi"), F.array().cast("array<struct<level: int, block: bigint>>").alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        own = s["lo"] <= s["hi"]
+        left, right = own & (s["lo"] % 2 == 1), own & (s["hi"] % 2 == 0)
+        block = lambda x: F.struct(k.cast("int").alias("level"), x.alias("block"))
+        taken = F.array_compact(F.array(F.when(left, block(s["lo"])), F.when(right & ~(left & (s["lo"] == s["hi"])), block(s["hi"]))))
+        lo, hi = F.when(left, s["lo"] + 1).otherwise(s["lo"]), F.when(right, s["hi"] - 1).otherwise(s["hi"])
+        return F.struct(F.shiftright(lo, 1).alias("lo"), F.when(own, F.shiftright(hi, 1)).otherwise(F.lit(-1)).cast("long").alias("hi"), F.concat(s["out"], taken).alias("out"))
+
+    covers = rooted.where("a - b > 1").select("tree", "root", F.col("id").alias("ancestor"), (-F.col("a")).alias("ancestor_entry"), F.aggregate(F.sequence(F.lit(0), level(F.col("a"))), start, step)["out"].alias("blocks"))
+    covers = covers.select(F.col("tree").alias("c_tree"), F.col("root").alias("c_root"), "ancestor", "ancestor_entry", F.explode("blocks").alias("c")).select("c_tree", "c_root", "ancestor", "ancestor_entry", F.col("c.level").alias("c_level"), F.col("c.block").alias("c_block"))
+    held = rooted.where("id <> root").join(top, F.col("tree").eqNullSafe(F.col("t_tree")) & (F.col("root") == F.col("t_root")))
+    held = held.select("tree", "root", "id", "a", F.explode(F.sequence(F.lit(0), "top")).alias("level")).select("tree", "root", "id", "level", F.expr("shiftright(a, level)").alias("block"))
+    same = F.col("tree").eqNullSafe(F.col("c_tree")) & (F.col("root") == F.col("c_root")) & (F.col("level") == F.col("c_level")) & (F.col("block") == F.col("c_block"))
+    return held.join(covers, same).select("tree", "ancestor", "id", "ancestor_entry")
 
 
-def descendants(h: DataFrame) -> DataFrame:
-    """(tree, ancestor, id) for every pair: the parents of a level joined with the pairs of the level above.
+def paths(h: DataFrame, separator: str = " / ") -> DataFrame:
+    """(tree, id, path): the ids from the root to each rooted node, which are its ancestors in the order of their entries.
 
-    One row for each pair is what is asked for; each round joins one more level on the key of the parent.
+    The result is as long as the sum of all depths, so it is made only where paths are asked for.
     """
-    base = h.where("not cyclic and parent is not null").select("tree", "id", "parent")
-    level = cut(base.select("tree", F.col("parent").alias("ancestor"), "id"))
-    every = level
-    up = base.select(F.col("tree").alias("u_tree"), F.col("id").alias("u_id"), F.col("parent").alias("u_parent"))
-    while True:
-        level = cut(level.join(up, F.col("tree").eqNullSafe(F.col("u_tree")) & (F.col("ancestor") == F.col("u_id"))).select("tree", F.col("u_parent").alias("ancestor"), "id"))
-        if level.isEmpty():
-            return every
-        every = every.unionByName(level)
+    above = descendants(h).groupBy("tree", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ancestor_entry", "ancestor"))), lambda x: x["ancestor"]).alias("above"))
+    above = above.select(F.col("tree").alias("u_tree"), F.col("id").alias("u_id"), "above")
+    nodes = h.where("not cyclic and id is not null").select("tree", "id")
+    x = nodes.join(above, F.col("tree").eqNullSafe(F.col("u_tree")) & (F.col("id") == F.col("u_id")), "left")
+    return x.select("tree", "id", F.concat_ws(separator, "above", F.array("id")).alias("path"))

@@ -141,20 +141,17 @@ def mapping(graph: DataFrame) -> DataFrame:
 
 
 def members(value: object, name: str) -> Iterator[object]:
-    """Every value of a member called name, wherever it stands, in document order; not looked for inside itself."""
+    """Every value of a member called name, wherever it stands, also inside another of that name, outer ones first."""
     stack = [value]
     while stack:
         v = opened(stack.pop())
         if isinstance(v, list):
             stack += reversed(v)
         elif isinstance(v, dict):
-            rest = []
             for k, x in v.items():
                 if k == name:
                     yield opened(x)
-                else:
-                    rest.append(x)
-            stack += reversed(rest)
+            stack += reversed(list(v.values()))
 
 
 def elements(value: object) -> list:
@@ -163,37 +160,74 @@ def elements(value: object) -> list:
     return v if isinstance(v, list) else [v] if isinstance(v, dict) else []
 
 
-Row = tuple
+@dataclass
+class TableRow:
+    """A row that the mapping makes: its table, its number there within the record, its position in the array it stands
+    in, the path of inlined members from the row that owns it, that row, and the element itself."""
+
+    table: str
+    number: int
+    position: int
+    path: str
+    owner: "TableRow | None"
+    element: object
 
 
-def flat_json(df: DataFrame, keys: list[str], column: str, outer: str, inner: str, columns: dict[str, Callable[[dict, dict], object]], schema: str) -> DataFrame:
-    """The table of ``inner`` objects below ``outer`` members: keys, positions of both, and inlined columns.
+def table_rows(value: object, tables: frozenset[str]) -> Iterator[TableRow]:
+    """The rows of all tables in a JSON value, with the row that owns each; null elements are numbered, but give no row.
 
-    schema gives the types of the inlined columns; positions are outer_pos and inner_pos. Where a record has several
-    members called outer, their elements are counted on.
+    The members of an object are numbered before what is further inside; an element may hold others of its own table.
+    """
+    numbers: dict[str, int] = defaultdict(int)
+    stack: list[tuple[object, TableRow | None, str]] = [(value, None, "")]
+    while stack:
+        v, owner, path = stack.pop()
+        v = opened(v)
+        inner: list[tuple[object, TableRow | None, str]] = []
+        if isinstance(v, list):
+            inner = [(x, owner, path) for x in v]
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                x = opened(x)
+                name = f"{path}.{k}" if path else k
+                if k not in tables:
+                    if isinstance(x, dict | list):
+                        inner.append((x, owner, name))
+                    continue
+                for position, e in enumerate(elements(x)):
+                    e = opened(e)
+                    number = numbers[k]
+                    numbers[k] += 1
+                    if e is not None:
+                        row = TableRow(k, number, position, name, owner, e)
+                        yield row
+                        if isinstance(e, dict | list):
+                            inner.append((e, row, "" if isinstance(e, dict) else "$"))
+        stack += reversed(inner)
+
+
+def flat_json(df: DataFrame, keys: list[str], column: str, outer: str, inner: str, columns: dict[str, Callable[[dict, dict], object]], schema: str, tables: list[str] | None = None) -> DataFrame:
+    """The table of ``inner`` objects that are members of ``outer`` objects: keys, positions of both, and inlined columns.
+
+    tables are the members that the mapping gives a table; outer and inner have one in any case, also where the data show
+    them only once. schema gives the types of the inlined columns; outer_pos is the number of the owning row in its
+    record, inner_pos the position in its array.
     """
+    own = frozenset((*(tables or ()), outer, inner))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, outs, ins, vals = [], [], [], {c: [] for c in columns}
             for i, text in enumerate(b[column]):
-                if text is None or outer not in text:
-                    continue
-                o = -1
-                for member in members(parsed(text), outer):
-                    for e in elements(member):
-                        o += 1
-                        e = opened(e)
-                        if not isinstance(e, dict):
-                            continue
-                        for k, x in enumerate(elements(e.get(inner))):
-                            x = opened(x)
-                            if isinstance(x, dict):
-                                at.append(i)
-                                outs.append(o)
-                                ins.append(k)
-                                for c, get in columns.items():
-                                    vals[c].append(get(e, x))
+                if text is None or (outer not in text or inner not in text) and "\\u" not in text:
+                    continue  # neither member is there, however it is written
+                for r in table_rows(parsed(text), own):
+                    if r.table == inner and r.path == inner and r.owner is not None and r.owner.table == outer and isinstance(r.element, dict):
+                        at.append(i)
+                        outs.append(r.owner.number)
+                        ins.append(r.position)
+                        for c, get in columns.items():
+                            vals[c].append(get(r.owner.element, r.element))
             out = b.iloc[at][keys].reset_index(drop=True)
             out["outer_pos"], out["inner_pos"] = pd.Series(outs, dtype="int32"), pd.Series(ins, dtype="int32")
             for c in columns:
@@ -205,6 +239,11 @@ def flat_json(df: DataFrame, keys: list[str], column: str, outer: str, inner: st
     return df.select(*keys, column).where(F.col(column).isNotNull()).mapInPandas(rows, full)
 
 
+def tables_of(df: DataFrame, column: str) -> list[str]:
+    """The members of a JSON column that the mapping gives a table; there are as many as the schema has names."""
+    return sorted(x.member for x in mapping(cut_schema(df, column)).where("place = 'table'").collect())
+
+
 def flat_tables(df: DataFrame, keys: list[str], column: str, root: str, tables: list[str]) -> DataFrame:
     """Rows of ``root`` members, wherever they stand, and of every member below them that is one of ``tables``.
 
@@ -219,7 +258,7 @@ def flat_tables(df: DataFrame, keys: list[str], column: str, root: str, tables:
         for b in batches:
             at, paths, places, inlined = [], [], [], []
             for i, j in enumerate(b.column(column).to_pylist()):
-                if root not in j:
+                if root not in j and "\\u" not in j:
                     continue
                 todo, o = [], 0
                 for member in members(parsed(j), root):

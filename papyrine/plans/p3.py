@@ -18,7 +18,7 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 def _definitions(spark: SparkSession, d: str, columns: dict | None = None, schema: str = "") -> DataFrame:
     rows = table(spark, d, "mg_metavertices", "document_id", F.col("metavertex_id").alias("record_id"), "attributes")
-    return op.flat_json(rows, ["document_id", "record_id"], "attributes", "evidence", "definitions", columns or {}, schema)
+    return op.flat_json(rows, ["document_id", "record_id"], "attributes", "evidence", "definitions", columns or {}, schema, op.tables_of(rows, "attributes"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +59,7 @@ def p3_lines(spark: SparkSession, d: str) -> DataFrame:
 def p3_members(spark: SparkSession, d: str) -> DataFrame:
     """The tables below evidence: every member that the mapping gives a table, with positions at each level and inlined columns."""
     rows = table(spark, d, "mg_metavertices", "document_id", "metavertex_id", "attributes")
-    tables = [x.member for x in op.mapping(op.cut_schema(rows, "attributes")).where("place = 'table'").collect()]
-    return op.flat_tables(rows, ["document_id", "metavertex_id"], "attributes", "evidence", tables).distinct()
+    return op.flat_tables(rows, ["document_id", "metavertex_id"], "attributes", "evidence", op.tables_of(rows, "attributes")).distinct()
 
 
 def p3_evidence(spark: SparkSession, d: str) -> DataFrame:

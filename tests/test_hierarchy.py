@@ -64,6 +64,30 @@ def test_deep_chain_paths_and_descendants(spark):
     assert op.descendants(short).count() == 36
 
 
+def test_pairs_and_paths_are_those_of_the_links(spark):
+    for seed, n in ((3, 40), (4, 130)):
+        rows = [(r[0] if i % 7 else None, *r[1:]) for i, r in enumerate(random_forest(seed, n))]
+        h = op.cut(op.hierarchy(spark.createDataFrame(rows, SCHEMA), "document_id", "section_id", "parent_id", "ord"))
+        rooted = {(x.tree, x.id): x.parent for x in h.collect() if not x.cyclic}
+        pairs, paths = set(), {}
+        for (t, i), p in rooted.items():
+            chain = [i]
+            while p is not None:
+                pairs.add((t, p, i))
+                chain.append(p)
+                p = rooted[(t, p)]
+            paths[(t, i)] = " / ".join(reversed(chain))
+        got = [(x.tree, x.ancestor, x.id) for x in op.descendants(h).collect()]
+        assert len(got) == len(pairs) and set(got) == pairs
+        assert {(x.tree, x.id): x.path for x in op.paths(h).collect()} == paths
+
+
+def test_null_and_empty_tree_stay_apart(spark):
+    rows = [(t, s, p, i, "", "") for t in (None, "") for i, (s, p) in enumerate([("a", None), ("b", "a"), ("c", "b")] if t is None else [("a", None), ("c", "a")])]
+    h = {(x.tree, x.id): (x.root, x.depth, x.n_descendants) for x in op.hierarchy(spark.createDataFrame(rows, SCHEMA), "document_id", "section_id", "parent_id", "ord").collect()}
+    assert h == {(None, "a"): ("a", 1, 2), (None, "b"): ("a", 2, 1), (None, "c"): ("a", 3, 0), ("", "a"): ("a", 1, 1), ("", "c"): ("a", 2, 0)}
+
+
 def test_null_ids_empty_and_latest(spark):
     assert op.hierarchy(spark.createDataFrame([], SCHEMA), "document_id", "section_id", "parent_id", "ord").count() == 0
     rows = [(None, None, None, None, "", ""), ("d", "a", "a", 1, "", ""), (None, "b", None, 2, "", "")]

@@ -68,3 +68,63 @@ def test_tables_below_evidence_lose_nothing(spark):
         ("0", d, (3, 0)): {"symbol": "a", "scope.section.id": "s", "scope.page": "3"}, ("0", f"{d}.rules", (3, 0, 0)): {"rule": "r", "confidence": "0.5"}, ("0", f"{d}.rules", (3, 0, 2)): {"rule": "q"},
         ("1", "evidence", (0,)): {}, ("1", d, (0, 1)): {"symbol": "b", "rules": "one", "roles": '["x", "y"]'},
     }
+
+
+def test_escaped_names_and_elements_inside_themselves(spark):
+    texts = [
+        '{"\\u0065vidence": [{"definitions": [{"symbol": "a"}]}]}',
+        json.dumps({"evidence": [{"definitions": [{"symbol": "b"}], "evidence": [{"definitions": {"symbol": "c"}}]}, {"definitions": [{"symbol": "d"}]}]}),
+        json.dumps({"evidence": [{"note": {"definitions": [{"symbol": "no"}]}}]}),
+    ]
+    assert flat(spark, texts) == [("0", 0, 0, "a", None), ("1", 0, 0, "b", None), ("1", 1, 0, "d", None), ("1", 2, 0, "c", None)]
+
+
+def test_rows_of_tables_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+
+    def value(depth):
+        if depth == 0:
+            return r.choice([None, 1, "x"])
+        kind = r.random()
+        if kind < 0.25:
+            return [value(depth - 1) for _ in range(r.randint(0, 3))]
+        out = {k: value(depth - 1) for k in r.sample(["evidence", "definitions", "other", "more"], r.randint(0, 3))}
+        return json.dumps(out) if r.random() < 0.1 else out
+
+    def brute(v):
+        found, count = [], [0]
+
+        def walk(x):
+            x = op.opened(x)
+            if isinstance(x, list):
+                for y in x:
+                    walk(y)
+            elif isinstance(x, dict):
+                later = []
+                for k, y in x.items():
+                    y = op.opened(y)
+                    if k == "evidence":
+                        for e in op.elements(y):
+                            e, n = op.opened(e), count[0]
+                            count[0] += 1
+                            if isinstance(e, dict):
+                                found.extend((n, j) for j, d in enumerate(op.elements(e.get("definitions"))) if isinstance(op.opened(d), dict))
+                            later.append(e)
+                    elif k == "definitions":
+                        later += [op.opened(e) for e in op.elements(y)]
+                    else:
+                        later.append(y)
+                for y in later:
+                    walk(y)
+
+        walk(v)
+        return sorted(found)
+
+    values = [value(5) for _ in range(300)]
+    df = spark.createDataFrame([("d", str(i), json.dumps(v)) for i, v in enumerate(values)], "document_id string, record_id string, attributes string")
+    got = {}
+    for x in op.flat_json(df, ["document_id", "record_id"], "attributes", "evidence", "definitions", {}, "").collect():
+        got.setdefault(int(x.record_id), []).append((x.outer_pos, x.inner_pos))
+    assert {k: sorted(v) for k, v in got.items()} == {i: b for i, v in enumerate(values) if (b := brute(op.parsed(json.dumps(v))))}
