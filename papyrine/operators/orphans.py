@@ -175,7 +175,7 @@ def bounds(refs: DataFrame, arrivals: DataFrame, months: int) -> list[str]:
     return out
 
 
-def fold(refs: DataFrame, arrivals: DataFrame, months: int = 6) -> Iterator[tuple[str, OrphanState, OrphanBatch]]:
+def fold(refs: DataFrame, arrivals: DataFrame, months: int = 12) -> Iterator[tuple[str, OrphanState, OrphanBatch]]:
     """``advance`` over the periods of a history: (end of the period, state after it, what the batch changed).
 
     References without a time belong to the first batch. The state that the next batch reads is written at each
