@@ -42,7 +42,7 @@ FOREIGN_BY_SCRIPT = (("\u3040", "\u9fff", 6), ("\uac00", "\ud7a3", 8))
 REJECT, SURE = 0.4, 0.8
 BLOCK = 1 << 17
 
-_MASK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|</?[a-zA-Z][^<>]{0,300}>|\\[a-zA-Z]+|\[?FORMULA_\d+\]?|&#?\w{1,8};|`[^`\n]*`|\$[^$\n]{1,200}\$|\b[A-Za-z]\b|\b\w+_\w+\b")
+_MASK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|</?[a-zA-Z][^<>]*>|\\[a-zA-Z]+|\[?FORMULA_\d+\]?|&#?\w{1,8};|`[^`\n]*`|\$[^$\n]+\$|\b[A-Za-z]\b|\b\w+_\w+\b")
 _ENDED = re.compile("[.!?。！？।؟…]+[\"'”’»“」』）)\\]]*\\s*$")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -244,7 +244,7 @@ def fit(df: DataFrame, key: str, text: str, label: str, codes: DataFrame) -> Cla
     for language, t in zip(sample["language"], sample["text"], strict=True):
         own = [m for x in t.split("\n") if len(m := masked(x)) > 25 and len(_WORDS.findall(m)) > (0 if any("\u0e00" <= c <= "\u9fff" for c in m[:40]) else 3)]
         for i in sorted(rng.permutation(len(own))[:ROW_LINES].tolist()):  # lest one long text outweighs many
-            lines.append(own[i][:400])
+            lines.append(own[i])
             labels.append(language)
     if len(lines) > LINES:
         take = np.sort(np.random.default_rng(3).permutation(len(lines))[:LINES])
@@ -334,7 +334,8 @@ def _judge_block(c: Classifier, k: int, texts: list[str | None], offset: int, se
                     if number[j] and starts[j] and best[j] != main and sure[j] >= SURE and count[j] >= _least(lines[j]) and _whole(lines[j]):
                         foreign.append({"segment_no": number[j], "language": c.languages[best[j]], "confidence": float(sure[j])})
             by = [(c.languages[x], int(score[i, x])) for x in np.flatnonzero(score[i]).tolist()]
-            name = c.languages[main] if confidence >= REJECT or len(by) > 1 else "und"
+            # A text is rejected by how sure its own lines are, however many languages stand beside them.
+            name = c.languages[main] if trust[i, main] >= REJECT * score[i, main] else "und"
             out.append((offset + i, name, confidence, total, by, foreign))
         start = end
     return out

@@ -17,7 +17,10 @@ Defined results
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,30 +89,41 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, group:
     offset = counts.select("n_tokens", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("n_tokens", "block").orderBy("key", "piece")
     ranked = pieces.where("n_tokens > 0").withColumn("r", F.row_number().over(inside) - 1).join(offset, ["n_tokens", "block"]).withColumn("rank", F.col("r") + F.col("offset"))
-    # One sorted array for each length; the range that a rank falls into is found by its last start not above it.
-    by_size: dict[int, list] = {}
-    for s, r, k, c in rows:
-        by_size.setdefault(s, []).append((r, c))
-    plan_df = spark.createDataFrame([(s, v) for s, v in by_size.items()], "n_tokens int, ranges array<struct<r: long, c: long>>")
-    placed = ranked.join(F.broadcast(plan_df), "n_tokens").withColumn("own", F.element_at(F.filter("ranges", lambda x: x["r"] <= F.col("rank")), -1))
-    placed = placed.select("key", "piece", "n_tokens", (F.col("own.c") + F.col("rank") - F.col("own.r")).alias("container"))
     # Step groups: containers in the order of their gap, dealt to and fro.
     order, base, fills = sorted(containers, key=lambda x: (x[2], x[0])), 0, []
     for first, count, _ in order:
-        fills.append((first, count, base))
+        fills.append((first, base))
         base += count
-    groups = max(1, -(-base // group))
-    fills.sort()
-    dealt = spark.createDataFrame([([(f, b) for f, _, b in fills],)], "fills array<struct<f: long, b: long>>")
-    by_container = placed.select("container").distinct().join(F.broadcast(dealt))
-    own = F.element_at(F.filter("fills", lambda x: x["f"] <= F.col("container")), -1)
-    turn = by_container.select("container", own.alias("o")).select("container", (F.col("o.b") + F.col("container") - F.col("o.f")).alias("i"))
-    place = F.pmod(F.col("i"), F.lit(2 * groups))
-    turn = turn.select("container", F.when(place < groups, place).otherwise(2 * groups - 1 - place).alias("step_group"))
-    placed = placed.join(turn, "container")
+    placed = _placed(ranked, key="key", rows=rows, fills=sorted(fills), groups=max(1, -(-base // group)))
     nothing = pieces.where("n_tokens = 0").select("key", "piece", "n_tokens", F.lit(None).cast("long").alias("container"), F.lit(None).cast("long").alias("step_group"))
     every = placed.select("key", "piece", "n_tokens", "container", "step_group").unionByName(nothing)
     tier = F.lit(0)
     for i, t in enumerate(TIERS):
         tier = F.when(F.col("n_tokens") <= int(capacity * t), i).otherwise(tier)
     return every.select(F.col("key").alias(key), "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n_tokens", tier.alias("tier"), "container", "step_group")
+
+
+def _placed(ranked: DataFrame, key: str, rows: list[tuple[int, int, int, int]], fills: list[tuple[int, int]], groups: int) -> DataFrame:
+    """Container and step group of each numbered piece: binary searches in the plan, whose size depends on the capacity only."""
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for s, r, _, c in rows:
+        by_size.setdefault(s, []).append((r, c))
+    ranges = {s: np.array(sorted(v), np.int64) for s, v in by_size.items()}
+    firsts, bases = np.array([f for f, _ in fills], np.int64), np.array([b for _, b in fills], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, rank = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            container = np.empty(len(size), np.int64)
+            for s in np.unique(size).tolist():
+                own = size == s
+                r = ranges[s]
+                at = np.searchsorted(r[:, 0], rank[own], "right") - 1
+                container[own] = r[at, 1] + rank[own] - r[at, 0]
+            at = np.searchsorted(firsts, container, "right") - 1
+            place = (bases[at] + container - firsts[at]) % (2 * groups)
+            turn = np.where(place < groups, place, 2 * groups - 1 - place)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(container), pa.array(turn)], names=["key", "piece", "n_tokens", "container", "step_group"])
+
+    kind = ranked.schema[key].dataType.simpleString()
+    return ranked.select("key", "piece", "n_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(run, f"key {kind}, piece int, n_tokens int, container long, step_group long")

@@ -31,10 +31,13 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and unused share by step group."""
+    """Pieces and tokens by tier, and of all tiers together (tier null) with containers and unused share."""
     placed = p9_containers(spark, d).where("container is not null")
-    per = placed.groupBy("step_group").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return per.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6))
+    n = F.count(F.lit(1)).alias("pieces")
+    tiers = placed.groupBy("tier").agg(n, F.sum("n_tokens").alias("tokens")).select("tier", "pieces", "tokens", F.lit(None).cast("long").alias("containers"), F.lit(None).cast("double").alias("unused"))
+    whole = placed.agg(n, F.sum("n_tokens").alias("tokens"), F.countDistinct("container").alias("containers"))
+    unused = F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6).alias("unused")
+    return tiers.unionByName(whole.select(F.lit(None).cast("int").alias("tier"), "pieces", "tokens", "containers", unused))
 
 
 QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}

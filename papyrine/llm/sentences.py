@@ -5,8 +5,8 @@ stands to the left (last word and closing mark), and how likely the next two wor
 counted over all texts: beginnings and ends of fields and lines are certain events, every other place with a closing
 mark, or with a space in a script that does not mark its sentences, is hidden and gets its share by expectation
 maximisation. How sentences begin is counted at the certain events only, so that what merely follows abbreviations is
-never learnt as a beginning. Events close to each other share words, so they are decided together by forward-backward sums over a chain
-of two states, in which a place right after an event is made less likely where the word between is a stub of one or two
+never learnt as a beginning. All places of a line are decided together by forward-backward sums over a chain of two
+states, in which a place right after an event is made less likely where the word between is a stub of one or two
 letters (a fixed factor, not a counted one). A place is a boundary if its posterior exceeds one half.
 
 Fixed by the definition of a sentence, not by the model: a line end is a boundary; nothing inside brackets or quotation
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 ROUNDS = 4
 DISCOUNT = 2.0
-#: Candidates this close share context words and are decided together.
-NEAR = 24
+#: A sentence of nothing but a stub of so many letters is so much less likely.
+STUB, STUB_FACTOR = 2, 0.25
 
 _NO_SPACES = "぀-ヿ㐀-鿿豈-﫿"
 _THAI = "฀-໿ក-៿"
@@ -44,7 +44,6 @@ _EVENT = re.compile(
     f"(?P<mark>[{_MARKS}]+)(?P<closers>[)\\]»”“\"」』》）]*)|(?P<line>\\s*\n\\s*)|(?P<space>(?<=[{_THAI}\\d])[  ]+(?=[{_THAI}]))|(?P<bracket>[(（\\[«„“\"「『《)）\\]»”」』》])"
 )
 _RIGHT = re.compile(f"\\s*(?:([{_THAI}]{{1,4}})[{_THAI}]*|([{_NO_SPACES}]{{1,2}})|(\\d[\\d.,]*\\d|\\d)|([^\\W\\d_{_NO_SPACES}{_THAI}]+)|(\\S))")
-_LEFT = re.compile(f"(?:[{_THAI}]{{1,4}}|[{_NO_SPACES}]{{1,2}}|\\d[\\d.,]*|[^\\W\\d_{_NO_SPACES}{_THAI}]+|\\S)\\s*$")
 END, START, HIDDEN = 0, 1, 2
 
 
@@ -61,12 +60,31 @@ def right_words(text: str, at: int) -> tuple[str, str]:
     return _token(a), _token(_RIGHT.match(text, a.end()))
 
 
+_LAST_SCRIPT = re.compile(f"[{_THAI}]{{1,4}}$|[{_NO_SPACES}]{{1,2}}$")
+
+
 def left_word(text: str, at: int) -> str:
-    m = _LEFT.search(text[max(0, at - 30) : at])
-    if m is None:
+    """The word that ends at a place, white space aside, of any length."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    if not at:
         return ""
-    w = m.group().strip()
-    return "0" if w[0].isdigit() else w
+    c = text[at - 1]
+    if c.isdigit() or c in ".,":
+        i = at - 1
+        while i > 0 and (text[i - 1].isdigit() or text[i - 1] in ".,"):
+            i -= 1
+        return "0" if any(x.isdigit() for x in text[i:at]) else c
+    m = _LAST_SCRIPT.search(text, max(0, at - 4), at)
+    if m:
+        return m.group()
+    i = at - 1
+    while i > 0 and c.isalpha() and text[i - 1].isalpha() and not _SCRIPT.match(text[i - 1]):
+        i -= 1
+    return text[i:at]
+
+
+_SCRIPT = re.compile(f"[{_THAI}{_NO_SPACES}]")
 
 
 def shape(w: str) -> str:
@@ -163,17 +181,25 @@ def places(text: str) -> list[tuple]:
             keep = len(out)
             ignore: set[int] = set()
             while not scan(start, line_end, frozenset(ignore)):
-                ignore.add(stack[0][1])
-                if len(ignore) > 50:
-                    break
-            last = _EVENT_TAIL.search(text, max(start, line_end - 12), line_end)
-            mark = last.group() if last else ""
+                ignore.update(x[1] for x in stack)  # none of them is ever closed
+            mark = text[_tail(text, start, line_end) : line_end]
             out.append((line_end, END, left_word(text, line_end - len(mark)), mark, *right_words(text, start)))
         start = stop + 1
     return out
 
 
-_EVENT_TAIL = re.compile(f"[{_MARKS}]+[)\\]»”“\"」』》）]*$")
+_CLOSERS = frozenset(")]»”“\"」』》）")
+
+
+def _tail(text: str, start: int, end: int) -> int:
+    """Where the closing marks at the end of a line begin, or its end if it has none."""
+    i = end
+    while i > start and text[i - 1] in _CLOSERS:
+        i -= 1
+    k = i
+    while k > start and text[k - 1] in _MARKS:
+        k -= 1
+    return k if k < i else end
 
 
 def script(w: str) -> int:
@@ -300,9 +326,6 @@ class Model:
                 run = []
                 out.append(c[0])
             else:
-                if run and c[0] - run[-1][0] > NEAR:
-                    out += self._decide(run)
-                    run = []
                 run.append(c)
         return out + self._decide(run)
 
@@ -312,22 +335,24 @@ class Model:
         if len(run) == 1:
             c = run[0]
             return [c[0]] if self.posterior(*c[2:6]) > 0.5 else []
-        # Forward-backward over a chain of close places: if the one before is an event, the left word begins a sentence.
+        # Forward-backward over the places of the line: if the one before is an event, the left word begins a sentence.
         odds = []
         for i, c in enumerate(run):
             p = self.posterior(*c[2:6])
             after = p
             if i and c[2] == run[i - 1][4]:  # this place's left word is the right word of the one before
-                after = p * 0.25 if len(c[2]) <= 2 else p
+                after = p * STUB_FACTOR if len(c[2]) <= STUB else p
             odds.append((p, after))
         f = [(1 - odds[0][0], odds[0][0])]
         for p, after in odds[1:]:
             n0, n1 = f[-1]
-            f.append((n0 * (1 - p) + n1 * (1 - after), n0 * p + n1 * after))
+            x, y = n0 * (1 - p) + n1 * (1 - after), n0 * p + n1 * after
+            f.append((x / (x + y), y / (x + y)))
         b = [(1.0, 1.0)]
         for p, after in reversed(odds[1:]):
             b0, b1 = b[-1]
-            b.append(((1 - p) * b0 + p * b1, (1 - after) * b0 + after * b1))
+            x, y = (1 - p) * b0 + p * b1, (1 - after) * b0 + after * b1
+            b.append((x / (x + y), y / (x + y)))
         b.reverse()
         return [c[0] for c, (f0, f1), (b0, b1) in zip(run, f, b, strict=True) if f1 * b1 > f0 * b0]
 
