@@ -181,7 +181,8 @@ def places(text: str) -> list[tuple]:
             keep = len(out)
             ignore: set[int] = set()
             while not scan(start, line_end, frozenset(ignore)):
-                ignore.update(x[1] for x in stack)  # none of them is ever closed
+                # The outermost is never closed; of many, the outer half is given up at once.
+                ignore.update(x[1] for x in stack[: max(1, len(stack) // 2 if len(stack) > 20 else 1)])
             mark = text[_tail(text, start, line_end) : line_end]
             out.append((line_end, END, left_word(text, line_end - len(mark)), mark, *right_words(text, start)))
         start = stop + 1
