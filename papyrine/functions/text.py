@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyrine.functions.notation import DEFINITION_MARKERS, SECTION_TITLES
+
 #: Formula token in running text; a fixed format.
 TOKEN = r"\[FORMULA_([0-9]+)\]"
-#: Phrases that introduce definitions; fixed values, in the order in which they are reported.
-DEFINITION_MARKERS = ["where", "denotes", "is called", "let", "suppose", "где", "обозначает", "называется", "пусть", "désigne", "soit", "bezeichnet", "es sei"]
 #: Symbols printed otherwise than they are meant; fixed values.
 ARTIFACTS = {"\u00ad": "", "\ufb01": "fi", "\ufb02": "fl", "\u2212": "-", "\u2013": "-", "\u2014": "-", "\u2217": "*"}
 #: Characters of text decoded with the wrong code page; fixed values.
@@ -29,7 +29,7 @@ def clip(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n)), F.lit("..."))).otherwise(c)
 
 
-def token_window(text: Column, token: Column, radius: int) -> Column:
+def token_window(text: Column, token: Column, radius: int = 260) -> Column:
     """Text around the first occurrence of a token; null where there is none."""
     at = F.call_function("locate", token, text)
     start = F.greatest(F.lit(1), at - radius)
@@ -64,8 +64,36 @@ def section_level(title: Column) -> Column:
 
 
 def is_heading(c: Column, block_type: Column) -> Column:
-    """Short, and typed as a heading or numbered like one."""
-    return (F.length(c) <= 180) & ((block_type == "heading") | c.rlike(r"^[0-9]+(\.[0-9]+)*\.? +[^ ]"))
+    """Short, and typed as a heading, or numbered or named like one unless it is title, author or abstract."""
+    c = F.trim(c)
+    named = c.rlike(r"(?iu)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:" + "|".join(SECTION_TITLES) + r")(?![\p{L}\p{N}_])")
+    fits = F.coalesce(block_type == "heading", F.lit(False)) | ~F.coalesce(block_type.isin("title", "author", "abstract"), F.lit(False)) & (c.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+\S+") | named)
+    return (c != "") & (F.length(c) <= 180) & fits
+
+
+def block_type(role: Column, c: Column) -> Column:
+    """Type of a block by its role, else by its text: short and all in capitals is a heading, blank is unknown."""
+    role, c = F.lower(F.coalesce(role, F.lit(""))), F.trim(F.coalesce(c, F.lit("")))
+    shout = (F.length(c) < 120) & (F.upper(c) == c) & (F.lower(c) != c)
+    return (
+        F.when(role.isin("section", "subsection", "subsubsection", "chapter", "part"), "heading")
+        .when(role.isin("title", "author", "abstract", "heading", "paragraph", "caption", "list_item", "footer"), role)
+        .when(shout, "heading").when(c != "", "paragraph").otherwise("unknown")
+    )
+
+
+def layer_assessment(c: Column) -> Column:
+    """(quality, score, char_count, warnings, allow_ocr_fallback) of a text layer."""
+    c = F.coalesce(c, F.lit(""))
+    n = F.length(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    blanks = F.when(F.length(c) > 0, F.regexp_count(c, F.lit(r"\s")) / F.length(c)).otherwise(F.lit(1.0))
+    warnings = F.array_compact(F.array(
+        F.when(n == 0, "text_layer_missing"), F.when(F.contains(c, F.lit("\ufffd")), "replacement_symbols_present"), F.when(c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_symbols_present"),
+        F.when((n > 0) & (F.regexp_count(c, F.lit(LETTER)) / F.greatest(F.lit(1), n) < 0.2), "low_letter_ratio"), F.when(blanks > 0.65, "excessive_whitespace"),
+    ))
+    score = F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.18 * F.size(warnings)))
+    quality = F.when(n == 0, "missing").when((score >= 0.7) & (n >= 80), "good").otherwise("poor")
+    return F.struct(quality.alias("quality"), F.round(score, 2).alias("score"), n.alias("char_count"), warnings.alias("warnings"), (quality != "good").alias("allow_ocr_fallback"))
 
 
 def share(c: Column, of: str, within: str) -> Column:
@@ -92,16 +120,25 @@ def mojibake(c: Column) -> Column:
     return F.length(c) - F.length(F.translate(c, MOJIBAKE, ""))
 
 
+#: What a text decoded with the wrong code page holds where it is judged as a whole; fixed values.
+CORRUPTED_MARKS = ("Ã", "Â", "â€", "Ð", "Ñ")
+
+
 def corrupted(c: Column) -> Column:
-    bad = F.length(c) - F.length(F.translate(c, "\u00b6\ufffd", ""))
-    return (bad >= 3) | (mojibake(c) >= 8) | ((F.regexp_count(c, F.lit(LETTER)) > 100) & (share(c, CYRILLIC, LETTER) < 0.15) & (mojibake(c) >= 3))
+    """Whether a document's text is unreadable: stray signs, marks of a wrong code page, or some of them in Latin text."""
+    n = lambda *x: sum((F.length(c) - F.length(F.replace(c, F.lit(y), F.lit("")))) / len(y) for y in x)
+    marks = n(*CORRUPTED_MARKS)
+    cyrillic, latin = F.regexp_count(c, F.lit("[А-яёЁ]")), F.regexp_count(c, F.lit("[A-z]"))
+    letters = cyrillic + latin
+    return F.coalesce((c != "") & ((n("\u00b6", "\ufffd") >= 3) | (marks >= 8) | ((letters > 100) & (cyrillic < letters * 0.15) & (marks >= 3))), F.lit(False))
 
 
 def layer_quality(c: Column) -> Column:
     """missing, poor or good."""
-    bad = F.length(c) - F.length(F.translate(c, "\ufffd", ""))
-    letters = F.regexp_count(c, F.lit(LETTER)) / F.length(c)
-    return F.when(F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0, "missing").when((F.length(c) < 300) | (bad > 10) | (letters < 0.35), "poor").otherwise("good")
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    bad = F.length(c) - F.length(F.translate(c, "\ufffd\u25a1", ""))
+    letters = F.regexp_count(c, F.lit(LETTER)) / F.greatest(F.length(c), F.lit(1))
+    return F.when(c == "", "missing").when((F.length(c) < 300) | (bad > 10) | (letters < 0.35), "poor").otherwise("good")
 
 
 def repaired_artifacts(c: Column) -> Column:

@@ -203,11 +203,6 @@ def _(s, d):
     return current(s, d, "edges", "edge_type").withColumn("r", F.row_number().over(w)).where("r <= 360").select("document_id", "edge_id")
 
 
-@query("proj_mode_aliases", "select * from (values ('overview', 'overview'), ('formula', 'formula_focus'), ('variable', 'variable_focus'), ('metaedges', 'metaedge_lanes'), ('ast', 'ast_tree')) t(alias, mode)")
-def _(s, d):
-    return s.createDataFrame([("overview", "overview"), ("formula", "formula_focus"), ("variable", "variable_focus"), ("metaedges", "metaedge_lanes"), ("ast", "ast_tree")], "alias string, mode string")
-
-
 @query("valid_tokens_in_text", sql("formulas", "blocks") + """select f.document_id, f.formula_id from formulas f where f.token is not null and not exists (select 1 from (select distinct document_id, unnest(regexp_extract_all(text_with_tokens, '\\[FORMULA_[0-9]+\\]')) as token from blocks) b where b.document_id = f.document_id and b.token = f.token)""")
 def _(s, d):
     """Formulas whose token no block holds."""

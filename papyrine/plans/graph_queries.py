@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import latex
-from papyrine.operators import geometry, graph
+from papyrine.operators import geometry, graph, search
 from papyrine.plans.base import current, sql
+from papyrine.plans.definitions import DEF, DEFS, definitions
 from papyrine.plans.text_queries import _GREEK, symbols
 from papyrine.sources.tables import table
 
@@ -36,7 +37,7 @@ def fs(s: SparkSession, d: str) -> DataFrame:
 
 
 #: Columns that DuckDB makes decimals of, where Spark has doubles.
-_DOUBLES = {"rel_has_context": "confidence", "rel_all": "confidence", "search_variable": "confidence", "search_substring": "confidence", "search_suggestions": "score", "sem_sequence": "weight", "sem_same_context": "weight", "rich_node_mass": "mass", "legacy_source_reliability": "reliability", "proj_ambiguity": "score"}
+_DOUBLES = {"rel_has_context": "confidence", "rel_all": "confidence", "sem_sequence": "weight", "sem_same_context": "weight", "rich_node_mass": "mass", "legacy_source_reliability": "reliability", "proj_ambiguity": "score"}
 
 
 # ---- layout -------------------------------------------------------------------------------------------------------
@@ -191,28 +192,36 @@ def _(s, d):
     return b.join(f, ["document_id", "ref"]).select("document_id", "block_id", "formula_id").distinct()
 
 
-@query("rel_same_symbols", _FSQ + """, r as (select *, row_number() over (partition by document_id, symbol order by ord, formula_id) as r from fs)
-select a.document_id, a.formula_id as source_id, b.formula_id as target_id, min(a.symbol) as symbol from r a join r b on a.document_id = b.document_id and a.symbol = b.symbol and a.r > b.r where a.r <= 12 and b.r <= 12 group by 1, 2, 3""")
-def _(s, d):
-    """Later to earlier formula of a document with a symbol in common; only the first twelve formulas of a symbol, as in its SQL; rel_symbol_classes has all of them."""
-    p = graph.co_members(fs(s, d), ["document_id", "symbol"], "formula_id", "ord", 12)
-    return p.groupBy("document_id", "source_id", "target_id").agg(F.min("symbol").alias("symbol"))
+#: Budget of links by common symbols: formulas of a symbol, links of a document; fixed values.
+SAME_SYMBOL_FORMULAS, SAME_SYMBOL_LINKS = 48, 2500
 
 
-_RULES = [("where_denotes", r"([A-Za-zα-ω](?:_[0-9])?) denotes ([^.,;]{2,60})", 0.78), ("here_is", r"and ([A-Za-zα-ω](?:_[0-9])?) is ([^.,;]{2,60})", 0.74), ("ru_denotes", r"([A-Za-zα-ω](?:_[0-9])?) обозначает ([^.,;]{2,60})", 0.78), ("fr_designe", r"([A-Za-zα-ω](?:_[0-9])?) désigne ([^.,;]{2,60})", 0.76), ("de_bezeichnet", r"bezeichnet ([A-Za-zα-ω](?:_[0-9])?) ([^.,;]{2,60})", 0.76)]
-_DEF = sql("contexts") + ", defs as (" + " union all ".join(f"select document_id, formula_id, '{n}' as rule, {c} as confidence, unnest(regexp_extract_all(current_sentence, '{p}', 1)) as symbol, trim(unnest(regexp_extract_all(current_sentence, '{p}', 2))) as definition from contexts" for n, p, c in _RULES) + ")\n"
+@query("rel_same_symbols", _FSQ + f""", r as (select *, row_number() over (partition by document_id, symbol order by ord nulls first, formula_id) as r from fs),
+sr as (select document_id, symbol, row_number() over (partition by document_id order by ord nulls first, formula_id, symbol) as sr from r where r = 1),
+p as (select a.document_id, a.formula_id as source_id, b.formula_id as target_id, min({{'s': sr.sr, 'b': b.r, 'a': a.r, 'symbol': a.symbol}}) as k from r a join r b on a.document_id = b.document_id and a.symbol = b.symbol and a.r > b.r
+join sr on sr.document_id = a.document_id and sr.symbol = a.symbol where a.r <= {SAME_SYMBOL_FORMULAS} and b.r <= {SAME_SYMBOL_FORMULAS} group by 1, 2, 3)
+select document_id, source_id, target_id, symbol from (select document_id, source_id, target_id, k.symbol as symbol, row_number() over (partition by document_id order by k.s, k.b, k.a) as n from p) where n <= {SAME_SYMBOL_LINKS}""")
+def _(s, d):
+    """Later to earlier formula of a document with a symbol in common, within the budget; rel_symbol_classes has all of them."""
+    f = fs(s, d)
+    w = Window.partitionBy("document_id", "symbol").orderBy("ord", "formula_id")
+    r = f.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAME_SYMBOL_FORMULAS)
+    first = Window.partitionBy("document_id").orderBy("ord", "formula_id", "symbol")
+    sr = r.where("r = 1").withColumn("sr", F.row_number().over(first)).select("document_id", "symbol", "sr")
+    r = r.join(sr, ["document_id", "symbol"])
+    a = r.select("document_id", "symbol", "sr", F.col("formula_id").alias("source_id"), F.col("r").alias("ra"))
+    b = r.select("document_id", "symbol", F.col("formula_id").alias("target_id"), F.col("r").alias("rb"))
+    p = a.join(b, ["document_id", "symbol"]).where("ra > rb").groupBy("document_id", "source_id", "target_id").agg(F.min(F.struct("sr", "rb", "ra", "symbol")).alias("k"))
+    n = Window.partitionBy("document_id").orderBy("k.sr", "k.rb", "k.ra")
+    return p.withColumn("n", F.row_number().over(n)).where(F.col("n") <= SAME_SYMBOL_LINKS).select("document_id", "source_id", "target_id", F.col("k.symbol").alias("symbol"))
 
 
-def definitions(s: SparkSession, d: str) -> DataFrame:
-    """Definitions of symbols that the context sentences give, by rule."""
-    c = current(s, d, "contexts", "current_sentence")
-    each = [c.select("document_id", "formula_id", F.lit(n).alias("rule"), F.lit(k).alias("confidence"), F.explode(F.arrays_zip(F.regexp_extract_all("current_sentence", F.lit(p), 1).alias("a"), F.regexp_extract_all("current_sentence", F.lit(p), 2).alias("b"))).alias("m")) for n, p, k in _RULES]
-    return union(*[x.select("document_id", "formula_id", "rule", "confidence", F.col("m.a").alias("symbol"), F.trim("m.b").alias("definition")) for x in each])
+_DEF = DEF
 
 
-@query("def_evidence", _DEF + "select distinct document_id, formula_id, rule, cast(confidence as double) as confidence, symbol, definition from defs")
+@query("def_evidence", _DEF + "select document_id, formula_id, rule, confidence, symbol, definition from defs")
 def _(s, d):
-    return definitions(s, d).distinct()
+    return definitions(s, d)
 
 
 @query("def_first_per_symbol", _DEF + "select document_id, symbol, arg_min(definition, {'f': formula_id, 'r': rule, 'd': definition}) as definition from defs group by 1, 2")
@@ -245,15 +254,15 @@ def _(s, d):
     return v.select("document_id", "symbol", F.concat(F.lit("var_"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")).alias("var_id"), "n_formulas", "n_sections", F.when(F.col("n_sections") == 1, "section").otherwise("document").alias("scope"))
 
 
-@query("search_variable_index", sql("formulas", "contexts") + _FS + """, d as (select document_id, symbol, count(distinct definition) as n from (""" + " union all ".join(f"select document_id, unnest(regexp_extract_all(current_sentence, '{p}', 1)) as symbol, unnest(regexp_extract_all(current_sentence, '{p}', 2)) as definition from contexts" for _, p, _ in _RULES) + """) group by 1, 2)
-select v.document_id, v.symbol, v.n_formulas, v.n_contexts, coalesce(d.n, 0) as n_definitions from (select fs.document_id, fs.symbol, count(*) as n_formulas, count(c.formula_id) as n_contexts from fs left join contexts c on c.document_id = fs.document_id and c.formula_id = fs.formula_id group by 1, 2) v
-left join d on d.document_id = v.document_id and d.symbol = v.symbol""")
+@query("search_variable_index", sql("formulas", "contexts") + DEFS + _FS + """, c as (select document_id, formula_id from contexts),
+u as (select fs.document_id, fs.symbol, fs.formula_id, case when c.formula_id is not null then 'ctx:' || fs.formula_id end as context_id, cast(null as varchar) as definition from fs left join c on c.document_id = fs.document_id and c.formula_id = fs.formula_id
+union all select document_id, symbol, cast(null as varchar), 'ctx:' || formula_id, definition from defs),
+rel as (select a.document_id, a.symbol, string_agg(distinct b.symbol, '|' order by b.symbol) as related from fs a join fs b on a.document_id = b.document_id and a.formula_id = b.formula_id and a.symbol <> b.symbol group by 1, 2)
+select u.document_id, u.symbol, coalesce(string_agg(distinct u.formula_id, '|' order by u.formula_id), '') as formulas, coalesce(string_agg(distinct u.context_id, '|' order by u.context_id), '') as contexts,
+coalesce(string_agg(distinct u.definition, '|' order by u.definition), '') as definitions, coalesce(any_value(rel.related), '') as related from u left join rel on rel.document_id = u.document_id and rel.symbol = u.symbol group by 1, 2""")
 def _(s, d):
-    """Inverted index: per variable its formulas, contexts and different definitions."""
-    c = current(s, d, "contexts", "lang_label").select("document_id", "formula_id", F.lit(1).alias("c"))
-    v = fs(s, d).join(c, ["document_id", "formula_id"], "left").groupBy("document_id", "symbol").agg(F.count(F.lit(1)).alias("n_formulas"), F.count("c").alias("n_contexts"))
-    n = definitions(s, d).select("document_id", "symbol", "definition").distinct().groupBy("document_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    return v.join(n, ["document_id", "symbol"], "left").select("document_id", "symbol", "n_formulas", "n_contexts", F.coalesce("n", F.lit(0)).alias("n_definitions"))
+    """Inverted index: formulas, contexts, definitions and variables of the same formulas of each variable, joined by bars."""
+    return search.index_rows(fs(s, d), current(s, d, "contexts", "lang_label"), definitions(s, d))
 
 
 @query("search_related_variables", _FSQ + "select a.document_id, a.symbol, b.symbol as related, count(*) as n from fs a join fs b on a.document_id = b.document_id and a.formula_id = b.formula_id and a.symbol <> b.symbol group by 1, 2, 3")
@@ -263,41 +272,11 @@ def _(s, d):
     return a.join(a.withColumnRenamed("symbol", "related"), ["document_id", "formula_id"]).where("symbol <> related").groupBy("document_id", "symbol", "related").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("search_variable", sql("formulas", "contexts") + _FS + "select fs.document_id, fs.formula_id, fs.section_id, c.current_sentence as near, case when c.formula_id is null then 0.78 else 0.9 end as confidence from fs left join contexts c on c.document_id = fs.document_id and c.formula_id = fs.formula_id where fs.symbol = '\\lambda'")
-def _(s, d):
-    c = current(s, d, "contexts", "current_sentence").withColumn("c", F.lit(1))
-    hit = fs(s, d).where(F.col("symbol") == "\\lambda")
-    return hit.join(c, ["document_id", "formula_id"], "left").select("document_id", "formula_id", "section_id", F.col("current_sentence").alias("near"), F.when(F.col("c").isNull(), 0.78).otherwise(0.9).alias("confidence"))
-
-
-@query("search_substring", sql("formulas") + "select document_id, formula_id, 0.55 as confidence from formulas where contains(latex, 'rho')")
-def _(s, d):
-    return current(s, d, "formulas", "latex").where(F.contains("latex", F.lit("rho"))).select("document_id", "formula_id", F.lit(0.55).alias("confidence"))
-
-
-@query("search_corpus_variable", _FSQ + "select document_id, count(*) as n_formulas, count(distinct section_id) as n_sections, min(ord) as first_ord from fs where symbol = '\\sigma' group by 1")
-def _(s, d):
-    hit = fs(s, d).where(F.col("symbol") == "\\sigma")
-    return hit.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_formulas"), F.countDistinct("section_id").alias("n_sections"), F.min("ord").alias("first_ord"))
-
-
 @query("search_definition_conflicts", _DEF + "select document_id, symbol, count(distinct lower(definition)) as meanings from defs group by 1, 2 having count(distinct lower(definition)) > 1")
 def _(s, d):
     return definitions(s, d).groupBy("document_id", "symbol").agg(F.countDistinct(F.lower("definition")).alias("meanings")).where("meanings > 1")
 
 
-@query("search_suggestions", _FSQ + "select symbol, round(case when contains(symbol, 'lam') then 10 else 0 end + case when symbol[1] = 'l' then 2 else 0 end - 0.1 * abs(length(symbol) - 3), 4) as score from (select distinct symbol from fs) order by 2 desc, 1 limit 12")
-def _(s, d):
-    score = F.when(F.contains("symbol", F.lit("lam")), 10.0).otherwise(0.0) + F.when(F.substring("symbol", 1, 1) == "l", 2.0).otherwise(0.0) - 0.1 * F.abs(F.length("symbol") - 3)
-    return fs(s, d).select("symbol").distinct().select("symbol", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "symbol").limit(12)
-
-
-@query("search_formula_aliases", sql("formulas") + "select distinct document_id, formula_id, unnest([formula_id, token, regexp_replace(token, '[^0-9A-Z_]', '', 'g'), cast(ord as varchar)]) as alias from formulas where token is not null and ord is not null")
-def _(s, d):
-    a = F.array("formula_id", "token", F.regexp_replace("token", "[^0-9A-Z_]", ""), F.col("ord").cast("string"))
-    return current(s, d, "formulas", "token", "ord").where("token is not null and ord is not null").select("document_id", "formula_id", F.explode(a).alias("alias")).distinct()
-
-
 # ---- semantic metagraph -------------------------------------------------------------------------------------------
 
 
@@ -311,18 +290,30 @@ def _(s, d):
     return graph.consecutive(current(s, d, "formulas", "section_id", "ord").where("section_id is not null"), ["document_id", "section_id"], ["ord", "formula_id"], "formula_id").withColumn("weight", F.lit(0.5))
 
 
-@query("sem_definition_usage", sql("formulas", "contexts") + _FS + """, d as (select distinct document_id, formula_id, symbol from (""" + " union all ".join(f"select document_id, formula_id, unnest(regexp_extract_all(current_sentence, '{p}', 1)) as symbol from contexts" for _, p, _ in _RULES) + """)),
-o as (select d.document_id, d.symbol, fs.ord, d.formula_id from d join fs on fs.document_id = d.document_id and fs.formula_id = d.formula_id and fs.symbol = d.symbol)
-select u.document_id, u.symbol, u.formula_id as target_id, max(o.ord) as defined_at from fs u join o on o.document_id = u.document_id and o.symbol = u.symbol and o.ord < u.ord group by 1, 2, 3""")
+@query("sem_definition_usage", sql("formulas", "contexts") + DEFS + _FS + """, o as (select distinct d.document_id, d.symbol, f.ord, f.formula_id from defs d join formulas f on f.document_id = d.document_id and f.formula_id = d.formula_id)
+select u.document_id, u.symbol, u.formula_id as target_id, count(*) as n_defining, max(o.ord) as last_defined_at from fs u join o on o.document_id = u.document_id and o.symbol = u.symbol and o.ord < u.ord group by 1, 2, 3""")
 def _(s, d):
-    """Each later use of a symbol with the latest definition before it: a running maximum instead of all pairs."""
-    defined = definitions(s, d).select("document_id", "formula_id", "symbol").distinct().withColumn("defines", F.lit(True))
-    u = fs(s, d).join(defined, ["document_id", "formula_id", "symbol"], "left")
-    w = Window.partitionBy("document_id", "symbol").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
-    at = F.max(F.when(F.col("defines"), F.col("ord"))).over(w)
-    return u.select("document_id", "symbol", F.col("formula_id").alias("target_id"), at.alias("defined_at")).where("defined_at is not null")
+    """Usages of defined symbols: a formula has an edge from each of the first ``n_defining`` units that define its symbol (sem_definition_members)."""
+    key = ["document_id", "symbol"]
+    o = defining_units(s, d).select(*key, "ord", F.lit(None).cast("string").alias("target_id"), F.lit(1).alias("defines"))
+    u = fs(s, d).select(*key, "ord", F.col("formula_id").alias("target_id"), F.lit(0).alias("defines"))
+    before = Window.partitionBy(*key).orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)
+    x = o.unionByName(u).where("ord is not null")
+    x = x.select(*key, "target_id", F.sum("defines").over(before).alias("n_defining"), F.max(F.when(F.col("defines") == 1, F.col("ord"))).over(before).alias("last_defined_at"))
+    return x.where("target_id is not null and n_defining > 0")
+
+
+def defining_units(s: SparkSession, d: str) -> DataFrame:
+    """(document_id, symbol, ord, formula_id): units whose context defines a symbol."""
+    return definitions(s, d).select("document_id", "symbol", "formula_id").distinct().join(current(s, d, "formulas", "ord"), ["document_id", "formula_id"]).select("document_id", "symbol", "ord", "formula_id")
 
 
+@query("sem_definition_members", sql("formulas", "contexts") + DEFS + """, o as (select distinct d.document_id, d.symbol, f.ord, f.formula_id from defs d join formulas f on f.document_id = d.document_id and f.formula_id = d.formula_id)
+select document_id, symbol, formula_id, row_number() over (partition by document_id, symbol order by ord nulls first, formula_id) as place from o""")
+def _(s, d):
+    w = Window.partitionBy("document_id", "symbol").orderBy("ord", "formula_id")
+    return defining_units(s, d).select("document_id", "symbol", "formula_id", F.row_number().over(w).alias("place"))
+
 @query("sem_variable_clusters", _FSQ + "select document_id, symbol, count(distinct formula_id) as n_units, min(formula_id) as first_unit from fs group by 1, 2 having count(distinct formula_id) >= 2")
 def _(s, d):
     return fs(s, d).groupBy("document_id", "symbol").agg(F.countDistinct("formula_id").alias("n_units"), F.min("formula_id").alias("first_unit")).where("n_units >= 2")
@@ -612,17 +603,6 @@ def _(s, d):
     return e.join(k.withColumnRenamed("node_id", "source_id"), ["document_id", "source_id"], "left_semi").join(k.withColumnRenamed("node_id", "target_id"), ["document_id", "target_id"], "left_semi").select("document_id", "edge_id")
 
 
-@query("proj_neighbourhood", sql("edges") + """, s as (select document_id, node_id from mg_nodes where node_label = 'λ' group by 1, 2), h1 as (select distinct e.document_id, e.source_id as id from edges e join s on s.document_id = e.document_id and s.node_id = e.target_id union select distinct e.document_id, e.target_id from edges e join s on s.document_id = e.document_id and s.node_id = e.source_id)
-select document_id, id from h1 where id is not null""")
-def _(s, d):
-    """One step from the nodes of a variable, both ways."""
-    seed = table(s, d, "mg_nodes", "document_id", "node_id", "node_label").where("node_label = 'λ'").select("document_id", "node_id").distinct()
-    e = current(s, d, "edges", "source_id", "target_id")
-    a = e.join(seed.withColumnRenamed("node_id", "target_id"), ["document_id", "target_id"]).select("document_id", F.col("source_id").alias("id"))
-    b = e.join(seed.withColumnRenamed("node_id", "source_id"), ["document_id", "source_id"]).select("document_id", F.col("target_id").alias("id"))
-    return a.union(b).where("id is not null").distinct()
-
-
 @query("proj_hidden_counts", sql("formulas") + "select document_id, greatest(0, count(*) - 80) as hidden from formulas group by 1")
 def _(s, d):
     return current(s, d, "formulas", "ord").groupBy("document_id").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - 80).alias("hidden"))

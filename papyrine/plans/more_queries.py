@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions import latex, text
+from papyrine.functions import latex, notation, text
 from papyrine.plans.base import current, sql
 from papyrine.plans.graph_queries import _DEF, _FSQ, definitions, fs
+from papyrine.plans.text_queries import _GREEK
 from papyrine.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -56,19 +57,10 @@ def _(s, d):
     return x.select("document_id", "block_id", F.col("pos").cast("long").alias("pos"), F.col("l.text").alias("line")).where("coalesce(trim(line), '') <> ''").distinct()
 
 
-@query("text_quality_score", r"""select doc_id, list_sum([case when length(text) < 80 then 1 else 0 end, case when length(text) - length(replace(text, chr(65533), '')) > 0 then 1 else 0 end, case when length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 0.35 * length(text) then 1 else 0 end]) as warnings from documents where text is not null""")
+@query("order_block_types", sql("layers") + r"""select document_id, block_id, case when role in ('section', 'subsection', 'subsubsection', 'chapter', 'part') then 'heading' when role in ('title', 'author', 'abstract', 'heading', 'paragraph', 'caption', 'list_item', 'footer') then role
+when length(x) < 120 and upper(x) = x and lower(x) <> x then 'heading' when x <> '' then 'paragraph' else 'unknown' end as type from (select document_id, block_id, lower(coalesce(block_role, '')) as role, trim(coalesce(text, '')) as x from layers)""")
 def _(s, d):
-    flag = lambda c: F.when(c, 1).otherwise(0)
-    bad = F.length("text") - F.length(F.translate("text", "\ufffd", ""))
-    w = flag(F.length("text") < 80) + flag(bad > 0) + flag(F.regexp_count("text", F.lit(text.LETTER)) < 0.35 * F.length("text"))
-    return table(s, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", w.cast("long").alias("warnings"))
-
-
-@query("order_block_types", sql("layers") + r"""select document_id, block_id, case when block_role in ('heading', 'title', 'caption', 'abstract', 'footer') then block_role when length(text) < 120 and upper(text) = text and regexp_matches(text, '\p{L}') then 'heading' else 'paragraph' end as type from layers where text is not null""")
-def _(s, d):
-    role = F.col("block_role").isin("heading", "title", "caption", "abstract", "footer")
-    shout = (F.length("text") < 120) & (F.upper("text") == F.col("text")) & F.col("text").rlike(r"\p{L}")
-    return current(s, d, "layers", "block_role", "text").where("text is not null").select("document_id", "block_id", F.when(role, F.col("block_role")).when(shout, "heading").otherwise("paragraph").alias("type"))
+    return current(s, d, "layers", "block_role", "text").select("document_id", "block_id", text.block_type(F.col("block_role"), F.col("text")).alias("type"))
 
 
 # ---- LaTeX --------------------------------------------------------------------------------------------------------
@@ -76,18 +68,19 @@ def _(s, d):
 _F = sql("formulas")
 
 
-@query("latex_greek_to_commands", _F + "select document_id, formula_id, " + reduce(lambda a, kv: f"replace({a}, '{kv[0]}', '{kv[1]}')", list(latex.GREEK.items())[:8], "array_to_string(symbols, ' ')") + " as commands from formulas where symbols is not null")
+@query("latex_greek_to_commands", _F + "select document_id, formula_id, " + reduce(lambda a, kv: f"replace({a}, '{kv[0]}', '{kv[1]}')", {**notation.GREEK, **notation.SIGNS}.items(), "array_to_string(symbols, ' ')") + " as commands from formulas where symbols is not null")
 def _(s, d):
-    c = F.array_join("symbols", " ")
-    for a, b in list(latex.GREEK.items())[:8]:
-        c = F.replace(c, F.lit(a), F.lit(b))
+    """Greek letters and signs of the symbols as commands, by the whole tables."""
+    c = reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), {**notation.GREEK, **notation.SIGNS}.items(), F.array_join("symbols", " "))
     return current(s, d, "formulas", "symbols").where("symbols is not null").select("document_id", "formula_id", c.alias("commands"))
 
 
-@query("latex_score", _F + r"select document_id, formula_id, 2 * len(regexp_extract_all(latex, '\\[A-Za-z]+')) + len(regexp_extract_all(latex, '[=<>]')) + len(regexp_extract_all(latex, '[_^]')) as score from formulas where latex is not null")
+_N = lambda *x: " + ".join(f"len(regexp_extract_all(latex, '{y}'))" for y in x)
+
+
+@query("latex_score", _F + f"""select document_id, formula_id, 4 * ({_N(r"\\frac", r"\\lim", r"\\sum", r"\\int", r"\\sqrt")}) + 3 * ({_N(r"\\cdots")}) + 2 * ({_N("_", r"\^", r"\\to", r"\\infty", r"\\circ", r"\\cdot", r"\\cup", r"\\cap")}) + {_N("=")} - 3 * ({_N(r"\\therefore")}) - 4 * ({_N(r"_\{[^{}]+\}\s*-\s*[0-9]")}) - ({_N("[A-Za-z]{8,}")}) as score from formulas where latex is not null""")
 def _(s, d):
-    n = lambda p: F.regexp_count("latex", F.lit(p))
-    return current(s, d, "formulas", "latex").where("latex is not null").select("document_id", "formula_id", (2 * n(r"\\[A-Za-z]+") + n("[=<>]") + n("[_^]")).cast("long").alias("score"))
+    return current(s, d, "formulas", "latex").where("latex is not null").select("document_id", "formula_id", latex.structure_score(F.col("latex")).alias("score"))
 
 
 @query("latex_usable", _F + r"select document_id, formula_id, case when regexp_matches(latex, '\\(frac|sum|int|sqrt)') or length(latex) > 40 then 'block' else 'inline' end as shape, case when regexp_matches(latex, '[=<>]|\\(le|ge)') then confidence else least(confidence, 0.45) end as confidence from formulas where coalesce(trim(latex), '') <> ''")
@@ -110,14 +103,14 @@ def _(s, d):
 
 
 @query("latex_interpretation", sql("formulas", "contexts") + """select f.document_id, f.formula_id, cast(least(95, 55 + case when coalesce(trim(f.latex), '') <> '' then 15 else 0 end + case when coalesce(c.current_sentence, '') <> '' then 10 else 0 end + case when contains(lower(coalesce(c.current_sentence, '')), 'denotes') then 15 else 0 end) as int) as confidence,
-substr(coalesce(c.current_sentence, ''), 1, 300) as hint from formulas f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id""")
+substr(trim(regexp_replace(coalesce(c.current_sentence, ''), '\\s+', ' ', 'g')), 1, 300) as hint from formulas f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id""")
 def _(s, d):
-    """Confidence of an interpretation in per cent, and the context it rests on."""
+    """Confidence of an interpretation in per cent, and a hint at the context it rests on: by definition its first 300 characters."""
     j = current(s, d, "formulas", "latex").join(current(s, d, "contexts", "current_sentence"), ["document_id", "formula_id"], "left")
     near = F.coalesce("current_sentence", F.lit(""))
     plus = lambda c, n: F.when(c, n).otherwise(0)
     score = 55 + plus(F.coalesce(F.trim("latex"), F.lit("")) != "", 15) + plus(near != "", 10) + plus(F.contains(F.lower(near), F.lit("denotes")), 15)
-    return j.select("document_id", "formula_id", F.least(F.lit(95), score).cast("int").alias("confidence"), F.substring(near, 1, 300).alias("hint"))
+    return j.select("document_id", "formula_id", F.least(F.lit(95), score).cast("int").alias("confidence"), F.substring(F.trim(F.regexp_replace(near, r"\s+", " ")), 1, 300).alias("hint"))
 
 
 @query("symbol_single_letters", _F + r"select distinct document_id, formula_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(latex, '\\[A-Za-z]+', ' ', 'g'), '[A-Za-z]_[0-9]+', ' ', 'g'), '[A-Za-z]')) as symbol from formulas")
@@ -126,19 +119,44 @@ def _(s, d):
     return current(s, d, "formulas", "latex").select("document_id", "formula_id", F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit("([A-Za-z])"), 1))).alias("symbol"))
 
 
-@query("symbol_variables_only", _F + r"select distinct document_id, formula_id, c as symbol from (select document_id, formula_id, unnest(regexp_extract_all(latex, '\\[A-Za-z]+')) as c from formulas) where c not in ('\frac', '\sqrt', '\sum', '\int', '\le', '\ge', '\cdot', '\times')")
+_NO_VARIABLE = "['" + "', '".join(notation.OPERATOR_COMMANDS + notation.IGNORED_COMMANDS) + "']"
+_NO_WORD = "['" + "', '".join([*notation.IGNORED_WORDS, *[x.lower() for x in notation.OPERATOR_COMMANDS]]) + "']"
+
+
+@query("symbol_variables_only", _F + f"""select distinct document_id, formula_id, symbol from (select document_id, formula_id, {_GREEK} as symbol from (select document_id, formula_id, unnest(list_concat(coalesce(symbols, []), regexp_extract_all(coalesce(latex, ''), '\\\\[A-Za-z]+'))) as x from formulas))
+where symbol is not null and not (symbol[1] = '\\' and list_contains({_NO_VARIABLE}, ltrim(symbol, '\\'))) and symbol not in ('=', '+', '-', '*', '/', '^', '<', '>') and not list_contains({_NO_WORD}, lower(ltrim(symbol, '\\')))""")
 def _(s, d):
-    x = current(s, d, "formulas", "latex").select("document_id", "formula_id", F.explode(F.array_distinct(F.regexp_extract_all("latex", F.lit(r"(\\[A-Za-z]+)"), 1))).alias("symbol"))
-    return x.where(~F.col("symbol").isin("\\frac", "\\sqrt", "\\sum", "\\int", "\\le", "\\ge", "\\cdot", "\\times"))
+    """Symbols and commands of each formula that can be variables."""
+    every = F.concat(F.coalesce("symbols", F.array().cast("array<string>")), F.coalesce(F.regexp_extract_all("latex", F.lit(r"(\\[A-Za-z]+)"), 1), F.array().cast("array<string>")))
+    x = current(s, d, "formulas", "symbols", "latex").select("document_id", "formula_id", F.explode(F.filter(F.array_compact(F.transform(every, latex.symbol)), latex.is_variable)).alias("symbol"))
+    return x.distinct()
+
+
+_BY_SYMBOL = {}
+for _k, _v in notation.ALIASES.items():
+    _BY_SYMBOL.setdefault(_v, []).append(_k)
+
+
+def aliases(symbol: Column) -> Column:
+    """Spellings of a normalised symbol in running text: itself, without backslash, and its letter and name."""
+    table = F.create_map(*[y for k, v in _BY_SYMBOL.items() for y in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(symbol, F.ltrim(F.regexp_replace(symbol, r"^\\+", ""))), F.coalesce(F.try_element_at(table, symbol), none)))
 
 
-@query("symbol_in_context", sql("formulas", "contexts") + "select distinct f.document_id, f.formula_id, f.x as symbol from (select document_id, formula_id, unnest(symbols) as x from formulas) f join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id where f.x is not null and contains(' ' || c.current_sentence || ' ', ' ' || f.x || ' ')")
+def mentioned(text_: Column, spelling: Column) -> Column:
+    """Whether a text mentions a spelling: a command anywhere, anything else as a word of its own."""
+    literal = F.regexp_replace(spelling, r"([^A-Za-z0-9_\s])", r"\\$1")
+    return F.when(F.startswith(spelling, F.lit("\\")), F.contains(text_, spelling)).otherwise(F.regexp_like(text_, F.concat(F.lit(r"(?<![A-Za-z0-9_\\])"), literal, F.lit(r"(?![A-Za-z0-9_])"))))
+
+
+@query("symbol_in_context")
 def _(s, d):
-    """Symbols of a formula that its sentence names as a word."""
-    f = current(s, d, "formulas", "symbols").select("document_id", "formula_id", F.explode("symbols").alias("symbol")).where("symbol is not null")
-    c = current(s, d, "contexts", "current_sentence")
-    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    return f.join(c, ["document_id", "formula_id"]).where(F.contains(pad(F.col("current_sentence")), pad(F.col("symbol")))).select("document_id", "formula_id", "symbol").distinct()
+    """Symbols of a formula that its sentence mentions, by any of their spellings."""
+    f = current(s, d, "formulas", "symbols").select("document_id", "formula_id", F.explode("symbols").alias("x")).select("document_id", "formula_id", latex.symbol(F.col("x")).alias("symbol")).where("symbol is not null").distinct()
+    c = current(s, d, "contexts", "current_sentence").where("current_sentence is not null")
+    said = f.join(c, ["document_id", "formula_id"]).select("document_id", "formula_id", "symbol", "current_sentence", F.explode(aliases(F.col("symbol"))).alias("spelling"))
+    return said.where(mentioned(F.col("current_sentence"), F.col("spelling"))).select("document_id", "formula_id", "symbol").distinct()
 
 
 # ---- layout and tiers ---------------------------------------------------------------------------------------------
@@ -304,32 +322,12 @@ def _(s, d):
 # ---- lookups, selections, updates ---------------------------------------------------------------------------------
 
 
-@query("search_formula_by_id", _F + "select document_id, formula_id, latex, confidence from formulas where formula_id = 'formula_0003'")
-def _(s, d):
-    return current(s, d, "formulas", "latex", "confidence").where("formula_id = 'formula_0003'")
-
-
-@query("search_text", sql("blocks") + "select document_id, block_id from blocks where contains(lower(text), 'entropy')")
-def _(s, d):
-    return current(s, d, "blocks", "text").where(F.contains(F.lower("text"), F.lit("entropy"))).select("document_id", "block_id")
-
-
 @query("search_best_variable", _FSQ + "select document_id, arg_max(symbol, {'n': n, 's': symbol}) as symbol, max(n) as n from (select document_id, symbol, count(*) as n from fs group by 1, 2) group by 1")
 def _(s, d):
     v = fs(s, d).groupBy("document_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
     return v.groupBy("document_id").agg(F.max_by("symbol", F.struct("n", "symbol")).alias("symbol"), F.max("n").alias("n"))
 
 
-@query("proj_two_hops", sql("edges") + """, e as (select distinct document_id, source_id as a, target_id as b from edges where source_id is not null and target_id is not null and edge_type = 'has_symbol'), u as (select document_id, a, b from e union select document_id, b, a from e)
-select distinct x.document_id, y.b as id from u x join u y on y.document_id = x.document_id and y.a = x.b where x.a = 'var_0001'""")
-def _(s, d):
-    """Two steps from a variable over symbol edges."""
-    e = current(s, d, "edges", "source_id", "target_id", "edge_type").where("source_id is not null and target_id is not null and edge_type = 'has_symbol'")
-    u = union(e.select("document_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")), e.select("document_id", F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct()
-    first = u.where("a = 'var_0001'").select("document_id", F.col("b").alias("a"))
-    return first.join(u, ["document_id", "a"]).select("document_id", F.col("b").alias("id")).distinct()
-
-
 @query("proj_type_selection", sql("nodes") + "select document_id, node_id, r from (select document_id, node_id, row_number() over (partition by document_id, node_type order by node_id) as r from nodes where node_type in ('formula', 'symbol', 'definition')) where r <= 40")
 def _(s, d):
     w = Window.partitionBy("document_id", "node_type").orderBy("node_id")

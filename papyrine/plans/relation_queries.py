@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.functions import latex
 from papyrine.operators import graph
 from papyrine.plans.base import current, sql
+from papyrine.plans.definitions import DEFS, definitions
 from papyrine.plans.graph_queries import _FS, _FSQ, fs
-from papyrine.plans.text_queries import _GREEK
 
 QUERIES, SQL = {}, {}
 
@@ -28,72 +25,19 @@ def query(name: str, oracle: str | None = None):
 
 @query("rel_symbol_classes", _FSQ + """select document_id, symbol, formula_id, row_number() over (partition by document_id, symbol order by ord nulls first, formula_id) as place, row_number() over (partition by document_id, symbol order by ord nulls first, formula_id) - 1 as earlier, count(*) over (partition by document_id, symbol) as n from fs""")
 def _(s, d):
-    """All links of rel_same_symbols without its cap of twelve formulas a symbol: formula `place` of a class of n links to the `earlier` ones before it."""
+    """All links by a common symbol, also those beyond the budget of rel_same_symbols: formula `place` of a class of n links to the `earlier` ones before it."""
     return graph.member_classes(fs(s, d), ["document_id", "symbol"], "formula_id", "ord")
 
 
-_SYMBOL = r"(\\?[A-Za-z](?:_\{?[A-Za-z0-9]+\}?)?|[A-Z]_[A-Za-z0-9]+|[Α-Ωα-ω])"
-_TAIL = r"([^.;\n]{2,180})"
-#: The 14 rules of the survey (L3): name, pattern, confidence.
-RULES = [
-    ("ru_where_dash", rf"где\s+{_SYMBOL}\s*[-–—:]\s*{_TAIL}", 0.78),
-    ("ru_where_is", rf"где\s+{_SYMBOL}\s+(?:является|есть)\s+{_TAIL}", 0.78),
-    ("ru_denotes", rf"{_SYMBOL}\s+(?:обозначает|обозначают)\s+{_TAIL}", 0.76),
-    ("ru_named", rf"{_SYMBOL}\s+(?:называется|называют)\s+{_TAIL}", 0.7),
-    ("ru_defined_as", rf"{_SYMBOL}\s+(?:определяется\s+как|задается\s+как|задаётся\s+как)\s+{_TAIL}", 0.8),
-    ("ru_let", rf"пусть\s+{_SYMBOL}\s+{_TAIL}", 0.64),
-    ("ru_denote_by", rf"через\s+{_SYMBOL}\s+(?:обозначим|обозначается)\s+{_TAIL}", 0.76),
-    ("ru_is", rf"{_SYMBOL}\s*[-–—]\s*это\s+{_TAIL}", 0.74),
-    ("en_where_is", rf"where\s+{_SYMBOL}\s+(?:is|are)\s+{_TAIL}", 0.78),
-    ("en_denotes", rf"{_SYMBOL}\s+(?:denotes|denote)\s+{_TAIL}", 0.76),
-    ("en_defined_as", rf"{_SYMBOL}\s+(?:is|are)\s+defined\s+as\s+{_TAIL}", 0.82),
-    ("en_let_be", rf"let\s+{_SYMBOL}\s+be\s+{_TAIL}", 0.72),
-    ("en_represents", rf"{_SYMBOL}\s+(?:represents|represent)\s+{_TAIL}", 0.74),
-    ("en_denote_by", rf"we\s+denote\s+by\s+{_SYMBOL}\s+{_TAIL}", 0.76),
-]
-_BLANK = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
-_HEAD = "^(?:is|are|является|есть) +"
-_DEFS = sql("contexts") + f""", said as (select document_id, formula_id, trim(regexp_replace(current_sentence, '{_BLANK}', ' ', 'g')) as said from contexts where current_sentence is not null), found as (
-""" + "\nunion all ".join(f"select document_id, formula_id, '{n}' as rule, {c} as confidence, generate_subscripts(regexp_extract_all(said, '(?i){p}', 1), 1) as place, unnest(regexp_extract_all(said, '(?i){p}', 1)) as symbol, unnest(regexp_extract_all(said, '(?i){p}', 2)) as definition from said" for n, p, c in RULES) + f"""),
-cleaned as (select document_id, formula_id, rule, confidence, place, regexp_replace(symbol, '[{{}}]', '', 'g') as symbol, trim(regexp_replace(trim(definition), '(?i){_HEAD}', ''), ' ,:-–—') as definition from found),
-defined as (select document_id, formula_id, rule, cast(confidence as double) as confidence, symbol, arg_min(definition, place) as definition from cleaned where definition <> '' group by 1, 2, 3, 4, 5, lower(definition))
-"""
-
-
-def rule_definitions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, rule, confidence, symbol, definition) by all rules; of definitions equal but for case, the first of the text."""
-    said = df.where(F.col(text).isNotNull()).select(*keys, F.trim(F.regexp_replace(text, _BLANK, " ")).alias("said"))
-    part = lambda p, k: F.regexp_extract_all("said", F.lit(f"(?iu){p}"), k)
-    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(c).alias("confidence"), F.arrays_zip(part(p, F.lit(1)).alias("symbol"), part(p, F.lit(2)).alias("definition")).alias("m")) for n, p, c in RULES])
-    flat = said.select(*keys, F.explode(rules).alias("r")).select(*keys, "r.rule", "r.confidence", F.posexplode("r.m").alias("at", "m"))
-    cleaned = flat.select(*keys, "rule", "confidence", "at", F.regexp_replace("m.symbol", "[{}]", "").alias("symbol"), F.btrim(F.regexp_replace(F.trim("m.definition"), f"(?iu){_HEAD}", ""), F.lit(" ,:-–—")).alias("definition"))
-    return cleaned.where("definition <> ''").groupBy(*keys, "rule", "confidence", "symbol", F.lower("definition")).agg(F.min_by("definition", "at").alias("definition")).select(*keys, "rule", "confidence", "symbol", "definition")
-
-
-def context_definitions(s: SparkSession, d: str) -> DataFrame:
-    return rule_definitions(current(s, d, "contexts", "current_sentence"), ["document_id", "formula_id"], "current_sentence")
-
-
-@query("def_rules", _DEFS + "select document_id, formula_id, rule, confidence, symbol, definition from defined")
-def _(s, d):
-    """Definitions by all 14 rules of the survey; def_evidence and what follows from it know five patterns, as their SQL does."""
-    return context_definitions(s, d)
-
-
-@query("def_rules_first_per_symbol", _DEFS + "select document_id, symbol, arg_min(definition, {'f': formula_id, 'r': rule, 'd': definition}) as definition from defined group by 1, 2")
-def _(s, d):
-    return context_definitions(s, d).groupBy("document_id", "symbol").agg(F.min_by("definition", F.struct("formula_id", "rule", "definition")).alias("definition"))
-
-
-_WHERE_DEFINED = f"defining as (select distinct document_id, formula_id, {_GREEK} as symbol from (select document_id, formula_id, symbol as x from defined))\n"
+_WHERE_DEFINED = ", defining as (select distinct document_id, formula_id, symbol from defs)\n"
 
 
 def defining(s: SparkSession, d: str) -> DataFrame:
     """Formulas and the symbols that their context defines, spelled like the symbols of formulas."""
-    return context_definitions(s, d).select("document_id", "formula_id", latex.symbol(F.col("symbol")).alias("symbol")).distinct()
+    return definitions(s, d).select("document_id", "formula_id", "symbol").distinct()
 
 
-@query("sem_shared_variable", sql("formulas").rstrip("\n") + ",\n" + _DEFS.removeprefix("with recursive ") + _FS + f", {_WHERE_DEFINED}" + """select fs.document_id, fs.symbol, fs.formula_id, row_number() over w as place, count(*) over (partition by fs.document_id, fs.symbol) - row_number() over w as later, g.symbol is not null as defines
+@query("sem_shared_variable", sql("formulas", "contexts") + DEFS + _FS + _WHERE_DEFINED + """select fs.document_id, fs.symbol, fs.formula_id, row_number() over w as place, count(*) over (partition by fs.document_id, fs.symbol) - row_number() over w as later, g.symbol is not null as defines
 from fs left join defining g on g.document_id = fs.document_id and g.formula_id = fs.formula_id and g.symbol = fs.symbol window w as (partition by fs.document_id, fs.symbol order by fs.ord nulls first, fs.formula_id)""")
 def _(s, d):
     """O6c and O6d as class and count: each formula has an edge to the `later` ones with the symbol, a possible dependency where it defines the symbol."""
@@ -105,12 +49,12 @@ def _(s, d):
 _NAMED = r"\(([0-9]{1,4}[a-zA-Z]?)\)"
 
 
-@query("rel_of_contexts", sql("formulas").rstrip("\n") + ",\n" + _DEFS.removeprefix("with recursive ") + _FS + f", {_WHERE_DEFINED}" + f"""select 'variable_defined_in_context' as relation, fs.document_id, fs.symbol as source_id, 'ctx:' || fs.formula_id as target_id, cast(case when g.symbol is null then 0.55 else 0.72 end as double) as confidence
+@query("rel_of_contexts", sql("formulas", "contexts") + DEFS + _FS + _WHERE_DEFINED + f"""select 'variable_defined_in_context' as relation, fs.document_id, fs.symbol as source_id, 'ctx:' || fs.formula_id as target_id, cast(case when g.symbol is null then 0.55 else 0.72 end as double) as confidence
 from fs join contexts c on c.document_id = fs.document_id and c.formula_id = fs.formula_id left join defining g on g.document_id = fs.document_id and g.formula_id = fs.formula_id and g.symbol = fs.symbol
 union all select distinct 'formula_references_formula', c.document_id, c.formula_id, f.formula_id, cast(0.62 as double) from (select document_id, formula_id, unnest(regexp_extract_all(concat_ws(' ', previous_sentence, current_sentence, next_sentence), '{_NAMED}', 1)) as ref from contexts) c
 join formulas own on own.document_id = c.document_id and own.formula_id = c.formula_id join formulas f on f.document_id = c.document_id and cast(f.ord as varchar) = c.ref and f.formula_id <> c.formula_id""")
 def _(s, d):
-    """The relations of L9 that rel_all has not: variables to the contexts of their formulas, formulas to those whose number their context names."""
+    """Relations of contexts: variables to the contexts of their formulas, formulas to those whose number their context names."""
     c, f = current(s, d, "contexts", "previous_sentence", "current_sentence", "next_sentence"), current(s, d, "formulas", "ord")
     key = ["document_id", "formula_id"]
     of = fs(s, d).join(c.select(*key), key).join(defining(s, d).withColumn("g", F.lit(True)), [*key, "symbol"], "left")
@@ -119,13 +63,3 @@ def _(s, d):
     refs = c.join(f.select(*key), key, "left_semi").select("document_id", F.col("formula_id").alias("source_id"), named)
     b = refs.join(f.select("document_id", F.col("formula_id").alias("target_id"), F.col("ord").cast("string").alias("ref")), ["document_id", "ref"]).where("source_id <> target_id").distinct()
     return a.unionByName(b.select(F.lit("formula_references_formula").alias("relation"), "document_id", "source_id", "target_id", F.lit(0.62).alias("confidence")).distinct())
-
-
-def greek_commands(c: Column) -> Column:
-    return reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), latex.GREEK.items(), c)
-
-
-@query("latex_greek_all_to_commands", sql("formulas") + "select document_id, formula_id, " + reduce(lambda a, kv: f"replace({a}, '{kv[0]}', '{kv[1]}')", latex.GREEK.items(), "array_to_string(symbols, ' ')") + " as commands from formulas where symbols is not null")
-def _(s, d):
-    """The whole table of Greek letters; latex_greek_to_commands has the first eight of it, as its SQL does."""
-    return current(s, d, "formulas", "symbols").where("symbols is not null").select("document_id", "formula_id", greek_commands(F.array_join("symbols", " ")).alias("commands"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions import latex, text
+from papyrine.functions import latex, notation, text
 from papyrine.plans.base import current, sql
 from papyrine.sources.tables import table
 
@@ -60,16 +60,45 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.has_cyrillic(F.col("text")).alias("cyrillic"), text.many_cyrillic(F.col("text")).alias("many"))
 
 
-@query("text_looks_corrupted", f"select doc_id, length(text) - length(translate(text, chr(182) || chr(65533), '')) >= 3 or length(text) - length(translate(text, 'ÃÂâÏÎÐÑ', '')) >= 8 or ({_LET} > 100 and {_CYR} / {_LET} < 0.15 and length(text) - length(translate(text, 'ÃÂâÏÎÐÑ', '')) >= 3) as corrupted from documents")
+def _count(x: str, of: str) -> str:
+    return f"(length({x}) - length(replace({x}, '{of}', ''))) / {len(of)}"
+
+
+_BAD = "(" + " + ".join(_count("x", m) for m in text.CORRUPTED_MARKS) + ")"
+_CORRUPTED = f"""(x <> '' and (length(x) - length(translate(x, chr(182) || chr(65533), '')) >= 3 or {_BAD} >= 8 or (length(regexp_replace(x, '[^А-яёЁA-z]', '', 'g')) > 100
+and length(regexp_replace(x, '[^А-яёЁ]', '', 'g')) < 0.15 * length(regexp_replace(x, '[^А-яёЁA-z]', '', 'g')) and {_BAD} >= 3)))"""
+
+
+@query("text_looks_corrupted", f"select doc_id, coalesce({_CORRUPTED}, false) as corrupted from (select doc_id, text as x from documents)")
 def _(s, d):
     return _docs(s, d).select("doc_id", text.corrupted(F.col("text")).alias("corrupted"))
 
 
-@query("text_layer_quality", f"select doc_id, case when coalesce(length(trim(text)), 0) = 0 then 'missing' when length(text) < 300 or length(text) - length(replace(text, chr(65533), '')) > 10 or {_LET} / length(text) < 0.35 then 'poor' else 'good' end as quality from documents")
+@query("order_corrupted_documents", sql("blocks") + f", j as (select document_id, string_agg(text, chr(10) order by ord nulls first, block_id) as x from (select *, row_number() over (partition by document_id order by ord nulls first, block_id) as r from blocks) where r <= 80 group by 1) select document_id, coalesce({_CORRUPTED}, false) as corrupted from j")
+def _(s, d):
+    """Whether the first 80 blocks of a document are unreadable."""
+    w = Window.partitionBy("document_id").orderBy("ord", "block_id")
+    b = current(s, d, "blocks", "ord", "text").withColumn("r", F.row_number().over(w)).where("r <= 80")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda v: v["text"]), "\n")
+    return b.groupBy("document_id").agg(whole.alias("x")).select("document_id", text.corrupted(F.col("x")).alias("corrupted"))
+
+
+_BARE = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("text_layer_quality", f"select doc_id, case when x = '' then 'missing' when length(x) < 300 or length(x) - length(translate(x, chr(65533) || chr(9633), '')) > 10 or length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) / length(x) < 0.35 then 'poor' else 'good' end as quality from (select doc_id, {_BARE} as x from documents)")
 def _(s, d):
     return _docs(s, d).select("doc_id", text.layer_quality(F.col("text")).alias("quality"))
 
 
+@query("text_layer_assessment", f"""select doc_id, case when n = 0 then 'missing' when 1 - 0.18 * len(w) >= 0.7 and n >= 80 then 'good' else 'poor' end as quality, cast(case when n = 0 then 0 else round(greatest(0, 1 - 0.18 * len(w)), 2) end as double) as score, n as char_count, array_to_string(w, '|') as warnings,
+not (n > 0 and 1 - 0.18 * len(w) >= 0.7 and n >= 80) as allow_ocr_fallback from (select doc_id, n, list_filter([case when n = 0 then 'text_layer_missing' end, case when contains(x, chr(65533)) then 'replacement_symbols_present' end, case when regexp_matches(x, '[\x00-\x08\x0b\x0c\x0e-\x1f]') then 'control_symbols_present' end,
+case when n > 0 and length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) / greatest(1, n) < 0.2 then 'low_letter_ratio' end, case when (case when length(x) > 0 then length(regexp_replace(x, '[^\\s]', '', 'g')) / length(x) else 1.0 end) > 0.65 then 'excessive_whitespace' end], lambda v: v is not null) as w from (select doc_id, coalesce(text, '') as x, length({_BARE}) as n from documents))""")
+def _(s, d):
+    a = _docs(s, d).select("doc_id", text.layer_assessment(F.col("text")).alias("a")).select("doc_id", "a.*")
+    return a.select("doc_id", "quality", "score", F.col("char_count").cast("long").alias("char_count"), F.array_join("warnings", "|").alias("warnings"), "allow_ocr_fallback")
+
+
 @query("text_mentions_per_document")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.explode(text.mentions(F.col("text"))).alias("symbol"))
@@ -104,11 +133,11 @@ def _(s, d):
 
 
 @query("context_token_window", sql("blocks") + """, t as (select distinct document_id, block_id, text_with_tokens as x, unnest(regexp_extract_all(text_with_tokens, '\\[FORMULA_[0-9]+\\]')) as token from blocks),
-p as (select *, instr(x, token) as spot, greatest(1, instr(x, token) - 60) as b from t)
-select document_id, block_id, token, substr(x, b, length(token) + 60 + spot - b) as near from p""")
+p as (select *, instr(x, token) as spot, greatest(1, instr(x, token) - 260) as b from t)
+select document_id, block_id, token, substr(x, b, length(token) + 260 + spot - b) as near from p""")
 def _(s, d):
     rows = current(s, d, "blocks", "text_with_tokens").select("document_id", "block_id", "text_with_tokens", F.explode(text.tokens(F.col("text_with_tokens"))).alias("token"))
-    return rows.select("document_id", "block_id", "token", text.token_window(F.col("text_with_tokens"), F.col("token"), 60).alias("near"))
+    return rows.select("document_id", "block_id", "token", text.token_window(F.col("text_with_tokens"), F.col("token")).alias("near"))
 
 
 @query("context_sentence_of_token")
@@ -126,7 +155,10 @@ def _(s, d):
     return current(s, d, "sections", "title").select("document_id", "section_id", text.section_level(F.col("title")).alias("level_of_title"), F.lower(text.collapse(F.col("title"))).alias("norm_title"))
 
 
-@query("order_heading_blocks", sql("blocks") + "select document_id, block_id from blocks where length(text) <= 180 and (block_type = 'heading' or regexp_matches(text, '^[0-9]+(\\.[0-9]+)*\\.? +[^ ]'))")
+_TITLES = "(?i)^\\s*(?:\\d+(?:\\.\\d+)*\\.?\\s+)?(?:" + "|".join(notation.SECTION_TITLES) + ")(?:[^\\p{L}\\p{N}_]|$)"
+
+
+@query("order_heading_blocks", sql("blocks") + f"select document_id, block_id from (select *, trim(text) as x from blocks) where x <> '' and length(x) <= 180 and (coalesce(block_type = 'heading', false) or (coalesce(block_type, '') not in ('title', 'author', 'abstract') and (regexp_matches(x, '^[0-9]+(\\.[0-9]+)*\\.?\\s+[^\\s]') or regexp_matches(x, '{_TITLES}'))))")
 def _(s, d):
     return current(s, d, "blocks", "text", "block_type").where(text.is_heading(F.col("text"), F.col("block_type"))).select("document_id", "block_id")
 
@@ -164,7 +196,8 @@ def _formulas(s: SparkSession, d: str, *c: str) -> DataFrame:
 _F = sql("formulas")
 _STRIP = "latex"
 for _i in range(4):
-    _STRIP = f"trim(regexp_replace({_STRIP}, '^\\s*(?:\\$\\$|\\$|\\\\\\[|\\\\\\()\\s*([\\s\\S]*?)\\s*(?:\\$\\$|\\$|\\\\\\]|\\\\\\))\\s*$', '\\1'))"
+    for _a, _b in latex._WRAPPERS:
+        _STRIP = f"trim(regexp_replace({_STRIP}, '(?s)^{_a}\\s*(.*?)\\s*{_b}$', '\\1'))"
 
 
 @query("latex_strip_wrappers", _F + f"select document_id, formula_id, {_STRIP} as bare from formulas")
@@ -172,32 +205,82 @@ def _(s, d):
     return _formulas(s, d, "latex").select("document_id", "formula_id", latex.stripped(F.col("latex")).alias("bare"))
 
 
-@query("latex_brace_scripts", _F + "select document_id, formula_id, regexp_replace(regexp_replace(latex, '([_^])\\s*([A-Za-z0-9])', '\\1{\\2}', 'g'), '([_^])\\s*([A-Za-z0-9])', '\\1{\\2}', 'g') as braced from formulas")
+_BRACED = "latex"
+for _i in range(2):
+    _BRACED = f"regexp_replace({_BRACED}, '(^|[^\\\\])([A-Za-z0-9)\\]])([\\^_])([A-Za-z0-9])\\b', '\\1\\2\\3{{\\4}}', 'g')"
+
+
+@query("latex_brace_scripts", _F + f"select document_id, formula_id, {_BRACED} as braced from formulas")
 def _(s, d):
     return _formulas(s, d, "latex").select("document_id", "formula_id", latex.braced(F.col("latex")).alias("braced"))
 
 
-_OPS = "[" + ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in latex.OPERATORS.items()) + "]"
+def _any(x: str, values: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{v}')" for v in values) + ")"
+
+
+_LABELS = {}
+for _k, _v in notation.COMMAND_LABELS:
+    _LABELS.setdefault(_v, []).append(f"list_contains(c, '{_k}')")
+for _k, _v in notation.SIGN_LABELS:
+    _LABELS.setdefault(_v, []).append(f"contains(latex, '{_k}')")
+_OPS = "list_filter([" + ", ".join(f"case when {' or '.join(w)} then '{v}' end" for v, w in _LABELS.items()) + "], lambda x: x is not null)"
 
 
-@query("latex_operators", _F + f"select document_id, formula_id, array_to_string(list_transform(list_filter({_OPS}, lambda x: contains(latex, x.k)), lambda x: x.v), '|') as ops from formulas where latex is not null")
+@query("latex_operators", _F + f"select document_id, formula_id, array_to_string({_OPS}, '|') as ops from (select *, regexp_extract_all(latex, '\\\\[A-Za-z]+') as c from formulas where latex is not null)")
 def _(s, d):
     return _formulas(s, d, "latex").where("latex is not null").select("document_id", "formula_id", F.array_join(latex.operators(F.col("latex")), "|").alias("ops"))
 
 
-@query("latex_semantic_hints", _F + """select document_id, formula_id, contains(latex, '=') as equality, contains(latex, '\\le') or contains(latex, '\\ge') or contains(latex, '<') or contains(latex, '>') as inequality, contains(latex, '\\sum') as sum, contains(latex, '\\int') as integral, contains(latex, '\\frac') as fraction, contains(latex, '\\sqrt') as root from formulas where latex is not null""")
+_OPERATOR_LIST = "['" + "', '".join(notation.OPERATOR_COMMANDS) + "']"
+
+
+@query("symbol_operators", _F + f"select distinct document_id, formula_id, op from (select document_id, formula_id, unnest(list_concat(list_filter(regexp_extract_all(latex, '\\\\[A-Za-z]+'), lambda x: list_contains({_OPERATOR_LIST}, x[2:])), regexp_extract_all(latex, '[=+\\-*/^<>]'))) as op from formulas)")
 def _(s, d):
-    return _formulas(s, d, "latex").where("latex is not null").select("document_id", "formula_id", latex.hints(F.col("latex")).alias("h")).select("document_id", "formula_id", "h.*")
+    """The operators of each formula as they are written."""
+    return _formulas(s, d, "latex").select("document_id", "formula_id", F.explode(latex.operator_tokens(F.col("latex"))).alias("op"))
+
 
+_NEAR = "lower(coalesce(c.current_sentence, ''))"
 
-@query("latex_classify", sql("formulas", "contexts") + """select f.document_id, f.formula_id, case when regexp_matches(t, '\\\\(cup|cap|subset|in )|\\\\forall|\\\\exists') then 'set_or_logic' when regexp_matches(t, '\\\\(to|mapsto|rightarrow)') then 'mapping_or_implication'
-when regexp_matches(t, '\\\\(sum|int|prod|lim|partial)') then 'aggregation_or_calculus' when regexp_matches(t, '\\\\(le|ge)|<|>') then 'constraint_or_inequality' when contains(t, '=') then 'definition_or_equation' else 'mathematical_expression' end as class
-from (select f.document_id, f.formula_id, lower(concat_ws(' ', f.latex, c.current_sentence)) as t from formulas f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id) f""")
+
+@query("latex_semantic_hints", sql("formulas", "contexts") + f"""select f.document_id, f.formula_id, {_any(_NEAR, notation.DEFINITION_MARKERS)} as definition_like, {_any(_NEAR, notation.THEOREM_MARKERS)} as theorem_like, {_any("f.latex", notation.OPTIMUM_COMMANDS)} or {_any(_NEAR, notation.OPTIMUM_MARKERS)} as optimization_like,
+contains(f.latex, '=') as contains_equality, regexp_matches(f.latex, '<|>|\\\\leq?|\\\\geq?|\\\\lt|\\\\gt') as contains_inequality, contains(f.latex, '\\sum') as contains_sum, contains(f.latex, '\\int') as contains_integral, contains(f.latex, '\\frac') as contains_fraction, {_any("f.latex", notation.MATRIX_MARKERS)} as contains_matrix
+from (select document_id, formula_id, coalesce(latex, '') as latex from formulas) f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id""")
+def _(s, d):
+    j = _formulas(s, d, "latex").join(current(s, d, "contexts", "current_sentence"), ["document_id", "formula_id"], "left")
+    return j.select("document_id", "formula_id", latex.hints(F.col("latex"), F.col("current_sentence")).alias("h")).select("document_id", "formula_id", "h.*")
+
+
+_CLASS = "case " + " ".join(f"when {_any('bare' if held == ['='] else 't', held)} then '{name}'" for name, held in notation.CLASSES) + " else 'mathematical_expression' end"
+
+
+@query("latex_classify", sql("formulas", "contexts") + f"select document_id, formula_id, {_CLASS} as class from (select f.document_id, f.formula_id, coalesce(f.latex, '') as bare, lower(coalesce(f.latex, '') || ' ' || coalesce(c.current_sentence, '')) as t from formulas f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id)")
 def _(s, d):
     f, c = _formulas(s, d, "latex"), current(s, d, "contexts", "current_sentence")
     return f.join(c, ["document_id", "formula_id"], "left").select("document_id", "formula_id", latex.kind(F.col("latex"), F.col("current_sentence")).alias("class"))
 
 
+@query("latex_from_text")
+def _(s, d):
+    """LaTeX of what blocks print as text."""
+    return current(s, d, "blocks", "text").where("text is not null").select("document_id", "block_id", latex.from_text(F.col("text")).alias("latex"))
+
+
+@query("latex_sanity")
+def _(s, d):
+    x = _formulas(s, d, "latex").select("document_id", "formula_id", latex.sanity(F.col("latex")).alias("v")).select("document_id", "formula_id", "v.*")
+    return x.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+_MATH_WORDS = "['" + "', '".join(notation.MATH_WORDS) + "']"
+
+
+@query("latex_prose_words", _F + f"select document_id, formula_id, len(list_filter(regexp_extract_all(regexp_replace(latex, '\\\\[A-Za-z]+', ' ', 'g'), '[A-Za-z]{{4,}}'), lambda w: not list_contains({_MATH_WORDS}, lower(w)))) as words, len(regexp_extract_all(latex, '\\\\[A-Za-z]+|[=<>_^]|[0-9]|[\\x{{0370}}-\\x{{03ff}}]')) as signals from formulas where latex is not null")
+def _(s, d):
+    return _formulas(s, d, "latex").where("latex is not null").select("document_id", "formula_id", latex.prose_words(F.col("latex")).alias("words"), latex.math_signals(F.col("latex")).alias("signals"))
+
+
 @query("latex_flags", _F + """select document_id, formula_id, array_to_string(list_filter([case when coalesce(trim(latex), '') = '' then 'latex_missing' end,
 case when length(latex) - length(replace(latex, '{', '')) <> length(latex) - length(replace(latex, '}', '')) then 'unbalanced_braces' end, case when length(latex) - length(replace(latex, '(', '')) <> length(latex) - length(replace(latex, ')', '')) then 'unbalanced_delimiters' end,
 case when regexp_matches(trim(latex), '[=+<>]$') then 'incomplete_formula' end, case when length(latex) > 700 then 'very_long_formula' end, case when len(regexp_extract_all(latex, '[=<>+^_]|\\\\[A-Za-z]+')) < 1 then 'weak_math_signal' end], lambda x: x is not null), '|') as flags from formulas""")
@@ -222,8 +305,21 @@ def _(s, d):
     return f.select("document_id", "formula_id", "next_id", F.round(latex.jaccard(F.col("latex"), F.col("b")), 6).alias("overlap"))
 
 
-_SYM = "regexp_replace(trim(x), '[$\\s{}]', '', 'g')"
-_GREEK = "case " + " ".join(f"when {_SYM} = '{a}' then '{b}'" for a, b in latex.GREEK.items()) + f" else nullif({_SYM}, '') end"
+def _alias(x: str) -> str:
+    table = " ".join(f"when '{a}' then '{b}'" for a, b in notation.ALIASES.items())
+    return f"coalesce(case {x} {table} end, case lower({x}) {table} end, case when lower({x}) not in ({', '.join(repr(w) for w in notation.IGNORED_WORDS)}) then nullif({x}, '') end)"
+
+
+def symbol_sql(x: str) -> str:
+    """The normalised spelling of a symbol, as an expression of DuckDB."""
+    bare = f"regexp_replace(regexp_replace(trim({x}), '^\\$+|\\$+$', '', 'g'), '\\s+', '', 'g')"
+    inner = _alias(f"regexp_extract({bare}, '{latex._STYLED}', 2)")
+    styled = f"case when regexp_matches({inner}, '{latex._ONE_LETTER}') then '\\' || regexp_extract({bare}, '{latex._STYLED}', 1) || '{{' || {inner} || '}}' end"
+    plain = f"regexp_replace({bare}, '[{{}}]', '', 'g')"
+    return f"case when regexp_matches({bare}, '{latex._STYLED}') then {styled} else {_alias(plain)} end"
+
+
+_GREEK = symbol_sql("x")
 
 
 @query("symbol_normalize", _F + f"select distinct document_id, formula_id, {_GREEK} as symbol from (select document_id, formula_id, unnest(symbols) as x from formulas) where {_GREEK} is not null")
@@ -237,6 +333,12 @@ def symbols(s: SparkSession, d: str, *c: str) -> DataFrame:
     return f.select("document_id", "formula_id", *c, latex.symbol(F.col("x")).alias("symbol")).where("symbol is not null").distinct()
 
 
+@query("symbol_in_latex")
+def _(s, d):
+    """Symbols that the LaTeX of each formula holds."""
+    return _formulas(s, d, "latex").select("document_id", "formula_id", F.explode(latex.formula_symbols(F.col("latex"))).alias("symbol"))
+
+
 @query("symbol_commands_in_latex", _F + "select distinct document_id, formula_id, unnest(regexp_extract_all(latex, '\\\\[A-Za-z]+')) as command from formulas")
 def _(s, d):
     return _formulas(s, d, "latex").select("document_id", "formula_id", F.explode(F.array_distinct(F.regexp_extract_all("latex", F.lit(r"(\\[A-Za-z]+)"), 1))).alias("command"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from papyrine.operators import graph
 from papyrine.plans import relation_queries as rel
+from papyrine.plans.definitions import rule_definitions
 
 
 def test_classes_keep_every_pair(spark):
@@ -15,17 +16,17 @@ def test_classes_keep_every_pair(spark):
 SAID = {
     "ru_where_dash": ("Где N — остаток энергии.", "N", "остаток энергии"),
     "ru_where_is": ("где x_1 является мерой", "x_1", "мерой"),
-    "ru_denotes": ("α обозначает поток", "α", "поток"),
+    "ru_denotes": ("α обозначает поток", "\\alpha", "поток"),
     "ru_named": ("T называется порогом", "T", "порогом"),
     "ru_defined_as": ("q определяется как сумма", "q", "сумма"),
     "ru_let": ("Пусть z есть корень", "z", "корень"),
     "ru_denote_by": ("через V обозначим объём", "V", "объём"),
-    "ru_is": ("β – это шаг", "β", "шаг"),
+    "ru_is": ("β – это шаг", "\\beta", "шаг"),
     "en_where_is": ("where w_{2} is the weight", "w_2", "the weight"),
     "en_denotes": ("N denotes " + "a long tail " * 10, "N", ("a long tail " * 10).strip()),
     "en_defined_as": ("q is defined as the sum", "q", "the sum"),
     "en_let_be": ("Let k be an index;", "k", "an index"),
-    "en_represents": ("θ represents an angle", "θ", "an angle"),
+    "en_represents": ("θ represents an angle", "\\theta", "an angle"),
     "en_denote_by": ("we denote by R the radius", "R", "the radius"),
 }
 
@@ -33,7 +34,7 @@ SAID = {
 @pytest.fixture(scope="module")
 def defined(spark):
     df = spark.createDataFrame([(k, v[0]) for k, v in SAID.items()] + [("null", None), ("twice", "N denotes first. N denotes FIRST.")], "id string, t string")
-    return {(x.id, x.rule, x.symbol, x.definition) for x in rel.rule_definitions(df, ["id"], "t").collect()}
+    return {(x.id, x.rule, x.symbol, x.definition) for x in rule_definitions(df, ["id"], "t").collect()}
 
 
 @pytest.mark.parametrize("rule", SAID)
@@ -52,8 +53,3 @@ def test_missing_relations_come_out(spark, data):
     pairs = shared.alias("a").join(shared.alias("b"), ["document_id", "symbol"]).where("a.place < b.place").count()
     assert shared.agg(F.sum("later")).head()[0] == pairs > 0
     assert 0 < shared.where("defines").agg(F.sum("later")).head()[0] < pairs
-
-
-def test_every_greek_letter_of_the_table(spark):
-    got = spark.createDataFrame([("α π φ ω τ μ ζ x",)], "c string").select(rel.greek_commands(F.col("c"))).head()[0]
-    assert got == r"\alpha \pi \phi \omega \tau \mu \zeta x"
