@@ -84,27 +84,33 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(nodes: DataFrame, edges: DataFrame, by: str, node: str) -> DataFrame:
     """(by, node, component): smallest node id that can be reached, edges taken both ways.
 
-    Edges are first contracted to stars inside Arrow batches, as they lie and once more by group, so that little is left
-    to do between batches; then labels are spread along the stars and along themselves, a few rounds, each cut.
+    Edges are first contracted to stars inside Arrow batches, as they lie. Then large and small stars alternate: every node
+    links its larger neighbours to the smallest node it knows, then itself and its smaller ones, until nothing changes. All
+    steps are keyed by single nodes, with partial minima, so no paper is one task, and the rounds grow with the logarithm
+    of the size.
     """
     key = F.concat_ws("\x01", by, node)
-    both = edges.select(F.concat_ws("\x01", by, "source_id").alias("a"), F.concat_ws("\x01", by, "target_id").alias("b"))
-    known = nodes.select(key.alias("k"))
-    both = both.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi").where("a <> b").select("a", "b")
-    stars = both.mapInArrow(_forest, "a string, b string").where("a <> b")
-    stars = stars.repartition(F.split("a", "\x01")[0]).sortWithinPartitions("a").mapInArrow(_forest, "a string, b string").where("a <> b")
-    stars = cut(stars)
-    both = cut(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(nodes.select(key.alias("k"), key.alias("l")))
+    known = cut(nodes.select(key.alias("k")).distinct())
+    both = edges.select(F.concat_ws("\x01", by, "source_id").alias("a"), F.concat_ws("\x01", by, "target_id").alias("b")).where("a <> b")
+    both = both.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi").select("a", "b")
+    e = cut(both.mapInArrow(_forest, "a string, b string").where("a <> b").distinct())  # from larger to smaller
+    low = lambda x: x.groupBy("u").agg(F.min("v").alias("m"))
+    count = -1
     while True:
-        near = both.join(label.select(F.col("k").alias("b"), F.col("l").alias("nl")), "b").groupBy(F.col("a").alias("k")).agg(F.min("nl").alias("nl"))
-        step = label.join(near, "k", "left").select("k", F.least("l", F.coalesce("nl", "l")).alias("m"), "l")
-        jump = step.select(F.col("k").alias("m"), F.col("m").alias("mm"))
-        new = cut(step.join(jump, "m", "left").select("k", F.least("m", F.coalesce("mm", "m")).alias("l"), F.col("l").alias("old")))
-        label = new.select("k", "l")
-        if new.where("l <> old").isEmpty():
-            part = F.split("k", "\x01")
-            return label.select(part[0].alias(by), part[1].alias(node), F.element_at(F.split("l", "\x01"), -1).alias("component"))
+        ways = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
+        large = ways.join(low(ways), "u").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b").distinct()
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        mins = low(down)
+        small = down.join(mins, "u").select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        new = cut(small)
+        n = new.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        e = new
+        if n == count:
+            break
+        count = n
+    part = F.split("k", "\x01")
+    label = known.join(e.select(F.col("a").alias("k"), "b"), "k", "left").select("k", F.coalesce("b", "k").alias("l"))
+    return label.select(part[0].alias(by), part[1].alias(node), F.element_at(F.split("l", "\x01"), -1).alias("component"))
 
 
 def capped_edges(edges: DataFrame, by: str, order: list[str], cap: int, schema: str) -> DataFrame:
@@ -127,17 +133,26 @@ def capped_edges(edges: DataFrame, by: str, order: list[str], cap: int, schema:
     return edges.groupBy(by).applyInPandas(lambda p: take(p.sort_values(order)), schema)
 
 
-def rolled_up(contains: DataFrame, own: DataFrame, rounds: int = 8) -> DataFrame:
-    """Mass of containers: bottom-up sums over (document_id, parent, child), rounded at each level to four places.
+def rolled_up(contains: DataFrame, own: DataFrame) -> DataFrame:
+    """(document_id, id, mass) of containers: sums over (document_id, parent, child) from below, rounded to four places.
 
-    Leaves have their own mass (document_id, id, mass); what has none counts 1. Containment deeper than ``rounds`` levels
-    is an error of the data and left at the last value.
+    Leaves have their own mass (document_id, id, mass); a member that is neither leaf nor container has none; a container
+    without any mass has 1. Containers are settled as soon as all containers inside them are, whatever the depth; those on
+    a cycle, or above one, end with 1.
     """
-    mass = own
-    for _ in range(rounds):
-        c = contains.join(mass.select("document_id", F.col("id").alias("child"), F.col("mass").alias("m")), ["document_id", "child"], "left")
-        new = c.groupBy("document_id", F.col("parent").alias("id")).agg(F.round(F.sum(F.coalesce("m", F.lit(1.0))), 4).alias("mass"))
-        new = cut(new)
-        nodes_only = own.join(new.select("document_id", "id"), ["document_id", "id"], "left_anti")
-        mass = nodes_only.unionByName(new)
-    return mass
+    key = ["document_id", "id"]
+    containers = contains.select("document_id", F.col("parent").alias("id")).distinct()
+    inner = cut(contains.join(containers.withColumnRenamed("id", "child"), ["document_id", "child"], "left_semi").select("document_id", "parent", "child").distinct())
+    leaves = contains.join(inner, ["document_id", "parent", "child"], "left_anti").join(own.withColumnRenamed("id", "child"), ["document_id", "child"])
+    base = leaves.groupBy("document_id", F.col("parent").alias("id")).agg(F.sum("mass").alias("mass"))
+    waiting = cut(containers.join(base, key, "left").select(*key, F.coalesce("mass", F.lit(0.0)).alias("mass")))
+    done = waiting.where("false")
+    while not waiting.isEmpty():
+        blocked = inner.join(waiting.select("document_id", F.col("id").alias("child")), ["document_id", "child"], "left_semi").select("document_id", F.col("parent").alias("id")).distinct()
+        ready = cut(waiting.join(blocked, key, "left_anti").select(*key, F.when(F.round("mass", 4) != 0, F.round("mass", 4)).otherwise(1.0).alias("mass")))
+        if ready.isEmpty():
+            return done.unionByName(waiting.select(*key, F.lit(1.0).alias("mass")))
+        done = cut(done.unionByName(ready))
+        passed = inner.join(ready.withColumnRenamed("id", "child"), ["document_id", "child"]).groupBy("document_id", F.col("parent").alias("id")).agg(F.sum("mass").alias("more"))
+        waiting = cut(waiting.join(ready, key, "left_anti").join(passed, key, "left").select(*key, (F.col("mass") + F.coalesce("more", F.lit(0.0))).alias("mass")))
+    return done

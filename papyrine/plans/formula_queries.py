@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions import latex, text
+from papyrine.functions import latex, notation, text
 from papyrine.operators import formulas as op
 from papyrine.plans.base import current, sql
 from papyrine.plans.graph_queries import _FSQ, definitions, fs
@@ -179,21 +181,40 @@ def _(s, d):
     return fs(s, d).groupBy("document_id", "symbol", "section_id").agg(F.count(F.lit(1)).alias("n"), F.min("formula_id").alias("first_formula"))
 
 
-@query("proj_metavertex_rank", sql("metavertices") + "select document_id, metavertex_id, case mv_type when 'formula_metavertex' then 35 when 'section_metavertex' then 24 when 'paragraph_metavertex' then 18 else 12 end + coalesce(len(contains_ids), 0) as rank from metavertices")
+@query("proj_metavertex_rank")
 def _(s, d):
-    bonus = F.when(F.col("mv_type") == "formula_metavertex", 35).when(F.col("mv_type") == "section_metavertex", 24).when(F.col("mv_type") == "paragraph_metavertex", 18).otherwise(12)
+    """Rank of metavertices: kind, mass and number of members."""
+    from papyrine.plans.graph_queries import QUERIES as Q
+
+    mass = Q["rich_container_mass"](s, d).select("document_id", F.col("id").alias("metavertex_id"), "mass")
     n = F.coalesce(F.when(F.col("contains_ids").isNotNull(), F.size("contains_ids")), F.lit(0))
-    return current(s, d, "metavertices", "mv_type", "contains_ids").select("document_id", "metavertex_id", (bonus + n).cast("long").alias("rank"))
+    bonus = reduce(lambda a, kv: a.when(F.col("mv_type") == kv[0], kv[1]), notation.METAVERTEX_BONUS.items(), F).otherwise(12)
+    x = current(s, d, "metavertices", "mv_type", "contains_ids").join(mass, ["document_id", "metavertex_id"], "left")
+    return x.select("document_id", "metavertex_id", F.round(bonus + F.log1p(F.greatest(F.lit(0.0), F.coalesce("mass", F.lit(0.0)))) * 10 + n * 0.04, 5).alias("rank"))
+
+
+def _node_rank_sql() -> str:
+    from papyrine.plans.graph_queries import SQL as S
+
+    weight = " ".join(f"when '{k}' then {v}" for k, v in notation.NODE_WEIGHTS.items())
+    return f"""with recursive mass as ({S["rich_node_mass"]}), defined as (select distinct document_id, formula_id from ({S["def_evidence"]})), ctx as (select distinct document_id, formula_id from context_requests),
+nodes as (select document_id, node_id, arg_max({{'t': node_type, 'd': deleted_at}}, loaded_at) as r from mg_nodes group by 1, 2)
+select n.document_id, n.node_id, round(case n.r.t {weight} else 10 end + 8 * ln(1 + m.mass) + case when n.r.t = 'formula' and x.formula_id is not null then 4 else 0 end + case when n.r.t = 'formula' and c.formula_id is not null then 3 else 0 end, 5) as rank
+from nodes n join mass m on m.document_id = n.document_id and m.node_id = n.node_id left join defined x on x.document_id = n.document_id and x.formula_id = n.node_id left join ctx c on c.document_id = n.document_id and c.formula_id = n.node_id where n.r.d is null"""
 
 
-@query("proj_node_rank", sql("nodes", "edges") + """, g as (select document_id, node_id, count(*) as degree from (select document_id, unnest([source_id, target_id]) as node_id from edges) where node_id is not null group by 1, 2)
-select n.document_id, n.node_id, round(case node_type when 'formula' then 30 when 'symbol' then 20 when 'definition' then 16 else 8 end + 8 * ln(1 + coalesce(g.degree, 0)), 5) as rank from nodes n left join g on g.document_id = n.document_id and g.node_id = n.node_id""")
+@query("proj_node_rank", _node_rank_sql())
 def _(s, d):
-    from papyrine.operators import graph
+    """Rank of nodes: kind, mass, whether their context defines something, whether they have a context."""
+    from papyrine.plans.graph_queries import QUERIES as Q
 
-    g = graph.degrees(current(s, d, "edges", "source_id", "target_id"), ["document_id"])
-    weight = F.when(F.col("node_type") == "formula", 30).when(F.col("node_type") == "symbol", 20).when(F.col("node_type") == "definition", 16).otherwise(8)
-    return current(s, d, "nodes", "node_type").join(g, ["document_id", "node_id"], "left").select("document_id", "node_id", F.round(weight + 8 * F.log1p(F.coalesce("degree", F.lit(0))), 5).alias("rank"))
+    key = ["document_id", "node_id"]
+    defined = definitions(s, d).select("document_id", F.col("formula_id").alias("node_id"), F.lit(4).alias("x")).distinct()
+    ctx = table(s, d, "context_requests", "document_id", F.col("formula_id").alias("node_id")).distinct().withColumn("c", F.lit(3))
+    n = current(s, d, "nodes", "node_type").join(Q["rich_node_mass"](s, d), key).join(defined, key, "left").join(ctx, key, "left")
+    weight = reduce(lambda a, kv: a.when(F.col("node_type") == kv[0], kv[1]), notation.NODE_WEIGHTS.items(), F).otherwise(10)
+    extra = F.when(F.col("node_type") == "formula", F.coalesce("x", F.lit(0)) + F.coalesce("c", F.lit(0))).otherwise(0)
+    return n.select(*key, F.round(weight + F.log1p("mass") * 8 + extra, 5).alias("rank"))
 
 
 @query("proj_edge_budget", sql("edges") + "select document_id, edge_id from (select document_id, edge_id, row_number() over (partition by document_id order by case edge_type when 'depends_on' then 0 when 'has_symbol' then 1 when 'has_definition' then 2 else 3 end, edge_id) as r from edges) where r <= 360")

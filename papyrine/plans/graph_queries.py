@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions import latex
+from papyrine.functions import latex, notation
 from papyrine.operators import geometry, graph, search
 from papyrine.plans.base import current, sql
 from papyrine.plans.definitions import DEF, DEFS, definitions
-from papyrine.plans.text_queries import _GREEK, symbols
+from papyrine.plans.text_queries import _GREEK, _NEAR, _OPS, _any, symbol_sql, symbols
 from papyrine.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -232,15 +232,18 @@ def _(s, d):
 @query("rel_all", sql("formulas", "contexts", "blocks") + _FS + """select 'formula_contains_variable' as relation, document_id, formula_id as source_id, symbol as target_id, 0.82 as confidence from fs
 union all select 'formula_has_context', f.document_id, f.formula_id, 'ctx:' || f.formula_id, 0.8 from formulas f where exists (select 1 from contexts c where c.document_id = f.document_id and c.formula_id = f.formula_id)
 union all select 'formula_in_section', document_id, formula_id, section_id, 0.85 from formulas where section_id is not null
-union all select 'text_block_in_section', document_id, block_id, section_id, 0.85 from blocks where section_id is not null""")
+union all select 'text_block_in_section', document_id, block_id, section_id, 0.85 from blocks where section_id is not null
+union all select distinct 'formula_near_text_block', f.document_id, f.formula_id, t.block_id, 0.62 from formulas f join (select document_id, block_id, unnest(formula_tokens) as token from blocks) t on t.document_id = f.document_id and t.token = f.token""")
 def _(s, d):
-    f, c, b = current(s, d, "formulas", "section_id"), current(s, d, "contexts", "lang_label"), current(s, d, "blocks", "section_id")
+    f, c, b = current(s, d, "formulas", "section_id", "token"), current(s, d, "contexts", "lang_label"), current(s, d, "blocks", "section_id", "formula_tokens")
+    t = b.select("document_id", "block_id", F.explode("formula_tokens").alias("token")).where("token is not null")
+    near = f.join(t, ["document_id", "token"]).select("document_id", "formula_id", "block_id").distinct()
     row = lambda x, name, a, t, k: x.select(F.lit(name).alias("relation"), "document_id", F.col(a).alias("source_id"), t.alias("target_id"), F.lit(k).alias("confidence"))
     return union(
         row(fs(s, d), "formula_contains_variable", "formula_id", F.col("symbol"), 0.82),
         row(f.join(c, ["document_id", "formula_id"], "left_semi"), "formula_has_context", "formula_id", F.concat(F.lit("ctx:"), "formula_id"), 0.8),
         row(f.where("section_id is not null"), "formula_in_section", "formula_id", F.col("section_id"), 0.85),
-        row(b.where("section_id is not null"), "text_block_in_section", "block_id", F.col("section_id"), 0.85),
+        row(b.where("section_id is not null"), "text_block_in_section", "block_id", F.col("section_id"), 0.85), row(near, "formula_near_text_block", "formula_id", F.col("block_id"), 0.62),
     )
 
 
@@ -361,19 +364,36 @@ def _(s, d):
     return graph.degrees(current(s, d, "edges", "source_id", "target_id"), ["document_id"])
 
 
-@query("rich_node_mass", sql("nodes", "edges") + """, g as (select document_id, node_id, count(*) as degree from (select document_id, unnest([source_id, target_id]) as node_id from edges) where node_id is not null group by 1, 2)
-select n.document_id, n.node_id, least(80.0, 1 + coalesce(g.degree, 0) + case when n.node_type in ('section', 'paragraph', 'context') then 0.5 * length(coalesce(n.node_label, '')) else 0 end) as mass from nodes n left join g on g.document_id = n.document_id and g.node_id = n.node_id""")
+@query("rich_node_mass", sql("nodes", "edges", "formulas", "contexts") + DEFS + _FS + """, g as (select document_id, node_id, count(*) as degree from (select document_id, unnest([source_id, target_id]) as node_id from edges) where node_id is not null group by 1, 2),
+fx as (select f.document_id, f.formula_id as node_id, 1.5 * len(coalesce(f.symbols, [])) + case when c.formula_id is not null then 2 else 0 end as bonus from formulas f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id),
+sx as (select document_id, symbol, 2.0 * count(distinct formula_id) as bonus from fs group by 1, 2), dx as (select distinct document_id, symbol, 2.0 as bonus from defs),
+y as (select document_id, node_id, x, symbol_of_label from (select document_id, node_id, node_label as x, """ + symbol_sql("node_label") + """ as symbol_of_label from nodes where node_type = 'symbol'))
+select n.document_id, n.node_id, round(least(80.0, 1 + coalesce(g.degree, 0) + case when n.node_type = 'formula' then coalesce(fx.bonus, 0) when n.node_type = 'symbol' then coalesce(sx.bonus, 0) + coalesce(dx.bonus, 0)
+when n.node_type in ('section', 'paragraph', 'context') then 0.5 * length(coalesce(n.node_label, '')) else 0 end), 4) as mass from nodes n left join g on g.document_id = n.document_id and g.node_id = n.node_id left join fx on fx.document_id = n.document_id and fx.node_id = n.node_id
+left join y on y.document_id = n.document_id and y.node_id = n.node_id left join sx on sx.document_id = n.document_id and sx.symbol = y.symbol_of_label left join dx on dx.document_id = n.document_id and dx.symbol = y.symbol_of_label""")
 def _(s, d):
+    """Mass of nodes: degree, symbols and context of formulas, formulas and definitions of symbols, length of texts; 80 at most."""
+    key = ["document_id", "node_id"]
     g = graph.degrees(current(s, d, "edges", "source_id", "target_id"), ["document_id"])
-    bonus = F.when(F.col("node_type").isin("section", "paragraph", "context"), 0.5 * F.length(F.coalesce("node_label", F.lit("")))).otherwise(0.0)
-    return current(s, d, "nodes", "node_type", "node_label").join(g, ["document_id", "node_id"], "left").select("document_id", "node_id", F.least(F.lit(80.0), 1 + F.coalesce("degree", F.lit(0)) + bonus).alias("mass"))
+    c = current(s, d, "contexts", "lang_label").select("document_id", "formula_id", F.lit(2.0).alias("c"))
+    n = F.coalesce(F.when(F.col("symbols").isNotNull(), F.size("symbols")), F.lit(0))
+    fx = current(s, d, "formulas", "symbols").join(c, ["document_id", "formula_id"], "left").select("document_id", F.col("formula_id").alias("node_id"), (1.5 * n + F.coalesce("c", F.lit(0.0))).alias("of_formula"))
+    sx = fs(s, d).groupBy("document_id", "symbol").agg((2.0 * F.countDistinct("formula_id")).alias("of_symbol"))
+    dx = definitions(s, d).select("document_id", "symbol", F.lit(2.0).alias("of_definition")).distinct()
+    x = current(s, d, "nodes", "node_type", "node_label").withColumn("symbol", F.when(F.col("node_type") == "symbol", latex.symbol(F.col("node_label"))))
+    x = x.join(g, key, "left").join(fx, key, "left").join(sx, ["document_id", "symbol"], "left").join(dx, ["document_id", "symbol"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    kind = F.col("node_type")
+    bonus = F.when(kind == "formula", zero("of_formula")).when(kind == "symbol", zero("of_symbol") + zero("of_definition")).when(kind.isin("section", "paragraph", "context"), 0.5 * F.length(F.coalesce("node_label", F.lit("")))).otherwise(0.0)
+    return x.select(*key, F.round(F.least(F.lit(80.0), 1 + F.coalesce("degree", F.lit(0)) + bonus), 4).alias("mass"))
 
 
 @query("rich_container_mass")
 def _(s, d):
+    """Mass of metavertices, bottom-up through containment of any depth."""
     c = current(s, d, "metavertices", "contains_ids").select("document_id", F.col("metavertex_id").alias("parent"), F.explode("contains_ids").alias("child")).where("child is not null and child <> parent").distinct()
     own = QUERIES["rich_node_mass"](s, d).select("document_id", F.col("node_id").alias("id"), "mass")
-    return graph.rolled_up(graph.cut(c), graph.cut(own), 5).where("id like 'mv:%'")
+    return graph.rolled_up(graph.cut(c), graph.cut(own))
 
 
 @query("rich_contains", sql("metavertices") + "select distinct document_id, metavertex_id as parent, unnest(contains_ids) as child from metavertices")
@@ -524,9 +544,14 @@ def _(s, d):
     return e.join(t, ["document_id", "target_id"], "left_anti").select("document_id", "edge_id", F.lit("dangling_target").alias("code"))
 
 
-@query("valid_duplicate_edges", sql("edges") + "select document_id, source_id, target_id, edge_type, count(*) as n from edges where source_id is not null and target_id is not null group by 1, 2, 3, 4 having count(*) > 1")
+@query("valid_duplicate_edges", sql("edges", "metaedges") + """select * from (select document_id, 'edge' as collection, source_id, target_id, edge_type as kind, count(*) as n from edges where source_id is not null and target_id is not null group by 1, 2, 3, 4, 5
+union all select document_id, 'metaedge', array_to_string(list_sort(source_set), '|'), array_to_string(list_sort(target_set), '|'), metaedge_type, count(*) from metaedges where source_set is not null and target_set is not null group by 1, 2, 3, 4, 5) where n > 1""")
 def _(s, d):
-    return current(s, d, "edges", "source_id", "target_id", "edge_type").where("source_id is not null and target_id is not null").groupBy("document_id", "source_id", "target_id", "edge_type").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Edges and meta edges of one paper with the same ends and kind."""
+    e = current(s, d, "edges", "source_id", "target_id", "edge_type").where("source_id is not null and target_id is not null").select("document_id", F.lit("edge").alias("collection"), "source_id", "target_id", F.col("edge_type").alias("kind"))
+    ends = lambda c: F.array_join(F.array_sort(c), "|")
+    m = current(s, d, "metaedges", "source_set", "target_set", "metaedge_type").where("source_set is not null and target_set is not null").select("document_id", F.lit("metaedge").alias("collection"), ends("source_set").alias("source_id"), ends("target_set").alias("target_id"), F.col("metaedge_type").alias("kind"))
+    return e.unionByName(m).groupBy("document_id", "collection", "source_id", "target_id", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("valid_self_loops", sql("edges") + "select document_id, edge_id from edges where source_id = target_id")
@@ -542,41 +567,28 @@ def _(s, d):
     return n.join(e, "document_id", "left").select("document_id", F.round(mean, 6).alias("mean_degree"), (mean > 10).alias("dense"))
 
 
-@query("valid_document_rules", sql("formulas", "blocks", "sections") + """select * from (select document_id, 'latex_missing' as code, count(*) as n from formulas where coalesce(trim(latex), '') = '' group by 1
-union all select document_id, 'low_confidence', count(*) from formulas where confidence < 0.5 group by 1
-union all select f.document_id, 'formula_section_unknown', count(*) from formulas f where f.section_id is not null and not exists (select 1 from sections s where s.document_id = f.document_id and s.section_id = f.section_id) group by 1
-union all select b.document_id, 'block_section_unknown', count(*) from blocks b where b.section_id is not null and not exists (select 1 from sections s where s.document_id = b.document_id and s.section_id = b.section_id) group by 1
-union all select document_id, 'token_repeated', count(*) from (select document_id, token from formulas where token is not null group by 1, 2 having count(*) > 1) group by 1)""")
-def _(s, d):
-    """Violations by rule and document."""
-    f, b, sec = current(s, d, "formulas", "latex", "confidence", "section_id", "token"), current(s, d, "blocks", "section_id"), current(s, d, "sections", "ord").select("document_id", "section_id")
-    n = lambda x, code: x.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).select("document_id", F.lit(code).alias("code"), "n")
-    key = ["document_id", "section_id"]
-    return union(
-        n(f.where("coalesce(trim(latex), '') = ''"), "latex_missing"), n(f.where("confidence < 0.5"), "low_confidence"),
-        n(f.where("section_id is not null").join(sec, key, "left_anti"), "formula_section_unknown"), n(b.where("section_id is not null").join(sec, key, "left_anti"), "block_section_unknown"),
-        n(f.where("token is not null").groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "token_repeated"),
-    )
-
-
 # ---- projections --------------------------------------------------------------------------------------------------
 
 
-_RANKSQL = "2 * len(coalesce(symbols, [])) + case when contains(latex, '=') then 2 else 0 end + coalesce(confidence, 0.0)"
+_RANKED = sql("formulas", "contexts") + f""", ranked as (select f.document_id, f.formula_id, f.section_id, f.ord, round(2 * len(coalesce(f.symbols, [])) + len({_OPS}) + case when {_any(_NEAR, notation.DEFINITION_MARKERS)} then 3 else 0 end
++ case when contains(f.latex, '=') then 2 else 0 end + coalesce(f.confidence, 0.0), 6) as rank from (select * replace (coalesce(latex, '') as latex), regexp_extract_all(coalesce(latex, ''), '\\\\[A-Za-z]+') as c from formulas) f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id)
+""".replace("list_contains(c, ", "list_contains(f.c, ")
 
 
-@query("proj_formula_rank", sql("formulas") + f"select document_id, formula_id, round({_RANKSQL}, 6) as rank from formulas")
+@query("proj_formula_rank", _RANKED + "select document_id, formula_id, rank from ranked")
 def _(s, d):
     return ranked(s, d).select("document_id", "formula_id", F.round("rank", 6).alias("rank"))
 
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
-    f = current(s, d, "formulas", "latex", "symbols", "confidence", "section_id", "ord")
+    """Formulas with their rank: symbols, operators, whether their context defines something, equality, confidence."""
+    f = current(s, d, "formulas", "latex", "symbols", "confidence", "section_id", "ord").join(current(s, d, "contexts", "current_sentence"), ["document_id", "formula_id"], "left")
     n = F.coalesce(F.when(F.col("symbols").isNotNull(), F.size("symbols")), F.lit(0))
-    return f.withColumn("rank", latex.rank(n, F.lit(0), F.lit(False), F.coalesce(F.contains("latex", F.lit("=")), F.lit(False)), F.col("confidence")))
+    held = F.coalesce("latex", F.lit(""))
+    return f.withColumn("rank", latex.rank(n, F.size(latex.operators(held)), latex.holds_any(F.lower("current_sentence"), notation.DEFINITION_MARKERS), F.contains(held, F.lit("=")), F.col("confidence")))
 
 
-@query("proj_overview_topk", sql("formulas") + f"select document_id, section_id, formula_id, r from (select document_id, section_id, formula_id, row_number() over (partition by document_id, section_id order by round({_RANKSQL}, 6) desc, ord, formula_id) as r from formulas where section_id is not null) where r <= 8")
+@query("proj_overview_topk", _RANKED + "select document_id, section_id, formula_id, r from (select *, row_number() over (partition by document_id, section_id order by rank desc, ord nulls first, formula_id) as r from ranked where section_id is not null) where r <= 8")
 def _(s, d):
     w = Window.partitionBy("document_id", "section_id").orderBy(F.desc(F.round("rank", 6)), "ord", "formula_id")
     return ranked(s, d).where("section_id is not null").withColumn("r", F.row_number().over(w)).where("r <= 8").select("document_id", "section_id", "formula_id", "r")
@@ -590,10 +602,14 @@ def _(s, d):
     return m.withColumn("r", F.row_number().over(w)).where("r <= 12").select("document_id", "metaedge_id", "size", "r")
 
 
-@query("proj_ambiguity", _FSQ + "select document_id, symbol, round(least(1.0, 0.12 * (count(distinct section_id) - 1)), 6) as score from fs group by 1, 2 having count(distinct section_id) > 1")
+@query("proj_ambiguity", sql("formulas", "contexts") + DEFS + _FS + """, m as (select document_id, symbol, count(distinct lower(trim(definition))) as meanings from defs group by 1, 2), v as (select document_id, symbol, count(distinct section_id) as sections from fs group by 1, 2)
+select v.document_id, v.symbol, round(least(1.0, greatest(0.0, 0.25 * (coalesce(m.meanings, 0) - 1) + 0.12 * greatest(0, v.sections - 1))), 4) as score from v left join m on m.document_id = v.document_id and m.symbol = v.symbol""")
 def _(s, d):
-    v = fs(s, d).groupBy("document_id", "symbol").agg(F.countDistinct("section_id").alias("n")).where("n > 1")
-    return v.select("document_id", "symbol", F.round(F.least(F.lit(1.0), 0.12 * (F.col("n") - 1)), 6).alias("score"))
+    """How ambiguous a variable is: a quarter for each further meaning, 0.12 for each further section."""
+    m = definitions(s, d).groupBy("document_id", "symbol").agg(F.countDistinct(F.lower(F.trim("definition"))).alias("meanings"))
+    v = fs(s, d).groupBy("document_id", "symbol").agg(F.countDistinct("section_id").alias("sections")).join(m, ["document_id", "symbol"], "left")
+    score = 0.25 * (F.coalesce("meanings", F.lit(0)) - 1) + 0.12 * F.greatest(F.lit(0), F.col("sections") - 1)
+    return v.select("document_id", "symbol", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4).alias("score"))
 
 
 @query("proj_typed_subgraph", sql("nodes", "edges") + ", k as (select document_id, node_id from nodes where node_type in ('formula', 'symbol')) select e.document_id, e.edge_id from edges e where exists (select 1 from k where k.document_id = e.document_id and k.node_id = e.source_id) and exists (select 1 from k where k.document_id = e.document_id and k.node_id = e.target_id)")
