@@ -154,6 +154,8 @@ class Lexicon:
         self.total = float(total or sum(n for w, n in counts.items() if w[0] > "\x02") or 1)
         self.penalty = math.log(RATIO)
         self.floor = max(1.0, self.total * LEAST_SHARE)
+        #: Words seen less often may be parts of others.
+        self.rare = self.total / 2e4
         #: Words that can be readings, in order, so that whether a prefix leads anywhere is a binary search.
         self.words = sorted(w for w, n in counts.items() if n >= 5 and w[0] > "\x02" and "-" not in w)
         self.prefixes: dict[str, bool] = {}
@@ -185,7 +187,7 @@ class Lexicon:
         x = self.known.get(w)
         if x is None:
             n = self.counts.get(w, 0)
-            x = n >= 3 and (n >= self.total / 2e4 or self.best(w) == w)
+            x = n >= 3 and (n >= self.rare or self.best(w) == w)
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[w] = x
@@ -194,7 +196,7 @@ class Lexicon:
     def could_join(self, a: str, b: str) -> bool:
         """Whether two neighbours make a word far more frequent than one of them."""
         n = min(self.counts.get(a, 0), self.counts.get(b, 0))
-        return n < self.total / 2e4 and self.counts.get(a + b, 0) >= max(5.0, RATIO * n)
+        return n < self.rare and self.counts.get(a + b, 0) >= max(5.0, RATIO * n)
 
     def best(self, w: str) -> str:
         """What a single word most likely stands for."""
@@ -334,6 +336,8 @@ def lines_of(text: str, lexicon: Lexicon | None = None) -> list[tuple[str, str]]
     lines = text.split("\n")
     numbers = sum(bool(_NUMBERS.fullmatch(x)) for x in lines if x.strip())
     filled = [k for k, x in enumerate(lines) if x.strip()]
+    low = text.lower()
+    formed, odd = any(w in low for w in _HEADER_STEMS), bool(_ODD.search(text))
     out = []
     for k, x in enumerate(lines):
         s = x.strip()
@@ -341,7 +345,7 @@ def lines_of(text: str, lexicon: Lexicon | None = None) -> list[tuple[str, str]]
             out.append(("blank", x))
         elif _PAGE.match(s) and (numbers * 2 <= len(filled) or len(filled) <= 2):
             out.append(("page", x))
-        elif _headed(s, lexicon):
+        elif (formed or odd) and s[-1] not in _SENTENCE_MARKS and (formed and _formed(s) or odd and _misread_header(s, lexicon)):
             out.append(("header", x))
         elif lexicon is not None and (form := titled(s)) and lexicon.counts.get("\x02" + form, 0) >= 3 and (k in (filled[0], filled[-1]) and len(filled) > 1 or _interrupts(lines, k)):
             out.append(("header", x))
@@ -356,12 +360,8 @@ _PLAIN = frozenset("=/:?&#@_\\")
 _LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
-def _headed(s: str, lexicon: Lexicon | None) -> bool:
-    """Whether a line has a header's form; a line that closes a sentence has none, whatever it begins with."""
-    if s[-1] in _SENTENCE_MARKS:
-        return False
-    if _formed(s):
-        return True
+def _misread_header(s: str, lexicon: Lexicon | None) -> bool:
+    """Whether what a line with odd characters most likely reads has a header's form."""
     if not _ODD.search(s):
         return False
     if _formed(_ODD_WORD.sub(lambda m: m.group().translate(_DIGITS), s)):
@@ -372,12 +372,14 @@ def _headed(s: str, lexicon: Lexicon | None) -> bool:
     return read != s and (_formed(read) or _formed(_ODD_WORD.sub(lambda m: m.group().translate(_DIGITS), read)))
 
 
+#: A line that closes a sentence is no header, whatever it begins with.
 _SENTENCE_MARKS = frozenset(".!?。！？।؟…:;")
-_HEADER_WORDS = re.compile(r"(?i)annal|anales|journal|bulletin|transactions|proc|review|revue|revista|archives|вестник|вісник|журнал|известия|letters|/")
+_HEADER_STEMS = ("annal", "anales", "journal", "bulletin", "transactions", "proc", "review", "revue", "revista", "archives", "вестник", "вісник", "журнал", "известия", "letters", "/")
 
 
 def _formed(s: str) -> bool:
-    return bool(_HEADER_WORDS.search(s)) and bool(_HEADER.match(s)) and _title_like(s)
+    low = s.lower()
+    return any(w in low for w in _HEADER_STEMS) and bool(_HEADER.match(s)) and _title_like(s)
 
 
 def _title_like(s: str) -> bool:
@@ -388,6 +390,8 @@ def _title_like(s: str) -> bool:
 
 def titled(s: str) -> str:
     """What is the same in a running title on all pages: a title with a number at its edge, without the number; else ''."""
+    if not s[0].isdigit() and not s[-1].isdigit():
+        return ""
     own = _LONG_WORD.findall(s)
     if len(own) < 2 or not _EDGE_NUMBER.search(s) or _CLOSED.search(s) or not _PLAIN.isdisjoint(s) or 2 * sum(w[0].isupper() for w in own) <= len(own) or not s[-1].isalnum():
         return ""
@@ -443,46 +447,72 @@ def paragraphs(lines: list[tuple[str, str]]) -> list[list[str]]:
     return out[::-1]
 
 
+def _small(text: str) -> str:
+    """Lower case, letter by letter where a small letter would be longer."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _stretches(text: str, lexicon: Lexicon) -> Iterator[tuple[list[re.Match], str]]:
     """The parts of a text that have to be decoded, with their words: what is not fine, with two words around."""
-    tokens = list(_TOKEN.finditer(text))
-    seps: list[str] = []
-    doubt: list[int] = []
-    for k, m in enumerate(tokens):
-        sep = ""
-        if k + 1 < len(tokens):
-            between = text[m.end() : tokens[k + 1].start()]
-            if between == " ":
-                sep = " "
-            elif between and between.isspace():
-                sep = "\n" if between.count("\n") < 2 else ""
-            elif between[0] in _HYPHEN and (x := _BREAK.match(text, m.start())) and x.end(1) == m.end() and x.start(2) == tokens[k + 1].start() and _may_be_broken(x, text, lexicon):
-                sep = HYPHENATED
-                doubt.append(k)
-        seps.append(sep)
-        w = m.group().lower()
-        if len(w) > 1 and not lexicon.fine(w) or sep in (" ", "\n") and lexicon.could_join(w, tokens[k + 1].group().lower()):
-            doubt.append(k)
+    low = _small(text)
+    words = _TOKEN.findall(low)
+    bad, rare = set(), set()
+    for w in set(words):
+        if len(w) > 1 and not lexicon.fine(w):
+            bad.add(w)
+        if lexicon.counts.get(w, 0) < lexicon.rare:
+            rare.add(w)
+    doubt = {k for k, w in enumerate(words) if w in bad} if bad else set()
+    if rare:
+        last = len(words) - 1
+        for k in [k for k, w in enumerate(words) if w in rare]:
+            if k < last and lexicon.could_join(words[k], words[k + 1]):
+                doubt.add(k)
+            if k and lexicon.could_join(words[k - 1], words[k]):
+                doubt.add(k - 1)
+    broken = _hyphenated(text)
+    if not doubt and not broken:
+        return
+    tokens = list(_TOKEN.finditer(low))
+    hyphens: set[int] = set()
+    if broken:
+        ends = [m.end() for m in tokens]
+        for x in _BREAK.finditer(text):
+            k = bisect_left(ends, x.end(1))
+            if k + 1 < len(tokens) and ends[k] == x.end(1) and tokens[k].start() == x.start(1) and tokens[k + 1].start() == x.start(2) and _may_be_broken(x, text, lexicon):
+                hyphens.add(k)
+    known: dict[int, str] = {}
+
+    def sep(k: int) -> str:
+        """What stands between a word and the next: a space, a line end, a hyphen at a line end, or what words do not cross."""
+        out = known.get(k)
+        if out is None:
+            between = text[tokens[k].end() : tokens[k + 1].start()] if k + 1 < len(tokens) else ""
+            out = HYPHENATED if k in hyphens else " " if between == " " else "\n" if between.isspace() and between.count("\n") < 2 else ""
+            known[k] = out
+        return out
+
+    order = sorted({k for k in doubt if len(words[k]) > 1 and words[k] in bad or sep(k) in (" ", "\n")} | hyphens)
     done = -1
     at = 0
-    doubt.sort()
-    while at < len(doubt):
-        k = doubt[at]
+    while at < len(order):
+        k = order[at]
         a = e = k
-        while a > 0 and k - a < 2 and seps[a - 1]:
+        while a > 0 and k - a < 2 and sep(a - 1):
             a -= 1
         until = k
         while True:
-            while at < len(doubt) and doubt[at] <= e:
-                until = max(until, doubt[at] + 2)
+            while at < len(order) and order[at] <= e:
+                until = max(until, order[at] + 2)
                 at += 1
-            near = at < len(doubt) and doubt[at] - 2 <= e  # the next stretch would overlap
-            if e + 1 >= len(tokens) or not seps[e] or e >= until and not near:
+            near = at < len(order) and order[at] - 2 <= e  # the next stretch would overlap
+            if e + 1 >= len(tokens) or not sep(e) or e >= until and not near:
                 break
             e += 1
         a = max(a, done + 1)
         done = e
-        yield tokens[a : e + 1], "".join(tokens[i].group().lower() + (seps[i] if i < e else "") for i in range(a, e + 1))
+        yield tokens[a : e + 1], "".join(words[i] + (sep(i) if i < e else "") for i in range(a, e + 1))
 
 
 def findings(text: str | None, lexicon: Lexicon) -> list[str]:
@@ -569,8 +599,6 @@ def _reread(t: str, lexicon: Lexicon) -> str:
         for m in words:
             places += range(m.start(), m.end())
             places.append(m.end())
-        if len(places) != len(s) + 1:  # letters whose small form has another length
-            continue
         for a, q, read, _ in lexicon.decoded(s):
             start, end = places[a], places[q] if q == len(s) else places[q - 1] if s[q - 1] in _BETWEEN else places[q]
             old, new = t[start:end], read.rstrip(" \n" + HYPHENATED)
