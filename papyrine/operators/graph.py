@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,24 +112,27 @@ def components(nodes: DataFrame, edges: DataFrame, by: str, node: str) -> DataFr
     return label.select(part[0].alias(by), part[1].alias(node), F.element_at(F.split("l", "\x01"), -1).alias("component"))
 
 
-def capped_edges(edges: DataFrame, by: str, order: list[str], cap: int, schema: str) -> DataFrame:
-    """Greedy choice of edges in the given order, each endpoint at most ``cap`` times, edge by edge.
+def limited_edges(edges: DataFrame, by: str, order: list[str], cap: int) -> DataFrame:
+    """Edges (by, source_id, target_id, ...) that a pass in the given order takes if each end may have ``cap`` of them.
 
-    Whether an edge is taken depends on all before it in its group, so groups are worked through one by one; ``by`` must
-    name groups that fit into a task (a section, not a corpus).
+    Rounds instead of one pass: an edge is taken as soon as fewer edges are undecided before it at either end than the end
+    has places left, as those all leave it room, and given up once an end is full. The result is that of the pass, edge by
+    edge. Every round sorts the edges of one node at a time, never those of a paper.
     """
-
-    def take(p: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        keep = []
-        for i, (a, b) in enumerate(zip(p["source_id"], p["target_id"], strict=True)):
-            ok = used.get(a, 0) < cap and used.get(b, 0) < cap
-            keep.append(ok)
-            if ok:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return p[pd.Series(keep, index=p.index, dtype=bool)]
-
-    return edges.groupBy(by).applyInPandas(lambda p: take(p.sort_values(order)), schema)
+    tie = F.struct(*order)
+    columns = edges.columns
+    open_ = cut(edges.where("source_id is not null and target_id is not null and source_id <> target_id").distinct().withColumn("_id", F.xxhash64(by, *order)))
+    taken = cut(open_.where("false"))
+    while not open_.isEmpty():
+        used = taken.select(by, F.explode(F.array("source_id", "target_id")).alias("_n")).groupBy(by, "_n").agg(F.count(F.lit(1)).alias("_used"))
+        ends = open_.select(by, "_id", tie.alias("_o"), F.explode(F.array("source_id", "target_id")).alias("_n")).join(used, [by, "_n"], "left")
+        ranked = ends.select("_id", "_o", by, (F.row_number().over(Window.partitionBy(by, "_n").orderBy("_o")) + F.coalesce("_used", F.lit(0))).alias("_rank"), F.coalesce("_used", F.lit(0)).alias("_used"))
+        state = ranked.groupBy(by, "_id", "_o").agg(F.max("_rank").alias("_rank"), F.max("_used").alias("_used")).select(by, "_id", "_o", "_rank", "_used")
+        decided = cut(open_.withColumn("_o", tie).join(state, [by, "_id", "_o"]))
+        new = decided.where((F.col("_rank") <= cap) & (F.col("_used") < cap)).select(*open_.columns)
+        taken = cut(taken.unionByName(new))
+        open_ = cut(decided.where((F.col("_rank") > cap) & (F.col("_used") < cap)).select(*open_.columns))
+    return taken.select(*columns)
 
 
 def rolled_up(contains: DataFrame, own: DataFrame) -> DataFrame:

@@ -334,15 +334,6 @@ def _(s, d):
     return union(row(current(s, d, "formulas", "ord"), "formula", F.col("formula_id")), row(current(s, d, "blocks", "ord"), "paragraph", F.col("block_id")), row(current(s, d, "contexts", "lang_label"), "context", F.concat(F.lit("ctx:"), "formula_id")), row(fs(s, d), "variable", F.concat(F.lit("var:"), "symbol")).distinct())
 
 
-@query("sem_capped_edges")
-def _(s, d):
-    """Edges of shared symbols within a section, at most eight at each end, chosen greedily by distance."""
-    f = fs(s, d).where("section_id is not null")
-    p = graph.nearest_earlier(f.select("document_id", "section_id", "symbol", "formula_id", "ord"), ["document_id", "section_id", "symbol"], "formula_id", "ord", 8)
-    p = p.withColumn("unit", F.concat_ws("\x01", "document_id", "section_id"))
-    return graph.capped_edges(p.select("unit", "document_id", "source_id", "target_id"), "unit", ["source_id", "target_id"], 8, "unit string, document_id string, source_id string, target_id string").drop("unit")
-
-
 # ---- rich metagraph -----------------------------------------------------------------------------------------------
 
 

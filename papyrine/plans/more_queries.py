@@ -313,12 +313,6 @@ def _(s, d):
     return current(s, d, "formulas", "symbols").where((F.col("symbols").isNull()) | (F.size("symbols") == 0)).select("document_id", "formula_id")
 
 
-@query("valid_documents", sql("edges", "nodes") + "select n.document_id, coalesce(e.loops, 0) = 0 as valid from (select distinct document_id from nodes) n left join (select document_id, count_if(source_id = target_id) as loops from edges group by 1) e on e.document_id = n.document_id")
-def _(s, d):
-    e = current(s, d, "edges", "source_id", "target_id").groupBy("document_id").agg(F.count_if(F.col("source_id") == F.col("target_id")).alias("loops"))
-    return current(s, d, "nodes", "node_type").select("document_id").distinct().join(e, "document_id", "left").select("document_id", (F.coalesce("loops", F.lit(0)) == 0).alias("valid"))
-
-
 # ---- lookups, selections, updates ---------------------------------------------------------------------------------
 
 

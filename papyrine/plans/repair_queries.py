@@ -54,14 +54,6 @@ def _(s, d):
     return x.where("others > 0")
 
 
-@query("proj_payload", sql("nodes", "edges") + "select n.document_id, n.shown as nodes, coalesce(e.shown, 0) as edges, n.n > 80 as truncated from (select document_id, count(*) as n, least(80, count(*)) as shown from nodes group by 1) n left join (select document_id, least(80, count(*)) as shown from edges group by 1) e on e.document_id = n.document_id")
-def _(s, d):
-    """Sizes of a paper's display payload and whether it is cut off."""
-    n = current(s, d, "nodes", "node_type").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    e = current(s, d, "edges", "edge_type").groupBy("document_id").agg(F.least(F.lit(80), F.count(F.lit(1))).alias("e"))
-    return n.join(e, "document_id", "left").select("document_id", F.least(F.lit(80), F.col("n")).alias("nodes"), F.coalesce("e", F.lit(0)).alias("edges"), (F.col("n") > 80).alias("truncated"))
-
-
 @query("proj_serialized_nodes")
 def _(s, d):
     """First eighty nodes of each paper by id, as JSON."""
@@ -76,11 +68,11 @@ def _(s, d):
     return table(s, d, "paper_profiles", "document_id").where("document_id is not null").distinct().orderBy(F.md5("document_id"), "document_id").limit(20)
 
 
-@query("ops_manual_candidates", _F + "select document_id, formula_id from (select document_id, formula_id, row_number() over (partition by document_id order by coalesce(confidence, 0.0), formula_id) as r from formulas where coalesce(confidence, 0.0) < 0.75 or coalesce(trim(latex), '') = '') where r <= 25")
+@query("ops_manual_candidates", _F + "select document_id, formula_id from (select document_id, formula_id, row_number() over (partition by document_id order by coalesce(confidence, 0.0), formula_id) as r from formulas where coalesce(confidence, 0.0) < 0.75 or coalesce(trim(latex), '') = '') where r <= 5")
 def _(s, d):
     w = Window.partitionBy("document_id").orderBy(F.coalesce("confidence", F.lit(0.0)), "formula_id")
     x = current(s, d, "formulas", "confidence", "latex").where("coalesce(confidence, 0.0) < 0.75 or coalesce(trim(latex), '') = ''")
-    return x.withColumn("r", F.row_number().over(w)).where("r <= 25").select("document_id", "formula_id")
+    return x.withColumn("r", F.row_number().over(w)).where("r <= 5").select("document_id", "formula_id")
 
 
 @query("ops_corrections_latest", "select user_id, event_type, max(ts) as seen, arg_max(value, {'t': ts, 'i': event_id}) as value from events group by 1, 2")

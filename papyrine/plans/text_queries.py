@@ -329,8 +329,8 @@ def _(s, d):
 
 def symbols(s: SparkSession, d: str, *c: str) -> DataFrame:
     """Link table of formulas and their normalised symbols, each pair once."""
-    f = _formulas(s, d, "symbols", *c).select("document_id", "formula_id", *c, F.explode("symbols").alias("x"))
-    return f.select("document_id", "formula_id", *c, latex.symbol(F.col("x")).alias("symbol")).where("symbol is not null").distinct()
+    each = F.array_distinct(F.array_compact(F.transform("symbols", latex.symbol)))
+    return _formulas(s, d, "symbols", *c).select("document_id", "formula_id", *c, F.explode(each).alias("symbol"))
 
 
 @query("symbol_in_latex")

@@ -6,6 +6,7 @@ read on the driver. Decoding of PDF pages and images is a plug: ``decoded`` take
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Callable, Iterator
 
@@ -40,9 +41,14 @@ def text_of(content: Column) -> Column:
 
 
 def tex_files(spark: SparkSession, folder: str) -> DataFrame:
-    """paper, path, content of the TeX files of a folder of papers (one folder each)."""
+    """paper, path, content of the TeX files of a folder of papers: one folder a paper, with any folders inside.
+
+    path is relative to the paper's folder, so that files of one name in several folders stay apart.
+    """
     files = binary(spark, folder, "*.tex")
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("paper"), "path", text_of(F.col("content")).alias("content"), "length")
+    root = re.escape(re.sub(r"^[a-z]+:/*", "/", folder).rstrip("/"))
+    inside = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{root}/", "")
+    return files.select(F.regexp_extract(inside, "^([^/]*)/", 1).alias("paper"), F.regexp_replace(inside, "^[^/]*/", "").alias("path"), text_of(F.col("content")).alias("content"), "length")
 
 
 def main_tex(files: DataFrame) -> DataFrame:
@@ -52,24 +58,38 @@ def main_tex(files: DataFrame) -> DataFrame:
     return files.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+_INCLUDE = re.compile(r"\\(?:input|include)\{([^}]+)\}")
+
+
 def expanded_tex(files: DataFrame) -> DataFrame:
     """paper, content with \\input and \\include replaced by the files they name; missing ones and circles become empty.
 
-    The files of one paper are put together in one task; a paper's source is small.
+    A name is looked up below the paper's folder, then below that of the file that names it, then by its last part if only
+    one file has it. The files of one paper are put together in one task; a paper's source is small.
     """
 
     def paper(p: pd.DataFrame) -> pd.DataFrame:
-        by = {re.sub(r"\.tex$", "", path.rsplit("/", 1)[-1]): text for path, text in zip(p["path"], p["content"], strict=True)}
+        by = {re.sub(r"\.tex$", "", path): text for path, text in zip(p["path"], p["content"], strict=True)}
+        last: dict[str, list[str]] = {}
+        for k in by:
+            last.setdefault(k.rsplit("/", 1)[-1], []).append(k)
         size = lambda k: (3 * ("\\documentclass" in by[k]) + 3 * ("\\begin{document}" in by[k]) + min(3, len(by[k]) / 1e5), k)
         main = max(sorted(by), key=size)
 
-        def open_(name: str, seen: frozenset[str]) -> str:
-            text = by.get(name)
-            if text is None or name in seen:
-                return ""
-            return re.sub(r"\\(?:input|include)\{([^}]+)\}", lambda m: open_(re.sub(r"\.tex$", "", m.group(1).rsplit("/", 1)[-1]), seen | {name}), text)
+        def found(name: str, at: str) -> str | None:
+            name = re.sub(r"\.tex$", "", name.strip())
+            here = posixpath.normpath(posixpath.join(posixpath.dirname(at), name))
+            same = last.get(name.rsplit("/", 1)[-1], [])
+            return next((k for k in (posixpath.normpath(name), here) if k in by), same[0] if len(same) == 1 else None)
+
+        def open_(at: str, seen: frozenset[str]) -> str:
+            def inner(m: re.Match) -> str:
+                k = found(m.group(1), at)
+                return "" if k is None or k in seen else open_(k, seen | {k})
 
-        return pd.DataFrame({"paper": [p["paper"].iloc[0]], "content": [open_(main, frozenset())]})
+            return _INCLUDE.sub(inner, by[at])
+
+        return pd.DataFrame({"paper": [p["paper"].iloc[0]], "content": [open_(main, frozenset((main,)))]})
 
     return files.groupBy("paper").applyInPandas(paper, "paper string, content string")
 
@@ -97,3 +117,21 @@ def text_lines(df: DataFrame, key: str, text: str, width: float = 595.0, height:
 def json_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """JSON documents, one a file, with a schema (no inference over the folder); the file's name is kept."""
     return spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(folder).withColumn("file", F.col("_metadata.file_name"))
+
+
+def upgraded(documents: DataFrame, version: str = "1.1") -> DataFrame:
+    """Documents of an older schema brought up to date: blank strings in arrays dropped, relations once, version set.
+
+    documents have schema_version, and may have relations (an array of structs with type, source_id, target_id); ``upgraded``
+    says whether anything changed.
+    """
+    changed = F.coalesce(F.col("schema_version") != version, F.lit(True))
+    clean: dict[str, Column] = {}
+    for f in documents.schema:
+        if f.dataType.simpleString() == "array<string>":
+            clean[f.name] = F.filter(f.name, lambda x: x.isNotNull() & (F.trim(x) != ""))
+        elif f.name == "relations":
+            clean[f.name] = F.array_distinct(F.filter(f.name, lambda r: r["source_id"].isNotNull() & r["target_id"].isNotNull()))
+    for name, c in clean.items():
+        changed = changed | F.coalesce(F.size(c) != F.size(name), F.lit(False))
+    return documents.select(*[clean.get(c, F.col(c)).alias(c) for c in documents.columns if c != "schema_version"], F.when(changed, version).otherwise(F.col("schema_version")).alias("schema_version"), changed.alias("upgraded"))

@@ -29,3 +29,21 @@ def retained(files: DataFrame, key: str, at: str, newest: int, oldest: str, keep
     top = seen.orderBy(F.desc("seen"), key).limit(newest).select(key, F.lit(False).alias("old"))  # bounded by `newest`
     out = seen.join(F.broadcast(top), key, "left").select(key, "seen", (F.coalesce("old", F.lit(True)) | (F.col("seen") < F.lit(oldest).cast("timestamp"))).alias("expired"))
     return out.withColumn("expired", F.col("expired") & (F.col(key) != keep)) if keep else out
+
+
+#: Tables that one processing run writes, by name; fixed values.
+BUNDLE = ("result", "structured", "graph_ready", "graph_input", "metagraph", "variable_index", "metagraph_validation", "formulas", "formula_interpretations", "rich_metagraph", "metagraph_metrics", "visualization")
+
+
+def save_bundle(tables: dict[str, DataFrame], folder: str, by: list[str] | None = None) -> list[str]:
+    """The tables of a run, each as Parquet by document and as JSON lines; the names that were written.
+
+    A run that is repeated replaces the documents it has and leaves the others; names outside the bundle are an error.
+    """
+    unknown = set(tables) - set(BUNDLE)
+    if unknown:
+        raise ValueError(f"no part of a bundle: {sorted(unknown)}")
+    for name in (n for n in BUNDLE if n in tables):
+        save_table(tables[name], f"{folder}/{name}", by or ["document_id"])
+        save_json(tables[name], f"{folder}/json/{name}")
+    return [n for n in BUNDLE if n in tables]

@@ -17,6 +17,31 @@ def test_tex_tree(spark, tmp_path):
     assert row.paper == "paper1" and "A caf\u00e9  B " in row.content
 
 
+def test_tex_in_folders(spark, tmp_path):
+    p = tmp_path / "paper2"
+    (p / "sections").mkdir(parents=True)
+    (p / "appendix").mkdir()
+    (p / "main.tex").write_text("\\documentclass{x}\\begin{document}\\input{sections/intro} \\input{appendix/intro.tex} \\input{only}\\end{document}")
+    (p / "sections" / "intro.tex").write_text("S \\input{part}")
+    (p / "sections" / "part.tex").write_text("P")
+    (p / "appendix" / "intro.tex").write_text("A")
+    (p / "appendix" / "only.tex").write_text("O \\input{main}")
+    files = readers.tex_files(spark, str(tmp_path)).cache()
+    assert {r.paper for r in files.collect()} == {"paper2"} and files.count() == 5
+    assert "S P A O " in readers.expanded_tex(files).collect()[0].content
+
+
+def test_upgrade_and_bundle(spark, tmp_path):
+    schema = "document_id string, schema_version string, authors array<string>, relations array<struct<type: string, source_id: string, target_id: string>>"
+    rel = ("r", "a", "b")
+    df = spark.createDataFrame([("a", "1.0", ["x", " ", None], [rel, rel, ("r", None, "b")]), ("b", "1.1", ["y"], [rel]), ("c", None, None, None)], schema)
+    got = {r.document_id: r for r in readers.upgraded(df).collect()}
+    assert got["a"].authors == ["x"] and len(got["a"].relations) == 1 and got["a"].schema_version == "1.1" and got["a"].upgraded
+    assert not got["b"].upgraded and got["c"].upgraded and got["c"].schema_version == "1.1"
+    assert writers.save_bundle({"formulas": df.select("document_id", "authors"), "metagraph": df.select("document_id", "schema_version")}, str(tmp_path / "b")) == ["metagraph", "formulas"]
+    assert spark.read.parquet(str(tmp_path / "b" / "formulas")).count() == 3
+
+
 def test_decoder_and_boxes(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny")
     (tmp_path / "b.txt").write_text("")

@@ -48,13 +48,31 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["ref_table", "document_id", "record_id", "ref_key"]
 
 
-def test_capped_edges_respect_the_cap(spark):
-    from papyrine.operators.graph import capped_edges
-
-    rows = [("u", "d", a, b) for a in "abc" for b in "xyz"]
-    out = capped_edges(spark.createDataFrame(rows, "unit string, document_id string, source_id string, target_id string"), "unit", ["source_id", "target_id"], 2, "unit string, document_id string, source_id string, target_id string").collect()
-    for end in ("source_id", "target_id"):
-        assert max(sum(x[end] == v for x in out) for v in {x[end] for x in out}) <= 2
+def test_limited_edges_are_those_of_one_pass(spark):
+    import random
+
+    from papyrine.operators.graph import limited_edges
+
+    r = random.Random(5)
+    rows = sorted({("d", r.randint(0, 3), f"n{r.randint(0, 14):02d}", f"n{r.randint(0, 14):02d}") for _ in range(260)}, key=lambda x: x[1:])
+    want, degree = [], {}
+    for d, p, a, b in rows:
+        if a != b and degree.get(a, 0) < 3 and degree.get(b, 0) < 3:
+            want.append((d, p, a, b))
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    df = spark.createDataFrame(rows, "document_id string, priority int, source_id string, target_id string")
+    got = limited_edges(df, "document_id", ["priority", "source_id", "target_id"], 3).collect()
+    assert sorted((x.document_id, x.priority, x.source_id, x.target_id) for x in got) == sorted(want)
+    assert limited_edges(df.where("false"), "document_id", ["priority", "source_id", "target_id"], 3).count() == 0
+
+
+def test_mass_of_containers_of_any_depth(spark):
+    from papyrine.operators.graph import rolled_up
+
+    chain = [("d", f"m{i:02d}", f"m{i + 1:02d}") for i in range(14)] + [("d", "m14", "a"), ("d", "m14", "b"), ("d", "m03", "a"), ("d", "x", "y"), ("d", "y", "x"), ("d", "z", "gone")]
+    own = spark.createDataFrame([("d", "a", 2.5), ("d", "b", 1.0)], "document_id string, id string, mass double")
+    got = {x.id: x.mass for x in rolled_up(spark.createDataFrame(chain, "document_id string, parent string, child string"), own).collect()}
+    assert got["m14"] == 3.5 and got["m04"] == 3.5 and got["m03"] == 6.0 and got["m00"] == 6.0 and got["x"] == got["y"] == got["z"] == 1.0
 
 
 def test_components_of_a_long_path(spark):
