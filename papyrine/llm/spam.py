@@ -122,18 +122,47 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def language_models(df: DataFrame) -> dict[str, dict[str, float]]:
-    """word -> share by language, of all words that make up LEAST_SHARE of it; df has lang and text, all labelled rows count."""
+class Models:
+    """Shares of words in prose by language, as rows of a sparse table: word -> (languages, shares)."""
+
+    def __init__(self, rows: dict[str, list]):
+        self.languages = sorted(set(rows["lang"]))
+        number = {g: k for k, g in enumerate(self.languages)}
+        words_of: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for g, w, x in zip(rows["lang"], rows["word"], rows["share"], strict=True):
+            words_of[w].append((number[g], x))
+        self.index = {w: k for k, w in enumerate(words_of)}
+        self.start = np.cumsum([0, *map(len, words_of.values())])
+        self.lang = np.array([g for v in words_of.values() for g, _ in v], np.int64)
+        self.share = np.array([x for v in words_of.values() for _, x in v], np.float64)
+
+    def compared(self, counts: Counter) -> tuple[str, float, float]:
+        """Nearest language, share in common with it, and by how much one word exceeds its share there."""
+        n = sum(counts.values())
+        known = [(self.index[w], k) for w, k in counts.items() if w in self.index]
+        most = max((k for w, k in counts.items() if w not in self.index), default=0) / n
+        if not known:
+            return "", 0.0, most
+        rows, k = np.array(known, np.int64).T
+        q = k / n
+        size = self.start[rows + 1] - self.start[rows]
+        of = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + self.start[rows][of]
+        near = np.bincount(self.lang[at], np.minimum(self.share[at], q[of]), len(self.languages))
+        g = len(near) - 1 - int(np.argmax(near[::-1]))  # of equals the last name
+        own = self.lang[at] == g
+        q[of[own]] -= self.share[at][own]
+        return self.languages[g], float(near[g]), float(max(most, q.max()))
+
+
+def language_models(df: DataFrame) -> Models:
+    """Shares of all words that make up LEAST_SHARE of a language; df has lang and text, all labelled rows count."""
     counts = cut(df.where("lang is not null").select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     shares = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").select("lang", "word", (F.col("n") / F.col("all")).alias("share"))  # one row a language
-    model: dict[str, dict[str, float]] = defaultdict(dict)
-    rows = shares.where(F.col("share") >= LEAST_SHARE).toArrow().to_pydict()
-    for g, w, x in zip(rows["lang"], rows["word"], rows["share"], strict=True):
-        model[w][g] = x
-    return dict(model)
+    return Models(shares.where(F.col("share") >= LEAST_SHARE).toArrow().sort_by([("word", "ascending"), ("lang", "ascending")]).to_pydict())
 
 
-def curves(df: DataFrame, key: str, text: str, model: dict[str, dict[str, float]]) -> DataFrame:
+def curves(df: DataFrame, key: str, text: str, model: Models) -> DataFrame:
     """Per page: nearest language, number of words, share in common, head, shares of sentences and numbers, curve."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -145,20 +174,12 @@ def curves(df: DataFrame, key: str, text: str, model: dict[str, dict[str, float]
                 if not c:
                     continue
                 n = sum(c.values())
-                near: dict[str, float] = defaultdict(float)
-                for w, k in c.items():
-                    own = model.get(w)
-                    if own:
-                        s = k / n
-                        for g, p in own.items():
-                            near[g] += p if p < s else s
-                g, o = max(near.items(), key=lambda x: (x[1], x[0])) if near else ("", 0.0)
+                g, o, h = model.compared(c)
                 spectrum = sorted(Counter(c.values()).items(), reverse=True)
                 at.append(i)
                 lang.append(g)
                 n_words.append(n)
                 common.append(o)
-                h = max(k / n - (model[w].get(g, 0.0) if w in model else 0.0) for w, k in c.items())
                 head.append(h)
                 needed = o < NEEDED_COMMON or h > NEEDED_HEAD
                 sent.append(sentence_share(t) if needed else None)
