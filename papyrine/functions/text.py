@@ -54,7 +54,7 @@ def markers(c: Column) -> Column:
 
 def references(c: Column) -> Column:
     """Distinct numbers in parentheses, as equations are referred to."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\(([0-9]+[a-z]?)\)"), 1))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\(([0-9]{1,4}[a-zA-Z]?)\)"), 1))
 
 
 def section_level(title: Column) -> Column:
@@ -154,8 +154,8 @@ def dehyphenated(c: Column) -> Column:
 
 
 def mentions(c: Column) -> Column:
-    """Distinct symbols named in prose: indexed ones and single capitals (but I and A)."""
-    found = F.regexp_extract_all(c, F.lit(r"(?:^|[^A-Za-z0-9_])([A-Za-z]_[0-9]+|[A-Z])(?=$|[^A-Za-z0-9_'])"), 1)
+    """Distinct symbols named in prose: indexed capitals, single capitals (but I and A), and functions of one letter."""
+    found = F.regexp_extract_all(c, F.lit(r"(\b[A-Z]_[A-Za-z0-9]+\b|\b[A-Z]\b|\b[A-Za-z]\([A-Za-z]\))"), 1)
     return F.array_distinct(F.filter(found, lambda x: ~x.isin("I", "A")))
 
 

@@ -102,17 +102,6 @@ def _(s, d):
     return x.select("document_id", "formula_id", F.trim(F.substring(F.col("latex"), F.lit(1), at - 1)).alias("left_side"), F.trim(F.substring(F.col("latex"), at + 1, F.length("latex"))).alias("right_side"))
 
 
-@query("latex_interpretation", sql("formulas", "contexts") + """select f.document_id, f.formula_id, cast(least(95, 55 + case when coalesce(trim(f.latex), '') <> '' then 15 else 0 end + case when coalesce(c.current_sentence, '') <> '' then 10 else 0 end + case when contains(lower(coalesce(c.current_sentence, '')), 'denotes') then 15 else 0 end) as int) as confidence,
-substr(trim(regexp_replace(coalesce(c.current_sentence, ''), '\\s+', ' ', 'g')), 1, 300) as hint from formulas f left join contexts c on c.document_id = f.document_id and c.formula_id = f.formula_id""")
-def _(s, d):
-    """Confidence of an interpretation in per cent, and a hint at the context it rests on: by definition its first 300 characters."""
-    j = current(s, d, "formulas", "latex").join(current(s, d, "contexts", "current_sentence"), ["document_id", "formula_id"], "left")
-    near = F.coalesce("current_sentence", F.lit(""))
-    plus = lambda c, n: F.when(c, n).otherwise(0)
-    score = 55 + plus(F.coalesce(F.trim("latex"), F.lit("")) != "", 15) + plus(near != "", 10) + plus(F.contains(F.lower(near), F.lit("denotes")), 15)
-    return j.select("document_id", "formula_id", F.least(F.lit(95), score).cast("int").alias("confidence"), F.substring(F.trim(F.regexp_replace(near, r"\s+", " ")), 1, 300).alias("hint"))
-
-
 @query("symbol_single_letters", _F + r"select distinct document_id, formula_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(latex, '\\[A-Za-z]+', ' ', 'g'), '[A-Za-z]_[0-9]+', ' ', 'g'), '[A-Za-z]')) as symbol from formulas")
 def _(s, d):
     rest = F.regexp_replace(F.regexp_replace("latex", r"\\[A-Za-z]+", " "), r"[A-Za-z]_[0-9]+", " ")
@@ -162,12 +151,6 @@ def _(s, d):
 # ---- layout and tiers ---------------------------------------------------------------------------------------------
 
 
-@query("geo_above_below", sql("layers") + "select document_id, block_id, lag(block_id) over w as above_id, lead(block_id) over w as below_id from layers where bbox is not null window w as (partition by document_id, page_number order by (bbox.y0 + bbox.y1) / 2, block_id)")
-def _(s, d):
-    w = Window.partitionBy("document_id", "page_number").orderBy((F.col("bbox.y0") + F.col("bbox.y1")) / 2, "block_id")
-    return current(s, d, "layers", "page_number", "bbox").where("bbox is not null").select("document_id", "block_id", F.lag("block_id").over(w).alias("above_id"), F.lead("block_id").over(w).alias("below_id"))
-
-
 @query("merge_formula_block_tiers", sql("formulas", "blocks") + """, t as (select distinct b.document_id, b.block_id, b.ord, u.token from blocks b, unnest(b.formula_tokens) as u(token)), one as (select document_id, token, arg_min(block_id, {'o': ord, 'b': block_id}) as block_id from t where token is not null group by 1, 2),
 sec as (select document_id, section_id, arg_min(block_id, {'o': ord, 'b': block_id}) as block_id from blocks where section_id is not null group by 1, 2)
 select f.document_id, f.formula_id, coalesce(one.block_id, sec.block_id) as block_id, case when one.block_id is not null then 'token' when sec.block_id is not null then 'section' else 'none' end as tier from formulas f left join one on one.document_id = f.document_id and one.token = f.token left join sec on sec.document_id = f.document_id and sec.section_id = f.section_id""")
@@ -342,12 +325,6 @@ def _(s, d):
     return x.where("attributes is not null and v._bad is null").select("document_id", "edge_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0)))).alias("confidence")).distinct()
 
 
-@query("ops_document_ids", "select distinct paper_id, substr(regexp_replace(lower(paper_id), '[^a-z0-9]+', '-', 'g'), 1, 80) || '_' || strftime(first_seen, '%Y%m%d_%H%M%S') as new_id from (select paper_id, min(loaded_at) as first_seen from documents where paper_id is not null group by 1)")
-def _(s, d):
-    x = table(s, d, "documents", "paper_id", "loaded_at").where("paper_id is not null").groupBy("paper_id").agg(F.min("loaded_at").alias("first_seen"))
-    return x.select("paper_id", F.concat(F.substring(F.regexp_replace(F.lower("paper_id"), "[^a-z0-9]+", "-"), 1, 80), F.lit("_"), F.date_format("first_seen", "yyyyMMdd_HHmmss")).alias("new_id"))
-
-
 @query("ops_main_source", "select paper_id, arg_max(doc_id, {'s': round(case when contains(text, '\\section') then 3 else 0 end + least(3.0, length(text) / 100000.0), 6), 'd': -doc_id}) as doc_id from documents where paper_id is not null and text is not null group by 1")
 def _(s, d):
     """Main text of each paper by score; ties go to the smaller id."""

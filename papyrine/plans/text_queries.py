@@ -119,7 +119,7 @@ def _(s, d):
     return current(s, d, "blocks", "text_with_tokens").select("document_id", "block_id", F.explode(text.tokens(F.col("text_with_tokens"))).alias("token"))
 
 
-@query("context_formula_refs", sql("blocks") + "select distinct document_id, block_id, unnest(regexp_extract_all(text, '\\(([0-9]+[a-z]?)\\)', 1)) as ref from blocks")
+@query("context_formula_refs", sql("blocks") + "select distinct document_id, block_id, unnest(regexp_extract_all(text, '\\(([0-9]{1,4}[a-zA-Z]?)\\)', 1)) as ref from blocks")
 def _(s, d):
     return current(s, d, "blocks", "text").select("document_id", "block_id", F.explode(text.references(F.col("text"))).alias("ref"))
 
@@ -168,11 +168,6 @@ def _(s, d):
     return current(s, d, "nodes", "node_type").select("document_id", "node_id", text.safe_id(F.col("node_id")).alias("safe"))
 
 
-@query("ops_short_labels", sql("nodes") + "select document_id, node_id, case when length(node_label) > 24 then rtrim(node_label[1:24], ' ') || '...' else node_label end as label from nodes")
-def _(s, d):
-    return current(s, d, "nodes", "node_label").select("document_id", "node_id", text.clip(F.col("node_label"), 24).alias("label"))
-
-
 @query("ops_arxiv_ids", "select paper_id, nullif(regexp_extract(lower(coalesce(text, '')), '([0-9]{4}\\.[0-9]{4,5}(?:v[0-9]+)?|[a-z-]+(?:\\.[A-Z]{2})?/[0-9]{7}(?:v[0-9]+)?)', 1), '') as arxiv from documents")
 def _(s, d):
     return table(s, d, "documents", "paper_id", "text").select("paper_id", text.arxiv_id(F.lower(F.coalesce("text", F.lit("")))).alias("arxiv"))
@@ -183,12 +178,6 @@ def _(s, d):
     return table(s, d, "paper_profiles", "document_id", "authors").select("document_id", F.explode(text.id_list(F.array_join("authors", ", "))).alias("part"))
 
 
-@query("ops_formula_kind_labels", sql("formulas") + "select document_id, formula_id, case kind when 'inline_math' then 'inline' when 'display_math' then 'block' else 'unknown' end as shape from formulas")
-def _(s, d):
-    shape = F.when(F.col("kind") == "inline_math", "inline").when(F.col("kind") == "display_math", "block").otherwise("unknown")
-    return current(s, d, "formulas", "kind").select("document_id", "formula_id", shape.alias("shape"))
-
-
 def _formulas(s: SparkSession, d: str, *c: str) -> DataFrame:
     return current(s, d, "formulas", *c)
 
