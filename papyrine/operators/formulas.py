@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.operators.graph import limited_edges
+
 #: Environments whose body is displayed mathematics; fixed names.
 ENVIRONMENTS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath")
 _DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{(%s)\*?\}(.+?)\\end\{\3\*?\}" % "|".join(ENVIRONMENTS), re.S)
@@ -134,28 +136,29 @@ def similarity(a: str, b: str) -> float:
     return 0.65 * SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.35 * (len(wa & wb) / len(wa | wb) if wa | wb else 0.0)
 
 
-def aligned(read: DataFrame, tex: DataFrame, least: float = 0.42) -> DataFrame:
+#: Least similarity of formulas of one kind that are taken for the same; fixed values.
+LEAST_INLINE, LEAST_DISPLAY = 0.42, 0.28
+
+
+def aligned(read: DataFrame, tex: DataFrame) -> DataFrame:
     """(document_id, section_id, read_id, tex_id, score): greedy one-to-one match of recognised formulas to TeX ones.
 
-    read and tex have document_id, section_id, id, latex. Candidates meet by section and by a word they share, best
-    score first; who is taken depends on all before in the section, so a section is worked through at once.
+    read and tex have document_id, section_id, id, kind, latex. Candidates are of one kind and section and share a word;
+    each pair is scored where it lies, and who is taken, best score first, is decided in rounds by single formulas, never
+    by whole sections. Formulas without a partner are left out.
     """
-    words = lambda df, name: df.select("document_id", "section_id", F.col("id").alias(f"{name}_id"), F.col("latex").alias(f"{name}_latex"), F.explode(F.array_distinct(F.regexp_extract_all("latex", F.lit(r"(\\[A-Za-z]+|[A-Za-z]_?[0-9]*)"), 1))).alias("w"))
-    pairs = words(read, "read").join(words(tex, "tex"), ["document_id", "section_id", "w"]).drop("w").distinct()
-
-    def section(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(score=[round(similarity(a, b), 6) for a, b in zip(p["read_latex"], p["tex_latex"], strict=True)])
-        p = p[p["score"] >= least].sort_values(["score", "read_id", "tex_id"], ascending=[False, True, True])
-        used_a, used_b, keep = set(), set(), []
-        for a, b in zip(p["read_id"], p["tex_id"], strict=True):
-            ok = a not in used_a and b not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(a)
-                used_b.add(b)
-        return p.loc[pd.Series(keep, index=p.index, dtype=bool), ["document_id", "section_id", "read_id", "tex_id", "score"]]
-
-    return pairs.groupBy("document_id", "section_id").applyInPandas(section, "document_id string, section_id string, read_id string, tex_id string, score double")
+    words = lambda df, name: df.where("latex is not null").select("document_id", "section_id", "kind", F.col("id").alias(f"{name}_id"), F.col("latex").alias(f"{name}_latex"), F.explode(F.array_distinct(F.regexp_extract_all("latex", F.lit(r"(\\[A-Za-z]+|[A-Za-z0-9_]+)"), 1))).alias("w"))
+    pairs = words(read, "read").join(words(tex, "tex"), ["document_id", "section_id", "kind", "w"]).drop("w").distinct()
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            p["score"] = [round(similarity(a, b), 6) for a, b in zip(p["read_latex"], p["tex_latex"], strict=True)]
+            yield p[["document_id", "section_id", "kind", "read_id", "tex_id", "score"]]
+
+    own = pairs.mapInPandas(scored, "document_id string, section_id string, kind string, read_id string, tex_id string, score double")
+    own = own.where(F.col("score") >= F.when(F.col("kind") == "display_math", LEAST_DISPLAY).otherwise(LEAST_INLINE))
+    edges = own.select("document_id", F.concat(F.lit("read:"), "read_id").alias("source_id"), F.concat(F.lit("tex:"), "tex_id").alias("target_id"), (-F.col("score")).alias("place"), "section_id", "read_id", "tex_id", "score")
+    return limited_edges(edges, "document_id", ["place", "source_id", "target_id"], 1).select("document_id", "section_id", "read_id", "tex_id", "score")
 
 
 def tex_events(df: DataFrame, key: str, tex: str) -> DataFrame:

@@ -43,7 +43,7 @@ def _(s, d):
 
 @query("latex_align_sources")
 def _(s, d):
-    f = current(s, d, "formulas", "latex", "text_source", "section_id").where("latex is not null and section_id is not null").withColumnRenamed("formula_id", "id")
+    f = current(s, d, "formulas", "latex", "kind", "text_source", "section_id").where("latex is not null and section_id is not null").withColumnRenamed("formula_id", "id")
     return op.aligned(f.where("text_source <> 'tex_source'"), f.where("text_source = 'tex_source'"))
 
 

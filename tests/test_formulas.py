@@ -25,8 +25,9 @@ def test_tables(spark):
     assert op.detected(df.where("false"), ["block_id"], "text").count() == 0
     rows = {r.block_id: r for r in op.described(df.withColumnRenamed("text", "latex"), ["block_id"], "latex").collect()}
     assert rows["2"].sanity == 0.82 and rows["1"].left_side == "$x$ and y"
-    read = spark.createDataFrame([("d", "s", "r1", "a_1 = b"), ("d", "s", "r2", "a_1 = c"), ("d", "s", "r3", "zz")], "document_id string, section_id string, id string, latex string")
-    tex = spark.createDataFrame([("d", "s", "t1", "a_1 = b"), ("d", "s", "t2", "a_1 = q")], "document_id string, section_id string, id string, latex string")
+    schema = "document_id string, section_id string, kind string, id string, latex string"
+    read = spark.createDataFrame([("d", "s", "inline_math", "r1", "a_1 = b"), ("d", "s", "inline_math", "r2", "a_1 = c"), ("d", "s", "inline_math", "r3", "zz"), ("d", "s", "display_math", "r4", "a_1 = b"), ("d", "s", "inline_math", "r5", None)], schema)
+    tex = spark.createDataFrame([("d", "s", "inline_math", "t1", "a_1 = b"), ("d", "s", "inline_math", "t2", "a_1 = q")], schema)
     got = {r.read_id: r.tex_id for r in op.aligned(read, tex).collect()}
     assert got == {"r1": "t1", "r2": "t2"}
     assert op.aligned(read.where("false"), tex).count() == 0
