@@ -30,6 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.operators.common import broadcast_if_small
+
+#: Spellings of labels that are broadcast at most; a larger table is joined by shuffle.
+SPELLINGS = 100_000
 #: Labelled rows that the classifier is fitted on, taken by the hash of their key, and lines of them.
 SAMPLE, LINES, ROW_LINES = 4000, 12_000, 5
 BUCKETS, DIM, RATE = 1 << 16, 16, 0.6
@@ -228,7 +232,7 @@ def fit(df: DataFrame, key: str, text: str, label: str, codes: DataFrame) -> Cla
     where a few keys hold more rows than that, twice as many at most)."""
     table, own = spelled(F.col(label), codes, "language")
     rows = df.where(f"{text} is not null").select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), own.alias("language_key"))
-    rows = rows.join(F.broadcast(table), "language_key")  # spellings: a fixed reference table
+    rows = rows.join(broadcast_if_small(table, SPELLINGS), "language_key")
     share = rows.select("key").withColumn("h", F.xxhash64("key")).groupBy(F.shiftright("h", 50).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()  # 16,384 rows at most
     bound, n = None, 0
     for r in share:

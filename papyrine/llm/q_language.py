@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import language as op
-from papyrine.operators.common import cut
+from papyrine.operators.common import broadcast_if_small
 from papyrine.sources.tables import table
 
 RECORD = ["record_table", "document_id", "record_id"]
@@ -15,7 +15,7 @@ RECORD = ["record_table", "document_id", "record_id"]
 def _wrong(df: DataFrame, label: str, codes: DataFrame) -> DataFrame:
     """df with ``wrong``: the label is missing, or means another language than the text's."""
     t, own = op.spelled(F.col(label), codes, "labelled")
-    x = df.withColumn("labelled_key", own).join(F.broadcast(t), "labelled_key", "left")
+    x = df.withColumn("labelled_key", own).join(broadcast_if_small(t, op.SPELLINGS), "labelled_key", "left")
     missing = F.col("labelled_key").isNull() | F.lower("labelled_key").isin("", "unknown", "und")
     return x.withColumn("wrong", missing | F.coalesce(F.col("labelled") != F.col("language"), F.lit(True)) & (F.col("language") != "und"))
 

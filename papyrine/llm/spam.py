@@ -34,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.operators.common import cut
+from papyrine.operators.common import broadcast_if_small, cut
 
+#: Spellings of labels that are broadcast at most; a larger table is joined by shuffle.
+SPELLINGS = 100_000
 #: Words of a language's model have at least this share of its words, so a language has at most one in LEAST_SHARE.
 LEAST_SHARE = 1e-5
 #: Pages of a language and length weigh as much as those of all languages if there are so many of them.
@@ -246,6 +248,6 @@ def judged(pages: DataFrame) -> DataFrame:
 
 def spam(df: DataFrame, key: str, text: str, label: str, codes: DataFrame) -> DataFrame:
     """Every page with its figures; codes maps labels (label_code) to languages (lang) and has a row for each spelling."""
-    spelled = F.broadcast(codes.select(F.col("label_code").alias("spelling"), F.col("lang").alias("language")).dropDuplicates(["spelling"]))
+    spelled = broadcast_if_small(codes.select(F.col("label_code").alias("spelling"), F.col("lang").alias("language")).dropDuplicates(["spelling"]), SPELLINGS)
     labelled = df.select(F.col(text).cast("string").alias("text"), F.trim(F.col(label)).alias("spelling")).join(spelled, "spelling").select(F.col("language").alias("lang"), "text")
     return judged(fitted(curves(df, key, text, language_models(labelled))))
