@@ -67,9 +67,9 @@ def from_text(c: Column) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    c = braced(commands(stripped(c)))
-    c = F.regexp_replace(c, r"\s+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*([{}()])\s*", "$1"), r"\s*([=<>+])\s*", " $1 "))
+    """Delimiters off, commands and scripts in one spelling, white space single and none inside brackets."""
+    c = F.regexp_replace(braced(commands(stripped(c))), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"([(\[{])\s+", "$1"), r"\s+([)\]}])", "$1"))
 
 
 def _alias(c: Column) -> Column:

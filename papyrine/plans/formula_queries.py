@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papyrine.functions import latex, notation, text
 from papyrine.operators import formulas as op
 from papyrine.plans.base import current, sql
+from papyrine.plans.definitions import DEF
 from papyrine.plans.graph_queries import _FSQ, definitions, fs
 from papyrine.sources.tables import table
 
@@ -159,7 +160,7 @@ def _(s, d):
     return current(s, d, "formulas", "confidence").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence").isNull()).alias("unknown"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.round(F.sum("confidence"), 4).alias("total"))
 
 
-@query("corpus_concept_links")
+@query("corpus_concept_links", DEF + "select symbol, lower(definition) as meaning, min(document_id) as first_document, count(distinct document_id) - 1 as others from defs group by 1, 2 having count(distinct document_id) > 1")
 def _(s, d):
     """Definitions that several papers give of one symbol: the first paper and how many follow, without pairs."""
     x = definitions(s, d).select("symbol", F.lower("definition").alias("meaning"), "document_id").distinct()

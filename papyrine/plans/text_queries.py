@@ -140,7 +140,9 @@ def _(s, d):
     return rows.select("document_id", "block_id", "token", text.token_window(F.col("text_with_tokens"), F.col("token")).alias("near"))
 
 
-@query("context_sentence_of_token")
+@query("context_sentence_of_token", sql("blocks") + """, t as (select distinct document_id, block_id, text_with_tokens as x, unnest(regexp_extract_all(text_with_tokens, '\\[FORMULA_[0-9]+\\]')) as token from blocks),
+p as (select *, list_filter(list_transform(regexp_extract_all(x, '([^.!?。！？]+[.!?。！？]*)', 1), lambda v: trim(v)), lambda v: v <> '') as ss from t), q as (select *, coalesce(list_position(list_transform(ss, lambda v: contains(v, token)), true), 0) as spot from p)
+select document_id, block_id, token, case when spot > 1 then ss[spot - 1] end as before, case when spot > 0 then ss[spot] end as own, case when spot > 0 and spot < len(ss) then ss[spot + 1] end as after from q""")
 def _(s, d):
     """Sentence with a token, and its neighbours."""
     rows = current(s, d, "blocks", "text_with_tokens").select("document_id", "block_id", text.sentences(F.col("text_with_tokens")).alias("ss"), F.explode(text.tokens(F.col("text_with_tokens"))).alias("token"))
