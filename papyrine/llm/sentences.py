@@ -218,10 +218,11 @@ class Model:
     """
 
     def __init__(self, contexts: list[tuple], rounds: int = ROUNDS):
-        """contexts: (kind, left, mark, right, second, n); for kind END, right and second are how the line begins."""
+        """contexts: (kind, left, mark, right, second, n) as ``contexts_of`` gives them, with their counts."""
         unigram: Counter = Counter()
-        for _, _, _, r, _, n in contexts:
-            unigram[r] += n
+        for k, _, _, r, _, n in contexts:
+            if k != END:
+                unigram[r] += n
         by_shape: Counter = Counter()
         for w, n in unigram.items():
             by_shape[shape(w), script(w)] += n
@@ -256,6 +257,7 @@ class Model:
         for k, l, m, r, s, n in contexts:
             if k == END:
                 self._see(l, m or "_", n, n)
+            elif k == START:
                 self._follow("S", "", "", r, s, n)
         for (_, l, m, r, s, n), p in zip(hidden, post.tolist(), strict=True):
             self._see(l, m, n * p, n)
@@ -323,14 +325,14 @@ class Model:
         out, run = [], []
         for c in places(text):
             if c[1] == END:
-                out += self._decide(run)
+                out += self._decide(text, run)
                 run = []
                 out.append(c[0])
             else:
                 run.append(c)
-        return out + self._decide(run)
+        return out + self._decide(text, run)
 
-    def _decide(self, run: list[tuple]) -> list[int]:
+    def _decide(self, text: str, run: list[tuple]) -> list[int]:
         if not run:
             return []
         if len(run) == 1:
@@ -341,8 +343,8 @@ class Model:
         for i, c in enumerate(run):
             p = self.posterior(*c[2:6])
             after = p
-            if i and c[2] == run[i - 1][4]:  # this place's left word is the right word of the one before
-                after = p * STUB_FACTOR if len(c[2]) <= STUB else p
+            if i and len(c[2]) <= STUB and c[2] == run[i - 1][4] and len(text[run[i - 1][0] : c[0]].split()) == 1:
+                after = p * STUB_FACTOR  # nothing but this stub stands between the place before and this one
             odds.append((p, after))
         f = [(1 - odds[0][0], odds[0][0])]
         for p, after in odds[1:]:
@@ -358,6 +360,17 @@ class Model:
         return [c[0] for c, (f0, f1), (b0, b1) in zip(run, f, b, strict=True) if f1 * b1 > f0 * b0]
 
 
+def contexts_of(text: str) -> Iterator[tuple[int, str, str, str, str]]:
+    """What the model counts of a text: (kind, left, mark, right, second) of hidden places, and of each line its end (left
+    and mark) and its start (right and second) apart, as neither is ever asked for together with the other."""
+    for _, kind, left, mark, right, second in places(text):
+        if kind == END:
+            yield END, left, mark, "", ""
+            yield START, "", "", right, second
+        else:
+            yield kind, left, mark, right, second
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -368,7 +381,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                counts.update(c[1:] for c in places(t))
+                counts.update(contexts_of(t))
         if len(counts) > 300_000:
             yield out()
             counts.clear()

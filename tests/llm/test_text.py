@@ -86,7 +86,7 @@ def sentence_texts(seed, n=400):
 def fitted(texts):
     from collections import Counter
 
-    c = Counter(x[1:] for t in texts for x in sentences.places(t))
+    c = Counter(x for t in texts for x in sentences.contexts_of(t))
     return sentences.Model([(*k, n) for k, n in c.items()])
 
 
