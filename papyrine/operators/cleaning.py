@@ -231,3 +231,56 @@ def applied(df: DataFrame, keys: list[str], column: str, functions: dict[str, tu
 
     types = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema] + [f"{k} {t}" for k, (_, t) in functions.items()])
     return df.select(*keys, F.col(column).cast("string").alias("_v")).mapInArrow(run, types)
+
+
+# ---- usable formulas ----------------------------------------------------------------------------------------------
+
+#: What a usable formula holds, and names that are no suspicious words in it; fixed values.
+_STRUCTURE = ("\\frac", "\\partial", "\\sum", "\\int", "\\begin", "\\sqrt", "\\lim", "\\operatorname", "\\mathbb", "\\in", "\\to", "\\cup", "\\subset", "=")
+_ALLOWED = frozenset(("alpha", "beta", "gamma", "delta", "theta", "sigma", "lambda", "omega", "mathrm", "mathit"))
+_MARKS = ("\\frac", "\\partial", "\\sum", "\\int", "\\begin", "=", "_", "^")
+
+
+def usable(x: str) -> bool:
+    """Whether a recognised formula can be kept as one: 2 to 1,600 characters with structure and little prose."""
+    if not 2 <= len(x) <= 1600 or re.fullmatch(r"[\W_]+", x) or not any(s in x for s in _STRUCTURE):
+        return False
+    words = [w for w in re.findall(r"[A-Za-zА-Яа-яЁё]{5,}", re.sub(r"\\[A-Za-z]+", " ", x)) if w.lower() not in _ALLOWED]
+    marks = sum(map(x.count, _MARKS))
+    boxes = any(s in x for s in ("\\mathrm", "\\mathit", "\\text"))
+    return not (boxes and words and marks < 3 or len(words) >= 2 and marks < 4)
+
+
+def shape(x: str, label: str = "") -> str:
+    """``inline`` or ``block``, by what the recogniser says or by what the formula holds."""
+    if "inline" in label:
+        return "inline"
+    return "block" if any(s in x for s in ("\\begin", "\\sum", "\\int", "\\lim", "=", "\\cup", "\\subset")) or len(x) > 80 else "inline"
+
+
+def structure_score(x: str) -> int:
+    """How much structure a formula has, as ``latex.structure_score`` counts it."""
+    n = lambda *own: sum(map(x.count, own))
+    score = 4 * n("\\frac", "\\lim", "\\sum", "\\int", "\\sqrt") + 3 * n("\\cdots") + 2 * n("_", "^", "\\to", "\\infty", "\\circ", "\\cdot", "\\cup", "\\cap") + n("=")
+    return score - 3 * n("\\therefore") - 4 * len(re.findall(r"_\{[^{}]+\}\s*-\s*\d", x)) - len(re.findall(r"[A-Za-z]{8,}", x))
+
+
+def _row(x: str) -> str:
+    x = re.sub(r"\\(?:quad|qquad|;|,|!|:)\s*", " ", x.strip().replace("&", " "))
+    x = re.sub(r"\}+\s*$", "", re.sub(r"^\s*\{+", "", re.sub(r"\{\s*\}", " ", x)))
+    return repaired(re.sub(r"\s+", " ", re.sub(r"^\s*\{(.+)\}\s*$", r"\1", x)))
+
+
+def salvaged(x: str) -> str | None:
+    """The best row of a formula that holds prose or is very long, with its left side put back; None if there is none."""
+    if not {"contains_prose", "very_long_formula"} & set(flags(x)):
+        return None
+    rows = re.split(r"\\\\+", re.sub(r"\\end\{(?:array|aligned|gathered)\}", "", re.sub(r"\\begin\{(?:array|aligned|gathered)\}\{[^{}]*\}", "", x)))
+    good = [r for r in map(_row, rows) if len(r) >= 4 and not {"contains_prose", "weird_unicode", "unbalanced_braces"} & set(flags(r)) and any(s in r for s in ("=", "\\frac", "\\sum", "\\lim", "\\cup", "\\cap", "_", "^"))]
+    if not good:
+        return None
+    best = max(good, key=structure_score)
+    left = re.match(r"^\s*([A-Za-z](?:_\{?\w+\}?)?)\s*=", x)
+    if left and re.match(r"^n\s*=\\sum", best):
+        return left.group(1) + best[best.find("=") :]
+    return left.group(1) + best if left and best.startswith("=") else best

@@ -154,7 +154,7 @@ def advance(state: OrphanState, answered: DataFrame, refs: DataFrame, arrivals:
     live = known.where("live > 0").select(*KEY, "live")
     key = list(KEY)
     columns = state.waiting.columns
-    ended = known.where("live <= 0").select(*KEY)
+    ended = state.live.select(*KEY).join(known.where("live <= 0").select(*KEY), key, "left_semi")
     resolved = state.waiting.join(live, key, "left_semi").select(*columns)
     reopened = answered.join(ended, key, "left_semi").select(*columns)
     waiting = state.waiting.unionByName(refs.select(*columns)).unionByName(reopened).join(live, key, "left_anti").select(*columns)
@@ -189,7 +189,7 @@ def fold(refs: DataFrame, arrivals: DataFrame, months: int = 12) -> Iterator[tup
         new = refs.where(inside("at") + ("" if start else " or at is null"))
         state, batch = advance(state, kept, new, arrivals.where(inside("loaded_at")), end)
         yield end, state, batch
-        kept, start = kept.unionByName(new).unionByName(batch.resolved), end
+        kept, start = kept.unionByName(new).unionByName(batch.resolved).join(state.live.select(*KEY), list(KEY), "left_semi").select(*refs.columns), end
 
 
 def orphans(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
