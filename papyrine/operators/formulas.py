@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.operators.graph import limited_edges
+from papyrine.operators.reading import plain
 
 #: Environments whose body is displayed mathematics; fixed names.
 ENVIRONMENTS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath")
@@ -25,8 +26,6 @@ _SIDE = r"[A-Za-zα-ωΑ-Ω0-9_.()√/·+\- ]"
 _RELATION = re.compile(rf"(?<![\w.])((?:[A-Za-zα-ω](?:_\d+)?)(?:\([A-Za-zα-ω_\d]+\))?)\s*(=|<|>|≤|≥)\s*((?:[A-Za-zα-ω](?:_\d+)?|\d+(?:\.\d+)?|√\([^()]{{1,40}}\))(?:\s*[-+·/]\s*|\s+)?(?:(?:[A-Za-zα-ω](?:_\d+)?|\d+(?:\.\d+)?)(?![A-Za-zα-ω]))?(?:\s*[-+·/]\s*(?:[A-Za-zα-ω](?:_\d+)?|\d+(?:\.\d+)?)(?![A-Za-zα-ω]))?)")
 #: Confidence of each stage of detection; fixed values.
 STAGES = {"block": 0.82, "inline": 0.78, "prose": 0.72}
-#: Reading of commands and signs; fixed values.
-SPOKEN = {"\\frac": "fraction", "\\sqrt": "square root of", "\\sum": "sum", "\\int": "integral", "\\cdot": "times", "\\times": "times", "\\le": "is at most", "\\ge": "is at least", "=": "equals", "<": "is less than", ">": "is greater than", "+": "plus", "-": "minus"}
 
 
 def detect(text: str | None) -> list[tuple[int, str, str, float]]:
@@ -86,15 +85,52 @@ def split_top(latex: str, at: str) -> list[str]:
     return [x for x in out if x]
 
 
-def spoken(latex: str) -> str:
-    """A formula in words."""
-    t = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r" \1 over \2 ", latex)
-    t = re.sub(r"\^\{?2\}?", " squared ", t)
-    t = re.sub(r"\^\{?3\}?", " cubed ", t)
-    t = re.sub(r"\^\{?([A-Za-z0-9]+)\}?", r" to the power \1 ", t)
-    t = re.sub(r"_\{?([A-Za-z0-9]+)\}?", r" sub \1 ", t)
-    t = re.sub(r"\\[A-Za-z]+|[=<>+-]", lambda m: f" {SPOKEN.get(m.group(), m.group().lstrip(chr(92)))} ", t)
-    return re.sub(r"\s+", " ", re.sub(r"[{}()]", " ", t)).strip()
+#: Commands that stand between operands; fixed values.
+BETWEEN = ("\\cdot", "\\times", "\\circ", "\\cdots", "\\dots", "\\ldots")
+
+
+def operands(latex: str) -> list[str]:
+    """Operands of an expression: parts between plus, minus and the commands of ``BETWEEN`` outside all brackets."""
+    x = re.sub(r"\\(?:quad|qquad|,|;|:|!)\s*", " ", re.sub(r"\\(?:left|right)(?![A-Za-z])", "", latex))
+    out, depth, start = [], 0, 0
+    for m in re.finditer(r"\\[A-Za-z]+|\\.|[{}()\[\]]|[+-]", x, re.S):
+        c = m.group()
+        if c in "{[(":
+            depth += 1
+        elif c in "}])":
+            depth = max(0, depth - 1)
+        elif depth == 0 and (c in ("+", "-") or c in BETWEEN):
+            out.append(x[start : m.start()].strip())
+            start = m.end()
+    out.append(x[start:].strip())
+    return [p for p in out if p]
+
+
+def rows_of(latex: str) -> list[str]:
+    """Rows of a formula of several lines, without the environment around them."""
+    x = re.sub(r"\\(?:begin|end)\{(?:cases|aligned|array)\}", "", latex)
+    return [r.strip() for r in re.split(r"(?<!\\)\\\\", x) if r.strip()]
+
+
+def fragments(latex: str | None) -> list[tuple[str, str, str, str]]:
+    """(id, parent, role, text) of a formula's tree: its rows, the sides of each, their operands (twelve at most)."""
+    out: list[tuple[str, str, str, str]] = []
+    rows = rows_of(latex or "")
+    for i, row in enumerate(rows):
+        parent = ""
+        if len(rows) > 1:
+            parent = f"row_{i + 1}"
+            out.append((parent, "", "row", row))
+        sides = split_top(row, "=")
+        named = [("lhs", sides[0]), *[(f"rhs_{k}" if k > 1 else "rhs", s) for k, s in enumerate(sides[1:], 1)]] if len(sides) > 1 else [("", row)]
+        for side, text in named:
+            owner = f"{parent}.{side}".strip(".")
+            if side:
+                out.append((owner, parent, side[:3], text))
+            parts = operands(text)
+            if len(parts) > 1:
+                out += [(f"{owner}.op_{k}".strip("."), owner, "operand", p) for k, p in enumerate(parts[:12], 1)]
+    return out
 
 
 def balanced(latex: str) -> bool:
@@ -121,7 +157,7 @@ def described(df: DataFrame, keys: list[str], latex: str) -> DataFrame:
                 sides = split_top(x, "=")
                 ok = balanced(x)
                 warnings = (not ok) + (not x.strip()) + (len(x) > 700)
-                rows.append((spoken(x), sides[0] if len(sides) == 2 else None, sides[1] if len(sides) == 2 else None, split_top(sides[-1], "+-")[:12] if sides else [], ok, max(0.0, round(1 - 0.18 * warnings, 2))))
+                rows.append((plain(x), sides[0] if len(sides) == 2 else None, sides[1] if len(sides) == 2 else None, operands(sides[-1])[:12] if sides else [], ok, max(0.0, round(1 - 0.18 * warnings, 2))))
             out = b[keys].reset_index(drop=True)
             out[["plain", "left_side", "right_side", "operands", "balanced", "sanity"]] = pd.DataFrame(rows, index=out.index, columns=range(6))
             yield out
@@ -130,10 +166,28 @@ def described(df: DataFrame, keys: list[str], latex: str) -> DataFrame:
     return df.select(*keys, latex).mapInPandas(run, f"{types}, plain string, left_side string, right_side string, operands array<string>, balanced boolean, sanity double")
 
 
+#: Commands that are spelled out, or dropped, before formulas are compared; fixed values.
+SPELLED = {
+    "\\varphi": "phi", "\\phi": "phi", "\\psi": "psi", "\\omega": "omega", "\\xi": "xi", "\\alpha": "alpha", "\\theta": "theta", "\\mathbb": "", "\\mathbf": "", "\\mathrm": "", "\\left": "", "\\right": "",
+    "\\cdots": "...", "\\dots": "...", "\\cup": "cup", "\\cap": "cap", "\\in": "in",
+}
+
+
+def match_key(latex: str) -> str:
+    """What two formulas are compared by: lower case, some commands spelled out, others and all but plain signs dropped."""
+    x = latex.lower()
+    for command, word in SPELLED.items():
+        x = x.replace(command, word)
+    return re.sub(r"[^a-z0-9=<>+\-*/_^{}().,]+", "", re.sub(r"\\[a-z]+", "", x))
+
+
 def similarity(a: str, b: str) -> float:
-    """0.65 of the matching share of characters and 0.35 of the shared share of words."""
-    wa, wb = set(re.findall(r"\\[A-Za-z]+|\w+", a)), set(re.findall(r"\\[A-Za-z]+|\w+", b))
-    return 0.65 * SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.35 * (len(wa & wb) / len(wa | wb) if wa | wb else 0.0)
+    """0.65 of the matching share of characters and 0.35 of the shared share of words, numbers and signs; 0 if either is empty."""
+    a, b = match_key(a), match_key(b)
+    if not a or not b:
+        return 0.0
+    wa, wb = (set(re.findall(r"[a-z]+|\d+|[=<>+\-*/_^]", x)) for x in (a, b))
+    return 0.65 * SequenceMatcher(None, a, b).ratio() + 0.35 * len(wa & wb) / max(1, len(wa | wb))
 
 
 #: Least similarity of formulas of one kind that are taken for the same; fixed values.

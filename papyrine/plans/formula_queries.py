@@ -42,6 +42,17 @@ def _(s, d):
     return op.described(current(s, d, "formulas", "latex"), ["document_id", "formula_id"], "latex")
 
 
+@query("latex_fragments")
+def _(s, d):
+    """Rows, sides and operands of every formula, with the fragment that each is part of."""
+    from papyrine.operators.cleaning import applied
+
+    joined = lambda v: ["\x01".join(f) for f in op.fragments(v)]
+    x = applied(current(s, d, "formulas", "latex"), ["document_id", "formula_id"], "latex", {"f": (joined, "array<string>")}).select("document_id", "formula_id", F.explode("f").alias("f"))
+    part = lambda i, name: F.split("f", "\x01")[i].alias(name)
+    return x.select("document_id", "formula_id", part(0, "fragment_id"), part(1, "parent_id"), part(2, "role"), part(3, "fragment"))
+
+
 @query("latex_align_sources")
 def _(s, d):
     f = current(s, d, "formulas", "latex", "kind", "text_source", "section_id").where("latex is not null and section_id is not null").withColumnRenamed("formula_id", "id")

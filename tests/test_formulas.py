@@ -14,7 +14,7 @@ def test_detection_in_order_and_without_overlap():
 def test_splitting_and_reading():
     assert op.split_top("a = f(b = c) = d", "=") == ["a", "f(b = c)", "d"]
     assert op.split_top("", "=") == [] and op.split_top("a+{b-c}-d", "+-") == ["a", "{b-c}", "d"]
-    assert op.spoken("\\frac{c}{f} = x^2") == "c over f equals x squared"
+    assert op.plain("\\frac{c}{f} = x^{2}") == "c divided by f equals x squared"
     assert op.balanced("{a\\}}") and not op.balanced("}{") and not op.balanced("{")
     assert op.similarity("a = b", "a = b") == 1.0
 
@@ -61,3 +61,12 @@ def test_repairs(spark):
     got = [r.x for r in spark.createDataFrame(rows, "latex string").select(latex.repaired(F.col("latex")).alias("x")).collect()]
     assert got == ["\\lim x", "\\sin(x) ... y", "\\alpha", None, "a \\\\ b = c"]
     assert [list(r.x) for r in spark.createDataFrame(rows[-1:], "latex string").select(latex.rows(F.col("latex")).alias("x")).collect()] == [["a", "b = c"]]
+
+
+def test_fragments_and_matching():
+    assert op.operands("a + b \\cdot c - (d + e)") == ["a", "b", "c", "(d + e)"] and op.operands("\\left( x \\right)") == ["( x )"]
+    assert op.rows_of("\\begin{aligned} a = b \\\\ c = d \\end{aligned}") == ["a = b", "c = d"]
+    assert op.fragments("y = a + b") == [("lhs", "", "lhs", "y"), ("rhs", "", "rhs", "a + b"), ("rhs.op_1", "rhs", "operand", "a"), ("rhs.op_2", "rhs", "operand", "b")]
+    assert [f[0] for f in op.fragments("a = b \\\\ c")] == ["row_1", "row_1.lhs", "row_1.rhs", "row_2"] and op.fragments(None) == [] and op.fragments("x") == []
+    assert op.match_key("\\mathbb{R} \\ni \\alpha_1 \\cup B") == "{r}alpha_1cupb"
+    assert op.similarity("a_1 = b", "a_1 = b") == 1.0 and op.similarity("\\quad", "x") == 0.0

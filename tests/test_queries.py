@@ -44,7 +44,7 @@ KEYS = {
     "symbol": ["document_id", "formula_id", "symbol"], "rich": ["document_id", "id"], "proj_metavertex_rank": ["document_id", "metavertex_id"], "proj_serialized_nodes": ["document_id", "node_id"], "text_mentions_per_document": ["doc_id", "symbol"],
     "text_cleaned": None, "text_normalized_lines": ["document_id", "block_id", "line_pos"], "text_normalized_blocks": ["document_id", "block_id"], "text_tex_paragraphs": ["document_id", "block_id", "pos"], "sem_limited_edges": ["document_id", "source_id", "target_id", "relation", "variable"],
     "latex_align_sources": ["document_id", "read_id"], "latex_best_row": ["document_id", "formula_id"], "latex_detect_in_documents": ["doc_id", "start"], "latex_detect_in_text": ["document_id", "block_id", "start"], "latex_from_text": ["document_id", "block_id"],
-    "latex_detected": ["document_id", "block_id", "latex"], "latex_standalone_lines": ["document_id", "block_id", "line_pos"], "latex": ["document_id", "formula_id"], "tex_events": None,
+    "latex_fragments": ["document_id", "formula_id", "fragment_id"], "latex_detected": ["document_id", "block_id", "latex"], "latex_standalone_lines": ["document_id", "block_id", "line_pos"], "latex": ["document_id", "formula_id"], "tex_events": None,
 }
 
 
