@@ -26,6 +26,8 @@ _ABSTRACT = re.compile(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", re.S)
 _NO_TEXT = re.compile(r"\\begin\{(figure|table|tabular|tikzpicture|thebibliography|lstlisting|verbatim)\*?\}.*?\\end\{\1\*?\}", re.S)
 _LEVELS = {"part": 0, "chapter": 0, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 _RELATION = re.compile(r"=|<|>|\\in|\\subset|\\cup|\\cap|\\to|\\le|\\ge|\\frac|\\sum|\\lim|\\begin")
+#: A token of this source, told apart from what the text itself holds.
+_HELD = re.compile("\ue000([^\ue001]*)\ue001")
 ROW = "kind string, pos int, id string, section_id string, level int, token string, text string, text_with_tokens string"
 
 
@@ -74,18 +76,17 @@ def parsed(source: str) -> list[tuple]:
     events = [(m.start(), m.end(), "section", m) for m in _SECTION.finditer(body)]
     events += [(m.start(), m.end(), "display", m) for m in _DISPLAY.finditer(body)] + [(m.start(), m.end(), "inline", m) for m in _INLINE.finditer(body)]
     events.sort(key=lambda e: e[:2])
-    plain, marked, made = [], [], []
+    marked, made = [], []
 
     def flush() -> None:
         nonlocal n_paragraphs
-        for p, q in zip(re.split(r"\n\s*\n", "".join(plain)), re.split(r"\n\s*\n", "".join(marked)), strict=True):
-            p, q = cleaning.tex_prose(p), cleaning.tex_prose(q)
+        for x in re.split(r"\n\s*\n", "".join(marked)):
+            p, q = cleaning.tex_prose(_HELD.sub(" ", x)), cleaning.tex_prose(_HELD.sub(r"\1", x))
             if cleaning.meaningful(q):
                 n_paragraphs += 1
                 add("paragraph", f"par_{n_paragraphs}", None, None, p, q)
         for token, id_, latex, display in made:
             add("formula", id_, int(display), token, latex)
-        plain.clear()
         marked.clear()
         made.clear()
 
@@ -93,7 +94,6 @@ def parsed(source: str) -> list[tuple]:
     for start, stop, kind, m in events:
         if start < end:
             continue
-        plain.append(body[end:start])
         marked.append(body[end:start])
         end = stop
         if kind == "section":
@@ -105,16 +105,12 @@ def parsed(source: str) -> list[tuple]:
         latex = formula(next(g for g in (m.groups()[0], m.groups()[1], m.groups()[-1]) if g is not None))
         if noise(latex, kind == "display"):
             # What is too small to be a formula is read as text; line ends inside would split the paragraph.
-            inner = " " if latex.startswith(("\\ref", "\\cite")) else re.sub(r"[\\{}$]", "", latex)
-            plain.append(inner)
-            marked.append(inner)
+            marked.append(" " if latex.startswith(("\\ref", "\\cite")) else re.sub(r"[\\{}$]", "", latex))
             continue
         n_formulas += 1
         token = f"[FORMULA_{n_formulas:03d}]"
-        plain.append(" ")
-        marked.append(f" {token} ")
+        marked.append(f" \ue000{token}\ue001 ")
         made.append((token, f"f_{n_formulas}", latex, kind == "display"))
-    plain.append(body[end:])
     marked.append(body[end:])
     flush()
     return rows
